@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import quality
+from palisade.llm import jaccard, quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +17,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir)).select("doc_id", "keep")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_quality_rules": op8_quality_rules}
+    return {
+        "op8_quality_rules": op8_quality_rules,
+        "op9_jaccard_join": op9_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality.ORACLE_SQL}
+    return {
+        "op8_quality_rules": quality.ORACLE_SQL,
+        "op9_jaccard_join": jaccard.ORACLE_SQL,
+    }
