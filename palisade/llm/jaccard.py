@@ -12,43 +12,23 @@
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import common
+from palisade.llm.blobs import bucket_edges, flushes, pack, pack_sorted, unpack, unpack_sorted
 from palisade.llm.hashing import U, flat, mix, ngrams, starts_of, word_hashes
 
-#: Words that one blob covers at least; it bounds a task's memory.
-FLUSH_WORDS = 2_000_000
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Byte planes, compressed: the planes of small numbers' high bytes vanish."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
-
-
-def _unpack(blob: bytes, dtype: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(dtype).ravel()
-
-
-def _deltas(sorted_values: np.ndarray) -> np.ndarray:
-    return np.diff(sorted_values, prepend=U(0))
-
-
 _SENT = pa.schema([("bucket", pa.int32()), ("flush", pa.string()), ("grams", pa.binary()), ("rows", pa.binary()), ("doc_id", pa.int64()), ("th", pa.int64()), ("idx", pa.int32()), ("fp", pa.int64()), ("n", pa.int32())])
 _SENT_SQL = "bucket int, flush string, grams binary, rows binary, doc_id long, th long, idx int, fp long, n int"
 
 
-def _flush(ids: list, ths: list, words: list, lengths: list, n: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    ids, ths = pa.concat_arrays(ids), pa.concat_arrays(ths)
-    words, lengths = np.concatenate(words), np.concatenate(lengths)
+def _flush(flush: str, ids: pa.Array, ths: pa.Array, words: np.ndarray, lengths: np.ndarray, n: int, buckets: int) -> Iterator[pa.RecordBatch]:
     grams, rows = ngrams(words, lengths, n)
     order = np.argsort(grams, kind="stable")
     grams, rows = grams[order], rows[order]
@@ -70,9 +50,7 @@ def _flush(ids: list, ths: list, words: list, lengths: list, n: int, buckets: in
     idx[some] = inverse
     kept = stands[rows]
     grams, rows = grams[kept], idx[rows[kept]]
-    flush = uuid.uuid4().hex
-    edges = np.searchsorted(grams >> U(32), (np.arange(buckets + 1, dtype=U) * U(1 << 32)) // U(buckets))
-    edges[-1] = len(grams)
+    edges = bucket_edges(grams, buckets)
     full = [b for b in range(buckets) if edges[b + 1] > edges[b]]
     k = len(full)
     none = lambda kind: pa.nulls(k, kind)
@@ -80,15 +58,15 @@ def _flush(ids: list, ths: list, words: list, lengths: list, n: int, buckets: in
         [
             pa.array(full, pa.int32()),
             pa.array([flush] * k),
-            pa.array([_pack(_deltas(grams[edges[b] : edges[b + 1]])) for b in full], pa.binary()),
-            pa.array([_pack(rows[edges[b] : edges[b + 1]].astype(np.uint32)) for b in full], pa.binary()),
+            pa.array([pack_sorted(grams[edges[b] : edges[b + 1]]) for b in full], pa.binary()),
+            pa.array([pack(rows[edges[b] : edges[b + 1]].astype(np.uint32)) for b in full], pa.binary()),
             none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.int64()), none(pa.int32()),
         ],
         schema=_SENT,
     )
     k = len(some)
     taken = pa.array(some)
-    spread = int(flush[:8], 16) % buckets
+    spread = zlib.crc32(flush.encode()) % buckets
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(k, -1 - spread, np.int32)), pa.array([flush] * k), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()),
@@ -100,19 +78,8 @@ def _flush(ids: list, ths: list, words: list, lengths: list, n: int, buckets: in
 
 def _send(n: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ths, words, lengths, held = [], [], [], [], 0
-        for batch in batches:
-            values, counts = flat(batch.column(2))
-            ids.append(batch.column(0))
-            ths.append(batch.column(1))
-            words.append(values)
-            lengths.append(counts)
-            held += len(values)
-            if held >= FLUSH_WORDS:
-                yield from _flush(ids, ths, words, lengths, n, buckets)
-                ids, ths, words, lengths, held = [], [], [], [], 0
-        if ids:
-            yield from _flush(ids, ths, words, lengths, n, buckets)
+        for flush, ids, ths, words, lengths in flushes(batches):
+            yield from _flush(flush, ids, ths, words, lengths, n, buckets)
 
     return run
 
@@ -125,7 +92,7 @@ def _count(table: pa.Table) -> pa.Table:
     """Document frequencies within one bucket; of each blob what occurs in another document too is passed on."""
     if not table.num_rows or table.column("bucket")[0].as_py() < 0:
         return pa.table([table.column("flush"), table.column("grams"), table.column("rows"), pa.nulls(table.num_rows, pa.binary()), *(table.column(c) for c in ("doc_id", "th", "idx", "fp", "n"))], schema=_COUNTED)
-    parts = [np.cumsum(_unpack(g, U), dtype=U) for g in table.column("grams").to_pylist()]
+    parts = [unpack_sorted(g) for g in table.column("grams").to_pylist()]
     every = np.sort(np.concatenate(parts))
     first = np.nonzero(np.concatenate([[True], every[1:] != every[:-1]]))[0]
     times = np.diff(np.append(first, len(every)))
@@ -140,9 +107,9 @@ def _count(table: pa.Table) -> pa.Table:
         has = grams[at] == part
         if has.any():
             out["flush"].append(flush)
-            out["grams"].append(_pack(_deltas(part[has])))
-            out["rows"].append(_pack(_unpack(rows, np.uint32)[has]))
-            out["df"].append(_pack(times[at[has]]))
+            out["grams"].append(pack_sorted(part[has]))
+            out["rows"].append(pack(unpack(rows, np.uint32)[has]))
+            out["df"].append(pack(times[at[has]]))
     k = len(out["flush"])
     return pa.table([pa.array(out["flush"], pa.string()), *(pa.array(out[c], pa.binary()) for c in ("grams", "rows", "df")), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())], schema=_COUNTED)
 
@@ -168,9 +135,9 @@ def _classes(threshold: float):
         copies = np.diff(np.append(first, len(idx)))
         n, fp = members.column("n").to_numpy()[first].astype(np.int64), members.column("fp").to_numpy()[first]
         if blobs.num_rows:
-            grams = np.concatenate([np.cumsum(_unpack(g, U), dtype=U) for g in blobs.column("grams").to_pylist()])
-            rows = np.concatenate([_unpack(g, np.uint32) for g in blobs.column("rows").to_pylist()]).astype(np.int64)
-            df = np.concatenate([_unpack(g, np.uint32) for g in blobs.column("df").to_pylist()])
+            grams = np.concatenate([unpack_sorted(g) for g in blobs.column("grams").to_pylist()])
+            rows = np.concatenate([unpack(g, np.uint32) for g in blobs.column("rows").to_pylist()]).astype(np.int64)
+            df = np.concatenate([unpack(g, np.uint32) for g in blobs.column("df").to_pylist()])
         else:
             grams, rows, df = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         shared = np.bincount(rows, minlength=len(n))
