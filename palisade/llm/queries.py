@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import jaccard, quality, substring
+from palisade.llm import jaccard, mixing, pieces, quality, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_documents(spark, sf_dir))
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(_documents(spark, sf_dir))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(_documents(spark, sf_dir))
 
@@ -27,6 +35,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
+        "op2_source_mixing": op2_source_mixing,
         "op5_substring_dedup": op5_substring_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_jaccard_join": op9_jaccard_join,
