@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palisade.llm import jaccard, mixing, pieces, quality, substring
+from palisade.llm import extraction, jaccard, mixing, pieces, quality, shards, substring, topk, urlfilter, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_documents(spark, sf_dir))
 
@@ -21,10 +26,27 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(_documents(spark, sf_dir))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_pages(spark, sf_dir))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.compacted(_documents(spark, sf_dir)).select("doc_id", "source", "n_chars", "shard")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(_documents(spark, sf_dir))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures, entries = urlfilter.derived(_pages(spark, sf_dir))
+    return urlfilter.judge(captures, entries).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_pages(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir)).select("doc_id", "keep")
 
@@ -33,19 +55,34 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_documents(spark, sf_dir))
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_sentencepiece": op1_sentencepiece,
-        "op2_source_mixing": op2_source_mixing,
-        "op5_substring_dedup": op5_substring_dedup,
-        "op8_quality_rules": op8_quality_rules,
-        "op9_jaccard_join": op9_jaccard_join,
+        f.__name__: f
+        for f in (
+            op1_sentencepiece,
+            op2_source_mixing,
+            op3_html_extraction,
+            op4_sharding,
+            op5_substring_dedup,
+            op6_url_filter,
+            op7_warc,
+            op8_quality_rules,
+            op9_jaccard_join,
+            op10_topk_search,
+        )
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_substring_dedup": substring.oracle_sql(),
+        "op6_url_filter": urlfilter.ORACLE_SQL,
+        "op7_warc": warc.ORACLE_SQL,
         "op8_quality_rules": quality.ORACLE_SQL,
         "op9_jaccard_join": jaccard.ORACLE_SQL,
+        "op10_topk_search": topk.ORACLE_SQL,
     }
