@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -53,9 +55,13 @@ def discard(*tables: DataFrame) -> None:
 def release_shuffles(spark: SparkSession) -> None:
     """Let the driver's cleaner drop the shuffle files of plans that are no longer referenced.
 
-    Spark removes them only after a JVM collection, which an idle driver may not run for half an hour.
+    Spark removes them only after a collection, which an idle driver may not run for half an hour; Python's references
+    have to go before the JVM's, and the cleaner works on its own thread.
     """
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def local_path(path: str) -> tuple[object, str]:

@@ -44,7 +44,7 @@ def _blobs(flush: str, ids: np.ndarray, ties: np.ndarray, hashes: np.ndarray, ch
         out["bucket"].append(b)
         for name, blob in (
             ("hash", pack_sorted(hashes[i:j])),
-            ("check", pack(checks[i:j].astype(np.uint16))),
+            ("check", pack(checks[i:j].astype(np.uint8))),
             ("doc", pack(doc.ravel().astype(np.uint32))),
             ("pos", pack(pos[i:j].astype(np.uint32))),
             ("idx", pack(np.diff(here, prepend=0).astype(np.uint32))),
@@ -73,7 +73,7 @@ def _first(length: int, buckets: int):
             idx = np.repeat(np.arange(len(lengths)), full)
             names, ties = _names(ids, ths)
             pos = at - starts_of(lengths)[idx]
-            yield _blobs(flush, names, ties, window_hashes(words, length, _BASES[0])[at], window_hashes(words, length, _BASES[1])[at] & U(0xFFFF), idx, pos, buckets)
+            yield _blobs(flush, names, ties, window_hashes(words, length, _BASES[0])[at], window_hashes(words, length, _BASES[1])[at] & U(0xFF), idx, pos, buckets)
             yield pa.RecordBatch.from_arrays([pa.array([-1 - zlib.crc32(flush.encode()) % buckets], pa.int32()), pa.array([flush]), *(pa.nulls(1, pa.binary()) for _ in range(7)), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([ths.to_pylist()], pa.list_(pa.int64()))], schema=_SENT)
 
     return run
@@ -102,7 +102,7 @@ def _repeated(table: pa.Table) -> pa.Table:
     place = np.concatenate([rank[o + d.astype(np.int64)] for o, d in zip(offsets, docs, strict=True)]) << 32
     place |= np.concatenate([unpack(b, np.uint32) for b in parts["pos"]]).astype(np.int64)
     hashes = np.concatenate([unpack_sorted(b) for b in parts["hash"]])
-    checks = np.concatenate([unpack(b, np.uint16) for b in parts["check"]])
+    checks = np.concatenate([unpack(b, np.uint8) for b in parts["check"]])
     order = np.lexsort((place, checks, hashes))
     h, c, p = hashes[order], checks[order], place[order]
     new = np.ones(len(order), bool)
@@ -136,9 +136,9 @@ def _opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     """Hash, check, idx, pos and later of a flush's survivors."""
     rows = table.filter(table.column("hash").is_valid())
     if not rows.num_rows:
-        return np.zeros(0, U), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, U), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     get = lambda c, kind: np.concatenate([unpack(b, kind) for b in rows.column(c).to_pylist()])
-    return np.concatenate([unpack_sorted(b) for b in rows.column("hash").to_pylist()]), get("check", np.uint16), get("idx", np.uint32).astype(np.int64), get("pos", np.uint32).astype(np.int64), get("later", np.uint8).astype(bool)
+    return np.concatenate([unpack_sorted(b) for b in rows.column("hash").to_pylist()]), get("check", np.uint8), get("idx", np.uint32).astype(np.int64), get("pos", np.uint32).astype(np.int64), get("later", np.uint8).astype(bool)
 
 
 def _members(table: pa.Table) -> tuple[pa.Array, pa.Array] | None:
@@ -162,7 +162,7 @@ def _doubled(length: int, buckets: int):
             return _SENT.empty_table()
         left, right = order[has], order[at[has]]
         h = mix(hashes[left] * U(_BASES[0]) + hashes[right])
-        c = (checks[left].astype(np.int64) * 40503 + checks[right]) & 0xFFFF
+        c = (checks[left].astype(np.int64) * 157 + checks[right]) & 0xFF
         return pa.Table.from_batches([_blobs(table.column("flush")[0].as_py(), *_names(*members), h, c, idx[left], pos[left], buckets)])
 
     return run
@@ -200,10 +200,11 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
         raise ValueError("a passage has at least one word")
     spark = docs.sparkSession
     common.ship(spark)
-    buckets = 2 * common.partitions(spark)
+    buckets = common.partitions(spark)
     inputs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("w"))
     sent = inputs.mapInArrow(_first(min_words, buckets), _SENT_SQL)
     base = common.materialize(sent.groupBy("bucket").applyInArrow(_repeated, _KEPT_SQL), "level")
+    del sent
     members = base.where("ids IS NOT NULL")
     levels, length = [(min_words, base)], min_words
     while True:
@@ -214,6 +215,7 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
         sent = last.unionByName(members).groupBy("flush").applyInArrow(_doubled(length, buckets), _SENT_SQL)
         length *= 2
         levels.append((length, common.materialize(sent.groupBy("bucket").applyInArrow(_repeated, _KEPT_SQL), "level")))
+        del sent
     every = base.withColumn("level", F.lit(min_words))
     for at, level in levels[1:]:
         every = every.unionByName(level.withColumn("level", F.lit(at)))
