@@ -1,33 +1,490 @@
-"""The query catalogue of the reference-style operators."""
+"""The query catalogue: each operator of the engine on the driver's tables, with an independent SQL oracle."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palisade.functions import masks, scalar
+from palisade.operators import anomaly, quality, relational, scan
+from palisade.plans import policy
 
-def _masked_customer_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    spent = orders.groupBy("o_custkey").agg(F.count("o_orderkey").alias("n"), F.sum("o_totalprice").alias("v"))
-    return customer.join(spent, F.col("c_custkey") == F.col("o_custkey"), "left").select(
-        "c_custkey",
-        F.sha2(F.col("c_name"), 256).alias("c_name"),
-        F.coalesce("n", F.lit(0)).cast("bigint").alias("total_orders"),
-        F.round("v", 2).alias("lifetime_value"),
-    )
+Query = Callable[[SparkSession, str], DataFrame]
+
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+EMAILS = "customer.c_name || '@example.com'"
+
+
+def _register(name: str, oracle: str | None) -> Callable[[Query], Query]:
+    def put(query: Query) -> Query:
+        _QUERIES[name] = query
+        if oracle is not None:
+            _ORACLES[name] = oracle
+        return query
+
+    return put
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _sql(name: str, text: str, oracle: str | None = None) -> None:
+    """A query written in Spark SQL with tables in braces; the oracle is the same text unless another is given."""
 
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(text, **{t: _table(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", text))})
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"masked_customer_value": _masked_customer_value}
+    _register(name, re.sub(r"\{(\w+)\}", r"\1", oracle or text))(query)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "masked_customer_value": """
-            SELECT c_custkey, sha256(c_name) AS c_name, count(o_orderkey) AS total_orders,
-                   round(sum(o_totalprice), 2) AS lifetime_value
-            FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name"""
-    }
+    return dict(_ORACLES)
+
+
+# Masks
+
+
+@_register("masked_customer_value", """
+    SELECT c_custkey, sha256(c_name) AS c_name, count(o_orderkey) AS total_orders, round(sum(o_totalprice), 2) AS lifetime_value
+    FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name""")
+def _(spark, d):
+    spent = _table(spark, d, "orders").groupBy("o_custkey").agg(F.count("o_orderkey").alias("n"), F.sum("o_totalprice").alias("v"))
+    joined = policy.mask(_table(spark, d, "customer"), policy.PolicySet({"c_name": "hash"})).join(spent, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return joined.select("c_custkey", "c_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("total_orders"), F.round("v", 2).alias("lifetime_value"))
+
+
+def _mask_query(name: str, mask: Callable[[Column], Column], oracle: str, table: str = "customer", key: str = "c_custkey", column: str = "c_name") -> None:
+    @_register(name, f"SELECT {key}, {oracle.format(column)} AS masked FROM {table}")
+    def _(spark, d):
+        return _table(spark, d, table).select(key, mask(F.col(column)).alias("masked"))
+
+
+_mask_query("mask_hash", masks.hashed, "sha256(cast({} AS varchar))")
+_mask_query("mask_hash_number", masks.hashed, "sha256(cast({} AS varchar))", column="c_acctbal")
+_mask_query("mask_redact", masks.redact, "'REDACTED'")
+_mask_query("mask_nullify", masks.nullify, "cast(NULL AS varchar)")
+_mask_query("mask_partial", masks.partial, "concat(left(cast({} AS varchar), 2), '***')")
+_mask_query("mask_email", masks.mask_email, r"regexp_replace({}, '(^.).*(@.*$)', '\1****\2')", "documents", "doc_id", "text")
+_mask_query("mask_email_address", lambda c: masks.mask_email(F.concat(c, F.lit("@example.com"))), r"regexp_replace({} || '@example.com', '(^.).*(@.*$)', '\1****\2')")
+_mask_query("mask_entity_preserving", masks.entity_preserving, "concat('[PRESERVED_', length({}), ']')", "documents", "doc_id", "text")
+_mask_query("mask_encryption", masks.encrypt, "sha256({})")
+_mask_query("mask_salted", lambda c: masks.hashed(c, "pepper"), "sha256(concat({}, 'pepper'))")
+
+
+@_register("mask_drop", "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def _(spark, d):
+    return policy.mask(_table(spark, d, "customer"), policy.PolicySet({"C_NAME": "drop"}))
+
+
+@_register("mask_drop_all", "SELECT 1::INTEGER AS _all_dropped FROM region WHERE false")
+def _(spark, d):
+    return policy.mask(_table(spark, d, "region"), policy.PolicySet({"r_regionkey": "drop", "r_name": "drop"}))
+
+
+@_register("mask_boundary", "SELECT c_custkey, concat(left(c_name, 2), '***') AS c_name, sha256(cast(c_nationkey AS varchar)) AS c_nationkey, 'REDACTED' AS c_acctbal FROM customer")
+def _(spark, d):
+    return policy.mask(_table(spark, d, "customer"), policy.PolicySet({"c_name": "partial", "c_nationkey": "hash", "c_acctbal": "redact", "c_mktsegment": "drop"}))
+
+
+@_register("mask_policy_set", "SELECT n_nationkey, sha256(n_name) AS n_name, 'REDACTED' AS n_regionkey FROM nation")
+def _(spark, d):
+    return policy.mask(_table(spark, d, "nation"), policy.combined({"a": {"n_name": "partial"}, "b": {"n_name": "hash", "n_regionkey": "redact"}}))
+
+
+@_register("mask_fuzzy", "SELECT c_custkey, sha256(email) AS email, phone_hash FROM (SELECT c_custkey, c_name || '@example.com' AS email, c_name AS phone_hash, c_name AS ssn FROM customer)")
+def _(spark, d):
+    df = _table(spark, d, "customer").select("c_custkey", F.concat("c_name", F.lit("@example.com")).alias("email"), F.col("c_name").alias("phone_hash"), F.col("c_name").alias("ssn"))
+    patterns = [(".*email.*", "hash"), (".*phone.*", "hash"), (".*ssn.*", "drop")]
+    return policy.mask(df, policy.PolicySet.from_pairs((c, p) for c in df.columns if (p := policy.fuzzy_policy(c, patterns))))
+
+
+@_register("masked_key_join", """
+    SELECT o_orderkey, sha256(cast(o_custkey AS varchar)) AS k, c_mktsegment
+    FROM orders JOIN customer ON sha256(cast(o_custkey AS varchar)) = sha256(cast(c_custkey AS varchar))""")
+def _(spark, d):
+    o = policy.mask(_table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k")), policy.PolicySet({"k": "hash"}))
+    c = policy.mask(_table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment"), policy.PolicySet({"k": "hash"}))
+    return o.join(c, "k").select("o_orderkey", "k", "c_mktsegment")
+
+
+# Projection, filter, predicates
+
+_sql("projection_alias", "SELECT n_nationkey AS id, n_name AS label, 'EU' AS zone FROM {nation}")
+_sql("wildcard_computed", "SELECT *, c_acctbal < 0 AS in_debt FROM {customer}")
+_sql("active_filter", "SELECT * FROM {orders} WHERE o_orderstatus = 'O'")
+_sql("predicates", """
+    SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM {lineitem}
+    WHERE l_quantity BETWEEN 10 AND 20 AND l_returnflag IN ('A', 'R') AND NOT l_linestatus = 'F' OR l_discount IS NULL OR -l_tax < -0.075""")
+_sql("like_ilike", "SELECT p_partkey, p_name LIKE '%a%' AS a, p_brand ILIKE 'BRAND%' AS b FROM {part} WHERE p_type NOT LIKE '%zz%'")
+_sql("rlike", "SELECT p_partkey FROM {part} WHERE p_brand RLIKE '[12]$'", "SELECT p_partkey FROM {part} WHERE regexp_matches(p_brand, '[12]$')")
+
+
+@_register("similar_to", "SELECT p_partkey FROM part WHERE p_brand SIMILAR TO '.*(1|3)'")
+def _(spark, d):
+    return _table(spark, d, "part").where(scalar.similar_to(F.col("p_brand"), "%(1|3)")).select("p_partkey")
+
+
+_sql("is_true_unknown", """
+    SELECT c_custkey, (c_acctbal > 0) IS TRUE AS t, (c_acctbal > 0) IS NOT FALSE AS f, (nullif(c_nationkey, 3) > 5) IS UNKNOWN AS u FROM {customer}""",
+    "SELECT c_custkey, coalesce(c_acctbal > 0, false) AS t, coalesce(c_acctbal > 0, true) AS f, (nullif(c_nationkey, 3) > 5) IS NULL AS u FROM {customer}")
+_sql("is_distinct_from", "SELECT c_custkey, nullif(c_nationkey, 3) IS DISTINCT FROM nullif(c_nationkey, 4) AS d, nullif(c_nationkey, 3) IS NOT DISTINCT FROM NULL AS n FROM {customer}")
+_sql("case_forms", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' END AS s, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END AS big FROM {orders}")
+_sql("casts", "SELECT o_orderkey, o_totalprice::INTEGER AS i, CAST(o_orderdate AS DATE) AS day, CAST(o_custkey AS VARCHAR(20)) AS t FROM {orders}",
+     "SELECT o_orderkey, trunc(o_totalprice)::INTEGER AS i, CAST(o_orderdate AS DATE) AS day, CAST(o_custkey AS VARCHAR) AS t FROM {orders}")
+_sql("tuple_predicate", "SELECT n_nationkey FROM {nation} WHERE (n_regionkey, (n_nationkey % 2)) IN ((1, 0), (2, 1))")
+_sql("cte_chain", """
+    WITH base AS (SELECT o_custkey, o_totalprice FROM {orders} WHERE o_orderstatus = 'F'), sums AS (SELECT o_custkey, sum(o_totalprice) AS s FROM base GROUP BY o_custkey)
+    SELECT o_custkey, round(s, 2) AS s FROM sums WHERE s > 100000""")
+_sql("derived_table", "SELECT k, n FROM (SELECT o_custkey AS k, count(*) AS n FROM {orders} GROUP BY o_custkey) t WHERE n > 10")
+_sql("scalar_subquery", "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > 1.5 * (SELECT avg(o_totalprice) FROM {orders})")
+_sql("in_subquery", "SELECT c_custkey FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 300000)")
+_sql("exists_subquery", "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 300000)")
+_sql("not_exists_subquery", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 300000)")
+_sql("select_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM {lineitem}")
+_sql("values_table", "SELECT * FROM (VALUES (1, 'Alice', 30), (2, 'Bob', 25)) AS t(id, name, age)")
+
+
+@_register("qualify", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
+def _(spark, d):
+    spot = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return relational.qualify(_table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), F.row_number().over(spot) == 1).drop("o_totalprice")
+
+
+# Joins
+
+_BIG = "(SELECT * FROM {orders} WHERE o_totalprice > 400000)"
+_sql("join_inner", "SELECT n_name, r_name FROM {nation} INNER JOIN {region} ON n_regionkey = r_regionkey")
+_sql("join_left", "SELECT c_custkey, count(o_orderkey) AS n, round(coalesce(sum(o_totalprice), 0), 2) AS s FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey")
+_sql("join_right", f"SELECT c_custkey, o_orderkey FROM {_BIG} o RIGHT OUTER JOIN {{customer}} ON c_custkey = o_custkey")
+_sql("join_full", f"SELECT s_suppkey, o_orderkey FROM {{supplier}} FULL OUTER JOIN {_BIG} o ON s_suppkey = o_custkey")
+_sql("join_cross", "SELECT r_name, s_suppkey FROM {region} CROSS JOIN {supplier}")
+_sql("join_semi", f"SELECT c_custkey, c_name FROM {{customer}} LEFT SEMI JOIN {_BIG} o ON c_custkey = o_custkey", f"SELECT c_custkey, c_name FROM {{customer}} SEMI JOIN {_BIG} o ON c_custkey = o_custkey")
+_sql("join_anti", f"SELECT c_custkey FROM {{customer}} LEFT ANTI JOIN {_BIG} o ON c_custkey = o_custkey", f"SELECT c_custkey FROM {{customer}} ANTI JOIN {_BIG} o ON c_custkey = o_custkey")
+
+
+@_register("join_right_semi", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def _(spark, d):
+    nations = _table(spark, d, "nation").where("n_regionkey = 1")
+    return relational.right_semi(nations, _table(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", "s_name")
+
+
+@_register("join_right_anti", "SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def _(spark, d):
+    nations = _table(spark, d, "nation").where("n_regionkey = 1")
+    return relational.right_anti(nations, _table(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey")
+
+
+_sql("join_theta", "SELECT n_name, r_name FROM {nation} JOIN {region} ON n_regionkey < r_regionkey")
+_sql("join_using", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM {nation}) x JOIN (SELECT s_nationkey AS k, s_name AS b FROM {supplier}) y USING (k)")
+_sql("join_natural", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM {nation}) x NATURAL JOIN (SELECT s_nationkey AS k, s_name AS b FROM {supplier}) y")
+_sql("join_comma_nested", "SELECT n_name, r_name, s_name FROM ({nation} JOIN {region} ON n_regionkey = r_regionkey), {supplier} WHERE s_nationkey = n_nationkey")
+
+
+@_register("join_straight", "SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def _(spark, d):
+    return _table(spark, d, "supplier").join(_table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_name", "n_name")
+
+
+@_register("join_asof", """
+    SELECT a.event_id, a.ts, b.event_id AS view_id, b.ts AS view_ts
+    FROM (SELECT * FROM events WHERE event_type = 'click') a
+    ASOF JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY user_id, ts) b ON a.user_id = b.user_id AND a.ts >= b.ts""")
+def _(spark, d):
+    events = _table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    clicks, views = events.where("event_type = 'click'"), events.where("event_type = 'view'")
+    return relational.asof_join(clicks, views, ["user_id"], "ts", "ts", ["event_id"]).select("event_id", "ts", F.col("right_event_id").alias("view_id"), F.col("right_ts").alias("view_ts"))
+
+
+_sql("kpi_cross", """
+    WITH o AS (SELECT count(*) AS orders, round(avg(o_totalprice), 4) AS mean FROM {orders}), p AS (SELECT count(DISTINCT p_brand) AS brands FROM {part}), s AS (SELECT max(s_acctbal) AS best FROM {supplier})
+    SELECT o.*, p.*, s.* FROM o CROSS JOIN p CROSS JOIN s""")
+
+# Aggregation
+
+_sql("group_by_ordinal", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY 1, 2")
+_sql("group_by_all", "SELECT o_orderstatus, max(o_totalprice) AS m FROM {orders} GROUP BY ALL")
+_sql("global_aggregate", "SELECT count(*) AS n, count(p_size) AS c, min(p_size) AS lo, max(p_size) AS hi, round(avg(p_retailprice), 4) AS m, round(sum(p_retailprice), 2) AS s FROM {part}")
+_sql("having_duplicates", "SELECT l_orderkey, l_partkey, count(*) AS n FROM {lineitem} GROUP BY l_orderkey, l_partkey HAVING count(*) > 1")
+_sql("count_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers FROM {lineitem} GROUP BY l_returnflag")
+_sql("conditional_count", "SELECT user_id, count(CASE WHEN event_type = 'click' THEN 1 END) AS clicks, count(*) AS n FROM {events} GROUP BY user_id")
+_sql("aggregate_filter", "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 2) AS open_sum FROM {orders} GROUP BY o_custkey")
+_sql("grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+_sql("rollup", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS q FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+_sql("cube", "SELECT l_returnflag, l_linestatus, round(avg(l_discount), 4) AS q FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)")
+_sql("user_engagement", "SELECT user_id, count(*) AS events, round(avg(value), 6) AS mean, max(ts) AS last_seen, count(CASE WHEN value > 50 THEN 1 END) AS high FROM {events} GROUP BY user_id")
+_sql("drift_monitor", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS lo, max(value) AS hi FROM {events} GROUP BY 1, 2")
+
+# Windows
+
+_sql("latest_per_key", "SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) t WHERE rn = 1")
+_RANKS = """SELECT c_custkey, CAST(rank() OVER w AS BIGINT) AS r, CAST(dense_rank() OVER w AS BIGINT) AS dr, CAST(ntile(4) OVER v AS BIGINT) AS q,
+    round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM {customer}
+    WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_nationkey), v AS (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey)"""
+_sql("window_ranks", _RANKS)
+_sql("window_lag_lead", "SELECT event_id, lag(value) OVER w AS before, lead(value, 2) OVER w AS after FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+_sql("window_values", """SELECT event_id, first_value(value) OVER w AS f, last_value(value) OVER w AS l, nth_value(value, 2) OVER w AS n FROM {events}
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+_sql("window_aggregate", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS s, count(*) OVER (PARTITION BY o_custkey) AS n FROM {orders}")
+_sql("window_frames", """SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving,
+    count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW) AS near FROM {events}""")
+_sql("churn_label", """
+    WITH latest AS (SELECT user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) t WHERE rn = 1),
+    engaged AS (SELECT user_id, count(*) AS n FROM {events} GROUP BY user_id),
+    named AS (SELECT c_custkey, sha2(c_name, 256) AS name FROM {customer})
+    SELECT e.user_id, named.name, e.n, CASE WHEN latest.value > 50 THEN 1 ELSE 0 END AS label FROM engaged e JOIN latest ON e.user_id = latest.user_id JOIN named ON named.c_custkey = e.user_id""",
+    """WITH latest AS (SELECT user_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+    engaged AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+    SELECT e.user_id, sha256(c_name) AS name, e.n, CASE WHEN latest.value > 50 THEN 1 ELSE 0 END AS label FROM engaged e JOIN latest USING (user_id) JOIN customer ON c_custkey = e.user_id""")
+
+# Sort, limit, sets
+
+_sql("order_by_limit", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC NULLS LAST, o_orderkey ASC NULLS FIRST LIMIT 20")
+_sql("limit_offset", "SELECT c_custkey FROM {customer} ORDER BY c_acctbal DESC, c_custkey LIMIT 10 OFFSET 5")
+
+
+@_register("limit_comma", "SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 7 OFFSET 3")
+def _(spark, d):
+    return relational.limit_offset(_table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").select("p_partkey"), 7, 3)
+
+
+for _name, _op in (("union", "UNION"), ("union_all", "UNION ALL"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL")):
+    _sql(f"set_{_name}", f"SELECT c_nationkey AS k FROM {{customer}} {_op} (SELECT s_nationkey AS k FROM {{supplier}} WHERE s_nationkey < 12)")
+
+# Scalar functions
+
+_sql("scalar_text", "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, replace(c_name, 'Customer', 'C') AS r, left(c_name, 3) AS f, length(c_name) AS n, md5(c_name) AS m FROM {customer}",
+     "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, replace(c_name, 'Customer', 'C') AS r, left(c_name, 3) AS f, length(c_name)::INTEGER AS n, md5(c_name) AS m FROM {customer}")
+_sql("scalar_number", "SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r, coalesce(nullif(c_nationkey, 3), -1) AS c, char_length(c_mktsegment) AS n FROM {customer}",
+     "SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r, coalesce(nullif(c_nationkey, 3), -1) AS c, length(c_mktsegment)::INTEGER AS n FROM {customer}")
+
+
+@_register("concat_nulls", "SELECT c_custkey, concat(nullif(c_mktsegment, 'BUILDING'), '-', c_nationkey) AS t, regexp_replace(c_name, '0', 'x') AS first FROM customer")
+def _(spark, d):
+    return _table(spark, d, "customer").select(
+        "c_custkey", scalar.concat_skipping_nulls(F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")), F.lit("-"), F.col("c_nationkey")).alias("t"), scalar.replace_first(F.col("c_name"), "0", "x").alias("first")
+    )
+
+
+# Data tests and quality rules: violations, or one row of counts where there are none
+
+
+@_register("test_not_null", "SELECT count(*) FILTER (o_orderkey IS NULL) AS o_orderkey, count(*) FILTER (k IS NULL) AS k FROM (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS k FROM orders)")
+def _(spark, d):
+    return quality.not_null(_table(spark, d, "orders").select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("k")), ["o_orderkey", "k"])
+
+
+@_register("test_unique", "SELECT k, count(*) AS n FROM (SELECT nullif(c_nationkey, 3) AS k FROM customer) GROUP BY k HAVING count(*) > 1")
+def _(spark, d):
+    return quality.duplicates(_table(spark, d, "customer").select(F.nullif(F.col("c_nationkey"), F.lit(3)).alias("k")), ["k"])
+
+
+@_register("contract_drift", "SELECT column_name FROM (VALUES ('c_mktsegment'), ('c_nationkey')) t(column_name)")
+def _(spark, d):
+    found = quality.undocumented(_table(spark, d, "customer"), ["C_CUSTKEY", "c_name", "c_acctbal", "gone"])
+    return spark.createDataFrame([(c,) for c in found], "column_name string")
+
+
+_V = "SELECT {key} FROM {table} WHERE {where}"
+
+
+def _rule(name: str, table: str, key: str, rule: Callable[[DataFrame], DataFrame], where: str) -> None:
+    @_register(name, _V.format(key=key, table=table, where=where))
+    def _(spark, d):
+        return rule(_table(spark, d, table)).select(*[k.strip() for k in key.split(",")])
+
+
+@_register("q_primary_key", "SELECT count(*) FILTER (l_orderkey IS NULL) AS l_orderkey, count(*) FILTER (l_linenumber IS NULL) AS l_linenumber FROM lineitem")
+def _(spark, d):
+    return quality.not_null(_table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@_register("q_surrogate_key", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def _(spark, d):
+    return quality.duplicates(_table(spark, d, "orders"), ["o_custkey"])
+
+
+@_register("q_unique_ids", "SELECT count(*) AS n FROM (SELECT event_id FROM events GROUP BY event_id HAVING count(*) > 1)")
+def _(spark, d):
+    return quality.duplicates(_table(spark, d, "events"), ["event_id"]).agg(F.count("*").alias("n"))
+
+
+@_register("q_not_null_columns", "SELECT " + ", ".join(f"count(*) FILTER ({c} IS NULL) AS {c}" for c in ("c_name", "c_acctbal", "c_mktsegment")) + " FROM customer")
+def _(spark, d):
+    return quality.not_null(_table(spark, d, "customer"), ["c_name", "c_acctbal", "c_mktsegment"])
+
+
+@_register("q_referential_integrity", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 7)")
+def _(spark, d):
+    return quality.referential_integrity(_table(spark, d, "orders"), "o_custkey", _table(spark, d, "customer").where("c_nationkey <> 7"), "c_custkey").select("o_orderkey")
+
+
+_rule("q_max_value", "lineitem", "l_orderkey, l_linenumber", lambda df: quality.max_value(df, "l_quantity", 49), "l_quantity > 49")
+_rule("q_min_value", "customer", "c_custkey", lambda df: quality.min_value(df, "c_acctbal", 0), "c_acctbal < 0")
+_rule("q_accepted_values", "orders", "o_orderkey", lambda df: quality.accepted_values(df, "o_orderstatus", ["O", "F"]), "o_orderstatus NOT IN ('O', 'F')")
+_rule("q_regex_match", "part", "p_partkey", lambda df: quality.regex_match(df, "p_brand", "[0-4]$"), "NOT regexp_matches(p_brand, '[0-4]$')")
+_rule("q_date_validity", "events", "event_id", lambda df: quality.date_validity(df, "event_type"), "event_type IS NOT NULL AND try_cast(event_type AS DATE) IS NULL")
+_rule("q_date_range", "orders", "o_orderkey", lambda df: quality.date_range(df, "o_orderdate", "1993-01-01", "1997-06-30"), "CAST(o_orderdate AS DATE) NOT BETWEEN DATE '1993-01-01' AND DATE '1997-06-30'")
+_rule("q_sum_check", "lineitem", "l_orderkey, l_linenumber", lambda df: quality.sum_check(df, ["l_quantity", "l_tax"], 50), "l_quantity + l_tax > 50")
+
+_E = "embeddings"
+_DOT = "list_sum(list_transform(list_zip(a::DOUBLE[], b::DOUBLE[]), lambda z: z[1] * z[2]))"
+_NORM = "sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))"
+_CENTROID = "(SELECT list(m ORDER BY dim) AS c FROM (SELECT dim, avg(x) AS m FROM (SELECT unnest(embedding::DOUBLE[]) AS x, unnest(range(1, len(embedding) + 1)) AS dim FROM {}) GROUP BY dim))"
+_rule("q_embedding_dimension", _E, "vec_id", lambda df: quality.embedding_dimension(df, "embedding", 32), "len(embedding) <> 32")
+_rule("q_embedding_normalization", _E, "vec_id", lambda df: quality.embedding_normalization(df, "embedding", 0.5), f"abs({_NORM} - 1) > 0.5")
+_rule("q_embedding_range", _E, "vec_id", lambda df: quality.embedding_range(df, "embedding", -2.0, 2.0), "list_min(embedding) < -2.0 OR list_max(embedding) > 2.0")
+_rule("q_embedding_sparsity", _E, "vec_id", lambda df: quality.embedding_sparsity(df, "embedding", -0.5), "len(list_filter(embedding, lambda x: x = 0)) / len(embedding) > -0.5")
+
+
+def _counted(name: str, rule: Callable[[DataFrame], DataFrame], where: str) -> None:
+    @_register(name, f"SELECT count(*) FILTER ({where}) AS n FROM embeddings")
+    def _(spark, d):
+        return rule(_table(spark, d, _E)).agg(F.count("*").alias("n"))
+
+
+_counted("q_embedding_nan", lambda df: quality.embedding_nan(df, "embedding"), "len(list_filter(embedding, lambda x: isnan(x))) > 0")
+_counted("q_embedding_null", lambda df: quality.embedding_null(df, "embedding"), "embedding IS NULL OR len(list_filter(embedding, lambda x: x IS NULL)) > 0")
+_counted("q_embedding_zero_vector", lambda df: quality.embedding_zero_vector(df, "embedding"), "len(list_filter(embedding, lambda x: x <> 0)) = 0")
+
+
+@_register("q_embedding_distribution", """
+    SELECT (dim - 1)::INTEGER AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS deviation
+    FROM (SELECT unnest(embedding::DOUBLE[]) AS x, unnest(range(1, len(embedding) + 1)) AS dim FROM embeddings) GROUP BY dim""")
+def _(spark, d):
+    return quality.embedding_distribution(_table(spark, d, _E), "embedding").select("dim", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
+@_register("q_embedding_similarity", "SELECT vec_id FROM (SELECT vec_id, embedding AS a, list_transform(range(64), lambda i: 1.0) AS b FROM embeddings) WHERE " + _DOT + " / (sqrt(list_sum(list_transform(a::DOUBLE[], lambda x: x * x))) * 8.0) < 0.0")
+def _(spark, d):
+    return quality.embedding_similarity(_table(spark, d, _E), "embedding", [1.0] * 64, 0.0).select("vec_id")
+
+
+@_register("q_embedding_consistency", "SELECT vec_id, round(" + _DOT + " / (sqrt(list_sum(list_transform(a::DOUBLE[], lambda x: x * x))) * sqrt(list_sum(list_transform(b::DOUBLE[], lambda x: x * x)))), 6) AS cosine FROM (SELECT vec_id, embedding AS a, list_reverse(embedding) AS b FROM embeddings) WHERE cosine < 0.1")
+def _(spark, d):
+    df = _table(spark, d, _E)
+    return quality.embedding_consistency(df, df.withColumn("embedding", F.reverse("embedding")), "vec_id", "embedding", 0.1).withColumn("cosine", F.round("cosine", 6))
+
+
+@_register("q_embedding_drift", "SELECT round(sqrt(list_sum(list_transform(list_zip(a.c, b.c), lambda z: (z[1] - z[2]) ** 2))), 6) AS drift FROM " + _CENTROID.format("(SELECT * FROM embeddings WHERE label < 5)") + " a, " + _CENTROID.format("(SELECT * FROM embeddings WHERE label >= 5)") + " b")
+def _(spark, d):
+    df = _table(spark, d, _E)
+    return quality.embedding_drift(df.where("label < 5"), df.where("label >= 5"), "embedding").select(F.round("drift", 6).alias("drift"))
+
+
+@_register("q_embedding_outliers", """
+    WITH d AS (SELECT vec_id, sqrt(list_sum(list_transform(list_zip(embedding::DOUBLE[], c), lambda z: (z[1] - z[2]) ** 2))) AS x FROM embeddings, """ + _CENTROID.format("embeddings") + """)
+    SELECT vec_id, round((x - m) / s, 6) AS z FROM d, (SELECT avg(x) AS m, stddev_pop(x) AS s FROM d) WHERE (x - m) / s > 1.5""")
+def _(spark, d):
+    return quality.embedding_outliers(_table(spark, d, _E), "vec_id", "embedding", 1.5).withColumn("z", F.round("z", 6))
+
+
+@_register("q_embedding_duplicates", "SELECT x.vec_id AS left_id, y.vec_id AS right_id, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.95")
+def _(spark, d):
+    return quality.embedding_duplicates(_table(spark, d, _E), "vec_id", "embedding", 0.95, ["label"]).withColumn("cosine", F.round("cosine", 6))
+
+
+@_register("q_embedding_uniqueness", "SELECT round(count(DISTINCT embedding) / count(embedding), 6) AS ratio FROM embeddings")
+def _(spark, d):
+    return quality.embedding_uniqueness(_table(spark, d, _E), "embedding").select(F.round("ratio", 6).alias("ratio"))
+
+
+@_register("q_embedding_completeness", "SELECT round(count(embedding) / count(*), 6) AS ratio FROM embeddings")
+def _(spark, d):
+    return quality.embedding_completeness(_table(spark, d, _E), "embedding").select(F.round("ratio", 6).alias("ratio"))
+
+
+# Scans
+
+_HITS = " UNION ALL ".join(
+    f"SELECT doc_id, '{p.name}' AS rule, '{p.severity}' AS severity, '{p.action}' AS action, regexp_extract(text, '{p.regex}', 0) AS matched FROM documents WHERE regexp_matches(text, '{p.regex}')" for p in scan.DEFAULT_PATTERNS
+)
+
+
+@_register("pii_scan", _HITS)
+def _(spark, d):
+    return scan.scan(_table(spark, d, "documents"), "text", keep=["doc_id"])
+
+
+@_register("pii_guard", f"SELECT rule, severity, action, count(*) AS n, CASE action WHEN 'block' THEN 'error' WHEN 'ignore' THEN 'ignored' ELSE 'warning' END AS verdict FROM ({_HITS}) GROUP BY ALL")
+def _(spark, d):
+    return scan.decide(scan.scan(_table(spark, d, "documents"), "text"), strict=True)
+
+
+@_register("pii_lint", f"SELECT max(regexp_matches(text, '{scan.EMAIL}') OR regexp_matches(text, '{scan.CREDIT_CARD}')) AS text, max(regexp_matches(lang, '{scan.EMAIL}')) AS lang FROM documents")
+def _(spark, d):
+    docs = _table(spark, d, "documents")
+    return docs.agg(F.max(F.col("text").rlike(scan.EMAIL) | F.col("text").rlike(scan.CREDIT_CARD)).alias("text"), F.max(F.col("lang").rlike(scan.EMAIL)).alias("lang"))
+
+
+_sql("document_flags", "SELECT doc_id, text LIKE '%@%' AS has_at, CASE WHEN text LIKE '%http%' THEN 'link' ELSE 'plain' END AS kind FROM {documents}")
+
+# Anomalies
+
+
+@_register("rowcount_anomaly", """
+    WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), l AS (SELECT *, lag(n) OVER (ORDER BY day) AS previous FROM d)
+    SELECT day, n, previous, CASE WHEN previous IS NULL THEN 'no_history' WHEN abs(n - previous) / previous > 0.1 THEN 'anomaly' ELSE 'ok' END AS verdict FROM l""")
+def _(spark, d):
+    daily = _table(spark, d, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    return anomaly.row_count_history(daily, "day", "n", 0.1)
+
+
+@_register("zscore_fold", """
+    WITH RECURSIVE d AS (SELECT event_type, CAST(ts AS DATE) AS day, round(avg(value), 6) AS v FROM events GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i FROM d),
+    f AS (SELECT event_type, day, v, i, 'no_history' AS verdict, v AS mean, 0.0::DOUBLE AS var, 1::BIGINT AS n FROM r WHERE i = 1
+      UNION ALL SELECT event_type, day, v, i, verdict, CASE WHEN verdict = 'anomaly' THEN mean ELSE m2 END, CASE WHEN verdict = 'anomaly' THEN var ELSE (var * n + (v - mean) * (v - m2)) / (n + 1) END,
+          CASE WHEN verdict = 'anomaly' THEN n ELSE n + 1 END FROM (
+        SELECT r.event_type, r.day, r.v, r.i, f.mean, f.var, f.n, f.mean + (r.v - f.mean) / (f.n + 1) AS m2,
+            CASE WHEN f.n < 2 THEN 'no_history' WHEN sqrt(f.var) <= 1e-9 THEN 'ok' WHEN abs(r.v - f.mean) / sqrt(f.var) > 2 THEN 'anomaly' ELSE 'ok' END AS verdict
+        FROM f JOIN r ON r.event_type = f.event_type AND r.i = f.i + 1))
+    SELECT event_type, day, v, verdict FROM f""")
+def _(spark, d):
+    daily = _table(spark, d, "events").groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.round(F.avg("value"), 6).alias("v"))
+    return anomaly.z_fold(daily, "day", "v", ["event_type"], 2.0)
+
+
+@_register("column_averages", "SELECT column_name, round(mean, 4) AS mean FROM (SELECT 'p_size' AS column_name, avg(p_size) AS mean FROM part UNION ALL SELECT 'p_retailprice', avg(p_retailprice) FROM part)")
+def _(spark, d):
+    return spark.createDataFrame([(k, round(v, 4)) for k, v in anomaly.averages(_table(spark, d, "part"), ["p_size", "p_retailprice"]).items()], "column_name string, mean double")
+
+
+# Lineage over frames
+
+_MODELS = "(VALUES ('stg_users', 2), ('int_users', 1), ('mart', 3)) m(model, level)"
+_EDGES = "(VALUES ('stg_users', 'int_users'), ('int_users', 'mart')) e(parent, child)"
+_COLUMNS = "(VALUES ('stg_users', 'email', 'hash'), ('int_users', 'email', CAST(NULL AS VARCHAR)), ('mart', 'email', 'hash')) c(model, col, policy)"
+
+
+def _lineage_frames(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
+        spark.createDataFrame([("stg_users", 2), ("int_users", 1), ("mart", 3)], "model string, level int"),
+        spark.createDataFrame([("stg_users", "int_users"), ("int_users", "mart")], "parent string, child string"),
+        spark.createDataFrame([("stg_users", "email", "hash"), ("int_users", "email", None), ("mart", "email", "hash")], "model string, column string, policy string"),
+    )
+
+
+@_register("lineage_flows", f"SELECT e.parent, e.child, u.col AS \"column\", d.policy IS NOT NULL AS secured FROM {_EDGES} JOIN {_COLUMNS.replace(' c(', ' u(')} ON u.model = e.parent AND u.policy IS NOT NULL JOIN {_COLUMNS.replace(' c(', ' d(')} ON d.model = e.child AND d.col = u.col")
+def _(spark, d):
+    from palisade.plans import lineage
+
+    _, edges, columns = _lineage_frames(spark)
+    return lineage.flow_frame(edges, columns)
+
+
+@_register("lineage_levels", f"SELECT parent, child, c.level < p.level AS downgrade, c.level > p.level AS critical FROM {_EDGES} JOIN {_MODELS.replace(' m(', ' p(')} ON p.model = parent JOIN {_MODELS.replace(' m(', ' c(')} ON c.model = child")
+def _(spark, d):
+    from palisade.plans import lineage
+
+    models, edges, _ = _lineage_frames(spark)
+    return lineage.level_frame(models, edges)
