@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,14 @@ import zstandard
 from palisade.llm.hashing import U, flat
 
 #: Words that one flush covers at least; it bounds a task's memory.
-FLUSH_WORDS = 2_000_000
+FLUSH_WORDS = 1_000_000
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and the allocator would keep it."""
+    pa.default_memory_pool().release_unused()
+    if (give := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        give(0)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -61,3 +69,5 @@ def flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array,
             ids, ths, words, lengths, held, k = [], [], [], [], 0, k + 1
     if ids:
         yield f"{part}-{k}", pa.concat_arrays(ids), pa.concat_arrays(ths), np.concatenate(words), np.concatenate(lengths)
+    del ids, ths, words, lengths
+    trim()

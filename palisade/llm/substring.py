@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import common
-from palisade.llm.blobs import bucket_edges, flushes, pack, pack_sorted, unpack, unpack_sorted
+from palisade.llm.blobs import bucket_edges, flushes, pack, pack_sorted, trim, unpack, unpack_sorted
 from palisade.llm.hashing import U, mix, ranges, starts_of, window_hashes, word_hashes
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -44,7 +44,7 @@ def _blobs(flush: str, ids: np.ndarray, ties: np.ndarray, hashes: np.ndarray, ch
         out["bucket"].append(b)
         for name, blob in (
             ("hash", pack_sorted(hashes[i:j])),
-            ("check", pack(checks[i:j].astype(np.uint8))),
+            ("check", pack(checks[i:j])),
             ("doc", pack(doc.ravel().astype(np.uint32))),
             ("pos", pack(pos[i:j].astype(np.uint32))),
             ("idx", pack(np.diff(here, prepend=0).astype(np.uint32))),
@@ -73,7 +73,8 @@ def _first(length: int, buckets: int):
             idx = np.repeat(np.arange(len(lengths)), full)
             names, ties = _names(ids, ths)
             pos = at - starts_of(lengths)[idx]
-            yield _blobs(flush, names, ties, window_hashes(words, length, _BASES[0])[at], window_hashes(words, length, _BASES[1])[at] & U(0xFF), idx, pos, buckets)
+            checks = (window_hashes(words, length, _BASES[1])[at] & U(0xFF)).astype(np.uint8)
+            yield _blobs(flush, names, ties, window_hashes(words, length, _BASES[0])[at], checks, idx, pos, buckets)
             yield pa.RecordBatch.from_arrays([pa.array([-1 - zlib.crc32(flush.encode()) % buckets], pa.int32()), pa.array([flush]), *(pa.nulls(1, pa.binary()) for _ in range(7)), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([ths.to_pylist()], pa.list_(pa.int64()))], schema=_SENT)
 
     return run
@@ -116,6 +117,7 @@ def _repeated(table: pa.Table) -> pa.Table:
     later[order] = p != least[kind]
     out: dict[str, list] = {x: [] for x in ("flush", "hash", "check", "idx", "pos", "later")}
     ends = np.cumsum(sizes)
+    del order, h, c, p, new, kind
     for k, flush in enumerate(table.column("flush").to_pylist()):
         span = slice(ends[k] - sizes[k], ends[k])
         has = repeats[span]
@@ -129,6 +131,8 @@ def _repeated(table: pa.Table) -> pa.Table:
         out["pos"].append(pack((place[span][has] & 0xFFFFFFFF).astype(np.uint32)))
         out["later"].append(pack(later[span][has].astype(np.uint8)))
     k = len(out["flush"])
+    del parts, docs, place, hashes, checks, repeats, later
+    trim()
     return pa.table([pa.array(out["flush"], pa.string()), *(pa.array(out[x], pa.binary()) for x in ("hash", "check", "idx", "pos", "later")), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64()))], schema=_KEPT)
 
 
@@ -162,7 +166,7 @@ def _doubled(length: int, buckets: int):
             return _SENT.empty_table()
         left, right = order[has], order[at[has]]
         h = mix(hashes[left] * U(_BASES[0]) + hashes[right])
-        c = (checks[left].astype(np.int64) * 157 + checks[right]) & 0xFF
+        c = checks[left] * np.uint8(157) + checks[right]
         return pa.Table.from_batches([_blobs(table.column("flush")[0].as_py(), *_names(*members), h, c, idx[left], pos[left], buckets)])
 
     return run
@@ -200,7 +204,7 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
         raise ValueError("a passage has at least one word")
     spark = docs.sparkSession
     common.ship(spark)
-    buckets = common.partitions(spark)
+    buckets = 2 * common.partitions(spark)
     inputs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("w"))
     sent = inputs.mapInArrow(_first(min_words, buckets), _SENT_SQL)
     base = common.materialize(sent.groupBy("bucket").applyInArrow(_repeated, _KEPT_SQL), "level")
