@@ -9,6 +9,7 @@ exists, so of two writers one has to try again on top of the other's.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
@@ -202,8 +203,11 @@ class ShardStore:
             return self.spark.createDataFrame([], schema).withColumn("shard", F.lit(None).cast("string"))
         return self.spark.read.schema(schema).parquet(*[f"{self.data}/{s['name']}" for s in now["shards"]]).withColumn("shard", F.col("_metadata.file_name"))
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete the shards that none of the newest ``keep`` versions lists, and older manifests; how many files went."""
+    def vacuum(self, keep: int = 1, least_age: float = 86_400.0) -> int:
+        """Delete the shards that none of the newest ``keep`` versions lists, and older manifests; how many shards went.
+
+        Files younger than ``least_age`` seconds stay: they may belong to a writer that hasn't committed yet.
+        """
         newest = self.version()
         versions = [v for v in range(max(1, newest - keep + 1), newest + 1)]
         live = {s.name for v in versions for s in self.shards(v)}
@@ -211,10 +215,11 @@ class ShardStore:
         listing = self._fs.listFiles(self._path(self.data), True)
         prefix = self._path(self.data).toUri().getPath()
         while listing.hasNext():
-            path = listing.next().getPath()
-            if path.toUri().getPath()[len(prefix) + 1 :] not in live:
+            status = listing.next()
+            path = status.getPath()
+            if path.toUri().getPath()[len(prefix) + 1 :] not in live and status.getModificationTime() <= (time.time() - least_age) * 1000:
                 self._fs.delete(path, False)
-                gone += 1
+                gone += path.getName().endswith(".parquet")
         for v in range(1, max(1, newest - keep + 1)):
             self._fs.delete(self._path(f"{self.root}/manifests/v{v:010d}.json"), False)
         return gone
@@ -229,5 +234,5 @@ def compacted(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
     store = ShardStore(docs.sparkSession, common.fresh_path(docs.sparkSession, "shards"))
     store.append(named)
     store.compact(target_bytes)
-    store.vacuum()
+    store.vacuum(least_age=0)
     return store.read()
