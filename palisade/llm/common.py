@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import os
 import tempfile
@@ -29,9 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_MADE: set[str] = set()
+
+
+@atexit.register
+def _clear() -> None:
+    """Delete what this driver left in the shared folder."""
+    for path in _MADE:
+        fs, name = local_path(path)
+        with contextlib.suppress(OSError):
+            fs.delete_dir(name)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder."""
-    return f"{shared_dir(spark)}/palisade/{name}-{uuid.uuid4().hex}"
+    """An unused path in the shared folder; what is there is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/palisade/{name}-{uuid.uuid4().hex}"
+    _MADE.add(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +66,7 @@ def discard(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table._palisade_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _MADE.discard(table._palisade_path)
 
 
 def release_shuffles(spark: SparkSession) -> None:

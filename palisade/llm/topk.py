@@ -129,7 +129,7 @@ def _search(k: int):
     return run
 
 
-def search(vectors: DataFrame, k: int = 10, id_column: str = "vec_id", column: str = "embedding", block_rows: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, k: int = 10, id_column: str = "vec_id", column: str = "embedding", block_rows: int = 1024) -> DataFrame:
     """The ``k`` nearest others of every vector: ``vec_id``, ``rank`` from 1, ``neighbor_id``, Euclidean ``distance``.
 
     Every row is a query and a candidate for all others. Of equal distances the lesser id comes first, a null id before all.
