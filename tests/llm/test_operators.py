@@ -308,7 +308,7 @@ def test_quality_keeps_the_good(spark):
 
 
 def test_quality_order_and_awkward(spark):
-    rules = [quality.Rule("none", "false"), quality.Rule("all", "true"), quality.Rule("half", "words > 1")]
+    rules = [quality.Rule("none", "false"), quality.Rule("all", "true"), quality.Rule("half", "length(text) > 1")]
     ordered = quality.order_rules([quality.Estimate(rules[0], 1.0, 0.0), quality.Estimate(rules[1], 4.0, 1.0), quality.Estimate(rules[2], 1.0, 0.5)])
     assert [r.name for r in ordered] == ["half", "all", "none"]
     df = docs(spark, AWKWARD, True)
