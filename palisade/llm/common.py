@@ -69,6 +69,18 @@ def discard(*tables: DataFrame) -> None:
         _MADE.discard(table._palisade_path)
 
 
+#: Bytes of a written table (compressed) up to which it is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_small(table: DataFrame) -> DataFrame:
+    """``table``, written by ``materialize``, to be broadcast if its files are small, and to be sorted and merged otherwise."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._palisade_path)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return table.hint("broadcast" if size <= BROADCAST_BYTES else "merge")
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let the driver's cleaner drop the shuffle files of plans that are no longer referenced.
 

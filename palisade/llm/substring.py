@@ -182,10 +182,16 @@ def _spans(min_words: int):
         ids, ths = _members(table)
         longest = np.zeros(len(ids), np.int32)
         spans: dict[int, list] = {}
-        for level in np.unique(table.column("level").to_numpy()):
-            _, _, idx, pos, later = _opened(table.filter(pa.compute.equal(table.column("level"), level)))
+        found = table.filter(table.column("idx").is_valid())
+        for level in np.unique(found.column("level").to_numpy()):
+            rows = found.filter(pa.compute.equal(found.column("level"), level))
+            idx = np.concatenate([unpack(b, np.uint32) for b in rows.column("idx").to_pylist()]).astype(np.int64)
             longest[idx] = np.maximum(longest[idx], level)
-            if level == min_words and later.any():
+            if level != min_words:
+                continue
+            pos = np.concatenate([unpack(b, np.uint32) for b in rows.column("pos").to_pylist()]).astype(np.int64)
+            later = np.concatenate([unpack(b, np.uint8) for b in rows.column("later").to_pylist()]).astype(bool)
+            if later.any():
                 place = np.sort((idx[later] << 32) | pos[later])
                 cut = np.nonzero(np.diff(place) > min_words)[0]
                 start, stop = place[np.concatenate([[0], cut + 1])], place[np.concatenate([cut, [len(place) - 1]])] + min_words
@@ -220,9 +226,9 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
         length *= 2
         levels.append((length, common.materialize(sent.groupBy("bucket").applyInArrow(_repeated, _KEPT_SQL), "level")))
         del sent
-    every = base.withColumn("level", F.lit(min_words))
+    every = base.select("flush", F.lit(min_words).alias("level"), "idx", "pos", "later", "ids", "ths")
     for at, level in levels[1:]:
-        every = every.unionByName(level.withColumn("level", F.lit(at)))
+        every = every.unionByName(level.where("idx IS NOT NULL").select("flush", F.lit(at).alias("level"), "idx"), allowMissingColumns=True)
     found = every.groupBy("flush").applyInArrow(_spans(min_words), _DOCS_SQL).dropDuplicates(["doc_id", "th"])
     out = common.materialize(found, "repeats")
     common.discard(*[level for _, level in levels])
@@ -244,7 +250,7 @@ def _shown(spans: Column) -> Column:
 def _joined(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     left = docs.select(row, F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t")).alias("l")
-    return left.join(found.alias("f"), F.col("l.d").eqNullSafe(F.col("f.doc_id")) & (F.col("l.t") == F.col("f.th")), how)
+    return left.join(common.broadcast_small(found).alias("f"), F.col("l.d").eqNullSafe(F.col("f.doc_id")) & (F.col("l.t") == F.col("f.th")), how)
 
 
 def report(docs: DataFrame, min_words: int = 50) -> DataFrame:
