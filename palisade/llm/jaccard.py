@@ -394,8 +394,8 @@ def keep_one(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
     names = docs.columns
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"))
     match = F.col("tagged.d").eqNullSafe(F.col("v.d")) & (F.col("tagged.t") == F.col("v.t"))
-    kept = tagged.alias("tagged").join(verdict.alias("v"), match, "left_anti").select("row.*")
-    twice = verdict.where("stays")
+    kept = tagged.alias("tagged").join(common.broadcast_small(verdict).alias("v"), match, "left_anti").select("row.*")
+    twice = common.broadcast_small(verdict).where("stays")
     if not twice.limit(1).count():
         return kept
     once = tagged.alias("tagged").join(twice.alias("v"), match, "left_semi").dropDuplicates(["d", "t"]).select("row.*")
