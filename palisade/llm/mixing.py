@@ -33,6 +33,14 @@ class Solution:
     residual: float
 
 
+#: Cells (sources times languages) up to which their exponents are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_CELLS = 100_000
+
+
+def _small(cells: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(cells) if count <= BROADCAST_CELLS else cells
+
+
 def tokens(text: Column) -> Column:
     """Words of a text; 0 for a null one."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
@@ -88,7 +96,7 @@ def solve(counts: DataFrame, source_weights: Mapping | None, source_alpha: float
     def evaluate(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """The dual's value, gradient and curvature at ``x``: one pass over the counts."""
         cells = [(r["source"], r["lang"], float(x[at_s[r["source"]]] + x[at_l[r["lang"]]])) for r in first]
-        exponents = spark.createDataFrame(cells, "s string, l string, e double")
+        exponents = _small(spark.createDataFrame(cells, "s string, l string, e double"), len(cells))
         w = mass * F.exp(F.col("e") + float(x[-1]) * z) / total
         sums = (
             counts.join(exponents, F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l")))
@@ -134,7 +142,7 @@ def _rated(docs: DataFrame, source_weights: Mapping | None, source_alpha: float,
     found = solve(counts, source_weights, source_alpha, lang_alpha, epochs)
     common.discard(counts)
     cells = [(s, l, a + b) for s, a in found.sources.items() for l, b in found.langs.items()] if found else []
-    exponents = spark.createDataFrame(cells, "s string, l string, e double")
+    exponents = _small(spark.createDataFrame(cells, "s string, l string, e double"), len(cells))
     center, scale, slope = (found.center, found.scale, found.slope) if found else (0.0, 1.0, 0.0)
     joined = rows.join(exponents, F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l")), "left")
     tilted = F.coalesce(F.exp(F.col("e") + slope * (F.log("n") - center) / scale), F.lit(0.0))
