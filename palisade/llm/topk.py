@@ -1,6 +1,6 @@
 """Exact top-k search with multi-resolution segment statistics.
 
-A vector is cut into 1, 4 and 16 segments. For segments of m numbers, m times the squared differences of their means and
+A vector is cut into 1, 4 and 16 segments, and at last into its numbers. For segments of m numbers, m times the squared differences of their means and
 of their deviations sum up to no more than the squared distance. So of the pairs of a block of queries and a block of
 vectors only those go on from one resolution to the next whose bound doesn't exceed the query's k-th distance so far, and
 exact distances are computed for what is left. Blocks follow the mean; a first pass inside each block gives every query a
@@ -21,12 +21,14 @@ CHUNK = 32
 
 
 def segments(dims: int) -> list[int]:
-    """Numbers of segments, coarse to fine, that divide the dimensions evenly."""
-    return [s for s in (1, 4, 16) if dims % s == 0 and s < dims] or [1]
+    """Numbers of segments, coarse to fine, that divide the dimensions evenly; at the finest every number is one."""
+    return [s for s in (1, 4, 16) if dims % s == 0 and s < dims] + [dims]
 
 
 def statistics(vectors: np.ndarray, count: int) -> np.ndarray:
     """Means and deviations of ``count`` segments, scaled so that squared differences sum up to the bound."""
+    if count == vectors.shape[1]:
+        return vectors
     parts = vectors.reshape(len(vectors), count, -1)
     return np.concatenate([parts.mean(2), parts.std(2)], 1) * np.sqrt(parts.shape[2])
 
@@ -37,22 +39,22 @@ def nearest(queries: np.ndarray, vectors: np.ndarray, limit: np.ndarray, same: b
     ``same`` says that both are one block, where no vector meets itself. Bounds get a slack for rounding.
     """
     slack = 1e-9 * (1.0 + (queries**2).sum(1) + (vectors**2).sum(1).max(initial=0.0))
-    x = y = None
+    within, x, y = np.ones((len(queries), len(vectors)), bool), None, None
+    if same:
+        np.fill_diagonal(within, False)
     for count in segments(queries.shape[1]):
         a, b = statistics(queries, count), statistics(vectors, count)
-        if x is None or len(x) > 0.05 * len(a) * len(b):
+        if x is None:
+            # As long as many pairs are left, bounds of all pairs by one matrix product cost less than picking them out.
             bound = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T
-            within = bound <= (limit + slack)[:, None]
-            if x is not None:
-                kept = np.zeros_like(within)
-                kept[x, y] = True
-                within &= kept
-            if same:
-                np.fill_diagonal(within, False)
-            x, y = np.nonzero(within)
+            within &= bound <= (limit + slack)[:, None]
+            if np.count_nonzero(within) <= 0.02 * within.size:
+                x, y = np.nonzero(within)
         else:
             kept = ((a[x] - b[y]) ** 2).sum(1) <= limit[x] + slack[x]
             x, y = x[kept], y[kept]
+    if x is None:
+        x, y = np.nonzero(within)
     d = np.empty(len(x))
     for low in range(0, len(x), 200_000):
         part = slice(low, low + 200_000)
@@ -89,7 +91,7 @@ def _blocks(k: int):
                 d[np.arange(len(d)), np.arange(low, low + len(d))] = np.inf
                 limit[part] = np.partition(d, k - 1, axis=1)[:, k - 1]
             limit += 1e-9 * (1.0 + squares + squares.max())
-        coarse = statistics(data, 1)
+        coarse = statistics(data, 1) if dims > 1 else np.concatenate([data, np.zeros_like(data)], 1)
         return pa.table(
             [table.column("block").slice(0, 1), pa.array([table.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([data.tobytes()], pa.binary()), pa.array([dims], pa.int32()), pa.array([coarse.min(0).tolist()]), pa.array([coarse.max(0).tolist()]), pa.array([float(limit.max())]), pa.array([limit.tobytes()], pa.binary())],
             schema=_BLOCK_ARROW,
