@@ -10,6 +10,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Words over which the share of distinct ones is taken: as many as the longest of the given documents has.
+BLOCK_WORDS = 20_000
+
+
 @dataclass(frozen=True)
 class Rule:
     """``rejects`` is an SQL expression over the column ``text``; true or null means that the rule rejects."""
@@ -19,7 +23,6 @@ class Rule:
 
 
 def production_rules(
-    max_words: int = 100_000,
     mean_word: tuple[float, float] = (3.0, 10.0),
     max_symbols: float = 0.05,
     max_upper: float = 0.3,
@@ -27,17 +30,24 @@ def production_rules(
     min_distinct: float = 0.3,
     max_repeated_lines: float = 0.3,
     max_word_chars: int = 1000,
+    block_words: int = BLOCK_WORDS,
 ) -> list[Rule]:
     """The production rules.
 
     Shares carry an absolute allowance, so that one odd word doesn't condemn a document of three words. There is no
-    lower bound on words beyond one: the labelled documents of one or two words are good ones.
+    lower bound on words beyond one: the labelled documents of one or two words are good ones. There is no upper one
+    either. The share of distinct words falls with the length of any prose, so it is taken over consecutive blocks of
+    ``block_words`` words, the last as long as it is, and weighs each by its words.
     """
     words = r"regexp_count(text, '\\S+')"
     letters = r"length(regexp_replace(text, '[^\\p{L}]', ''))"
+    # The words are bound to a variable, or each block would split the text anew.
+    distinct = (
+        r"transform(array(split(trim(regexp_replace(text, '\\s+', ' ')), ' ')), w -> aggregate("
+        f"sequence(1, greatest(size(w), 1), {block_words}), 0, (n, i) -> n + size(array_distinct(slice(w, i, {block_words})))))[0]"
+    )
     return [
         Rule("no_words", r"NOT text RLIKE '\\S'"),
-        Rule("too_many_words", f"length(text) > {2 * max_words - 1} AND {words} > {max_words}"),
         Rule("giant_word", rf"text RLIKE '\\S{{{max_word_chars + 1}}}'"),
         Rule(
             "word_length",
@@ -48,7 +58,7 @@ def production_rules(
         Rule("no_letters", rf"{words} - regexp_count(text, '\\S*\\p{{L}}\\S*') > {max_wordlike_gap}D * {words} + 3"),
         Rule(
             "repeated_words",
-            rf"{words} >= 20 AND size(array_distinct(split(trim(regexp_replace(text, '\\s+', ' ')), ' '))) < {min_distinct}D * {words}",
+            f"{words} >= 20 AND {distinct} < {min_distinct}D * {words}",
         ),
         Rule(
             "repeated_lines",
@@ -145,7 +155,8 @@ def filter_documents(docs: DataFrame, rules: Sequence[Rule] | None = None, sampl
     return docs.where(~cascade(ordered))
 
 
-#: The same rules in DuckDB; the order doesn't matter there.
+#: The same rules in DuckDB for documents of up to BLOCK_WORDS words; the order doesn't matter there. On longer ones it still
+#: has the share of distinct words of the whole text and an upper bound on words, which reject clean documents.
 ORACLE_SQL = r"""
 WITH m AS (
     SELECT doc_id, text, length(text) AS chars, len(regexp_extract_all(text, '\S+')) AS words,

@@ -319,6 +319,21 @@ def test_quality_order_and_awkward(spark):
     assert quality.judge(docs(spark, [])).count() == 0 and quality.judge(docs(spark, [(1, "a")]), []).first()["keep"]
 
 
+def test_quality_keeps_long_clean_documents(spark):
+    rng = np.random.RandomState(8)
+    # Words by Zipf's law: of 150,000 words 13 % are distinct, of 20,000 words 38 %.
+    ranks = np.arange(1, 60_001)
+    drawn = rng.choice(ranks, 150_000, p=1 / ranks / (1 / ranks).sum())
+    letters = np.array(list("abcdefghij"))
+    words = ["w" + "".join(letters[list(map(int, str(r)))]) for r in drawn.tolist()]
+    share = lambda w: len(set(w)) / len(w)
+    assert share(words) < 0.3 < min(share(words[i : i + 20_000]) for i in range(0, 150_000, 20_000))
+    clean, looped = " ".join(words), " ".join(words[:1000] * 150)
+    half = " ".join(words[:75_000] + words[:100] * 750)
+    out = {r["doc_id"]: r["keep"] for r in quality.judge(docs(spark, [(1, clean), (2, looped), (3, half), (4, " ".join(words[:20_000]))])).collect()}
+    assert out == {1: True, 2: False, 3: False, 4: True}
+
+
 # 9 Jaccard
 
 
