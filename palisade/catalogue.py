@@ -390,7 +390,7 @@ def _(spark, d):
 
 @_register("q_embedding_duplicates", "SELECT x.vec_id AS left_id, y.vec_id AS right_id, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.95")
 def _(spark, d):
-    return quality.embedding_duplicates(_table(spark, d, _E), "vec_id", "embedding", 0.95, ["label"]).withColumn("cosine", F.round("cosine", 6))
+    return quality.embedding_duplicates(_table(spark, d, _E), "vec_id", "embedding", 0.95).withColumn("cosine", F.round("cosine", 6))
 
 
 @_register("q_embedding_uniqueness", "SELECT round(count(DISTINCT embedding) / count(embedding), 6) AS ratio FROM embeddings")

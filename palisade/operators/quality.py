@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 class DataTestError(RuntimeError):
@@ -145,17 +148,60 @@ def embedding_outliers(df: DataFrame, key: str, vector: str, threshold: float =
     return distances.crossJoin(spread).where("s > 0").select(key, ((F.col("distance") - F.col("m")) / F.col("s")).alias("z")).where(F.col("z") > threshold)
 
 
-def embedding_duplicates(df: DataFrame, key: str, vector: str, least: float, within: Sequence[str] = ()) -> DataFrame:
+def _near_pairs(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Pairs of one block, or between two: near ones by a matrix product, then their cosines summed as ``cosine`` does."""
+        ids, (p, q) = table.column("id").combine_chunks(), (table.column(c)[0].as_py() for c in ("p", "q"))
+        block = table.column("block").to_numpy()
+        data = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(block), -1)
+
+        def dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            total = np.zeros(len(x))
+            for i in range(data.shape[1]):
+                total += data[x, i] * data[y, i]
+            return total
+
+        with np.errstate(all="ignore"):
+            every = np.arange(len(data))
+            norms = np.sqrt(dots(every, every))
+            rows, others = np.nonzero((block == p) & (norms != 0))[0], np.nonzero((block == q) & (norms != 0))[0]
+            unit = data / norms[:, None]
+            right, found = unit[others].T, []
+            for low in range(0, len(rows), 256):
+                part = rows[low : low + 256]
+                # Bounds have a slack for rounding; NaN isn't below any, as in Spark's order.
+                x, y = np.nonzero(~(unit[part] @ right < least - 1e-9))
+                x, y = part[x], others[y]
+                if p == q:
+                    x, y = x[x < y], y[x < y]
+                for first in range(0, len(x), 1_000_000):
+                    a, b = x[first : first + 1_000_000], y[first : first + 1_000_000]
+                    c = dots(a, b) / (norms[a] * norms[b])
+                    kept = ~(c < least)
+                    found.append((a[kept], b[kept], c[kept]))
+        x, y, c = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table([ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(c)], names=["a", "b", "cosine"])
+
+    return run
+
+
+def embedding_duplicates(df: DataFrame, key: str, vector: str, least: float, within: Sequence[str] = (), block_rows: int = 8192) -> DataFrame:
     """Pairs of keys whose vectors have a cosine of at least ``least``, within equal values of the columns ``within``.
 
-    All pairs of a group are compared; ``within`` keeps the groups small on large tables.
+    All pairs are compared, of each group where ``within`` is given, by matrix products of blocks of about ``block_rows``
+    rows. Pairs without a cosine are none: null or empty vectors, ones with nulls, of norm 0, or of different lengths.
     """
-    a = df.select(*[F.col(c).alias(f"__w{i}") for i, c in enumerate(within)], F.col(key).alias("left_id"), F.col(vector).alias("__a"))
-    b = df.select(*[F.col(c).alias(f"__v{i}") for i, c in enumerate(within)], F.col(key).alias("right_id"), F.col(vector).alias("__b"))
-    on = F.col("left_id") < F.col("right_id")
-    for i in range(len(within)):
-        on = on & (F.col(f"__w{i}") == F.col(f"__v{i}"))
-    return a.join(b, on).select("left_id", "right_id", cosine(F.col("__a"), F.col("__b")).alias("cosine")).where(F.col("cosine") >= least)
+    named = [f"__w{i}" for i in range(len(within))]
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(within, named, strict=True)], F.col(key).alias("id"), _doubles(F.col(vector)).alias("v"))
+    rows = rows.where(reduce(lambda a, n: a & F.col(n).isNotNull(), named, F.col("id").isNotNull()) & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull()))
+    many = max(1, -(-df.count() // block_rows))
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(many)).cast("int"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q"))))
+    met = placed.select("*", F.size("v").alias("dims"), pair.alias("pair")).select(*named, "dims", "pair.*", "block", "id", "v")
+    kind = rows.schema["id"].dataType
+    out = StructType([StructField("a", kind), StructField("b", kind), StructField("cosine", DoubleType())])
+    pairs = met.groupBy(*named, "dims", "p", "q").applyInArrow(_near_pairs(least), out)
+    return pairs.where("a <> b").select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "cosine")
 
 
 def embedding_uniqueness(df: DataFrame, vector: str) -> DataFrame:
