@@ -36,6 +36,10 @@ class LineParser(HTMLParser):
         self.count = 0
         self.hidden: list[str] = []
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A bogus comment up to the next '>', as HTML has it; the parser's own raises or looks for the end far away."""
+        return self.parse_bogus_comment(i, report)
+
     def close_line(self) -> None:
         if self.held:
             text = " ".join("".join(self.held).split())
@@ -92,14 +96,11 @@ def content(html: str, radius: int = 1, strength: float = 0.5) -> tuple[str, int
     """The content lines of a page, and how many lines it has and how many of them were chosen.
 
     The threshold is ``strength`` standard deviations of the smoothed ratios. Where no line reaches it, as on pages of one
-    line or of equal ones, all lines are content. Markup that the parser gives up on ends the page there.
+    line or of equal ones, all lines are content.
     """
     parser = LineParser()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:
-        pass
+    parser.feed(html)
+    parser.close()
     parser.close_line()
     ratios = np.array([len(t) / max(c, 1) for t, c in zip(parser.lines, parser.tags, strict=True)], float)
     smoothed = smooth(ratios, radius)

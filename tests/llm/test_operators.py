@@ -172,6 +172,14 @@ def test_extraction_smoothing_and_awkward(spark):
     assert [r["text"] for r in out if r["page_id"] == 1] == [None] and extraction.extract(df.limit(0)).count() == 0
 
 
+def test_extraction_goes_on_after_odd_declarations():
+    for odd in ("<![x]>", "<![ b>", "<![0]>", "<![>", "<![endif-->", "<![if !IE]>", "<![CDATA[x]]>", "<!ELEMENT [>", "<!DOCTYPE html [<x>"):
+        text = extraction.content(f"<p>one</p>{odd}<p>two</p><p>three ]></p>")[0].split()
+        assert text[0] == "one" and text[-3:] == ["two", "three", "]>"], odd
+    assert extraction.content("<p>if a <![ b then <b>c</b> d</p><p>two</p>")[0].split()[-3:] == ["c", "d", "two"]
+    assert extraction.content("<p>one</p><![x two")[0].split()[-1] == "two"
+
+
 # 4 sharding
 
 
