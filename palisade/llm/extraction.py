@@ -7,6 +7,8 @@ with them, and split in two at a share of their standard deviation: the lines ab
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -22,6 +24,8 @@ BLOCKS = frozenset(
     " h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 HIDDEN = frozenset("head script style noscript template svg iframe object".split())
+#: What may stand in a head: any other start tag ends it, as its end tag and the body's start tag may be left out.
+HEAD = frozenset("title meta link base basefont bgsound script style template noscript noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -35,6 +39,11 @@ class LineParser(HTMLParser):
         self.held: list[str] = []
         self.count = 0
         self.hidden: list[str] = []
+        self.page = ""
+        self.ends: dict[str, int] = {}
+        self.ended: Counter[str] = Counter()
+        self.outside: Counter[str] = Counter()
+        self.inside: Counter[str] = Counter()
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """A bogus comment up to the next '>', as HTML has it; the parser's own raises or looks for the end far away."""
@@ -49,10 +58,31 @@ class LineParser(HTMLParser):
                 self.tags.append(self.count)
                 self.count = 0
 
+    def feed(self, data: str) -> None:
+        self.page = data
+        super().feed(data)
+
+    def closes(self, tag: str) -> bool:
+        """Whether an end tag of ``tag`` may still follow."""
+        if tag not in self.ends:
+            self.ends[tag] = len(re.findall(rf"</\s*{tag}\b", self.page, re.I)) - self.ended[tag]
+        return self.ends[tag] > 0
+
+    def show(self, depth: int) -> None:
+        """End the hidden elements from ``depth`` on."""
+        del self.hidden[depth:]
+        if not self.hidden:
+            self.inside.clear()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.hidden and self.hidden[-1] in ("head", "title") and (tag not in HEAD if self.hidden[-1] == "head" else tag in BLOCKS and tag != "title"):
+            self.show(self.hidden.index("head"))
         if tag == "body":
-            self.hidden.clear()
-        elif tag in HIDDEN:
+            self.show(0)
+        if tag in BLOCKS and tag not in VOID and tag != "head":
+            (self.inside if self.hidden else self.outside)[tag] += 1
+        # What is never closed can't hide anything; the parser itself reads scripts and styles to their end tags.
+        if tag in ("head", "script", "style") or tag in HIDDEN and self.closes(tag) or tag == "title" and self.hidden == ["head"]:
             self.hidden.append(tag)
         if tag in BLOCKS:
             self.close_line()
@@ -64,13 +94,24 @@ class LineParser(HTMLParser):
         self.count += 1
 
     def handle_endtag(self, tag: str) -> None:
+        self.ended[tag] += 1
+        if tag in self.ends:
+            self.ends[tag] -= 1
         if tag in self.hidden:
-            del self.hidden[self.hidden.index(tag) :]
+            self.show(self.hidden.index(tag))
+        elif self.hidden and self.inside[tag]:
+            self.inside[tag] -= 1
+        elif self.outside[tag]:
+            # The end of a block that was open before the hidden elements ends those too.
+            self.outside[tag] -= 1
+            self.show(0)
         self.count += 1
         if tag in BLOCKS:
             self.close_line()
 
     def handle_data(self, data: str) -> None:
+        if self.hidden == ["head"] and data.strip():
+            self.show(0)
         if self.hidden:
             return
         if "\n" not in data:

@@ -180,6 +180,22 @@ def test_extraction_goes_on_after_odd_declarations():
     assert extraction.content("<p>one</p><![x two")[0].split()[-1] == "two"
 
 
+def test_extraction_ends_unclosed_hidden_elements():
+    def words(html):
+        return extraction.content(html)[0].split()
+
+    assert words("<html><head><title>T</title><main><p>real text</p></main>") == ["real", "text"]
+    assert words("<head><meta charset=utf-8><title>T<main><p>real text</p></main>") == ["real", "text"]
+    assert words("<head><title>T</title><style>s</style><script>x</script>real <b>text</b>") == ["real", "text"]
+    assert words("<head><noscript><img></noscript><title>A <i>T</i></title><link></head><p>real text") == ["real", "text"]
+    for tag in ("object", "svg", "noscript", "iframe", "template"):
+        assert words(f"<body><{tag}><p>real text</p><p>more</p></body>") == ["real", "text", "more"], tag
+        # An end tag further on belongs to another element; the enclosing block's end comes first.
+        assert words(f"<div><{tag}></div><p>real text</p><{tag}><div>no</div></{tag}><p>more</p>") == ["real", "text", "more"], tag
+        assert words(f"<p>real<div><{tag}><div>no</div><p>no</p>no</{tag}>text</div>") == ["real", "text"], tag
+    assert words("<p>real<script>no</p>no") == ["real"]
+
+
 # 4 sharding
 
 
