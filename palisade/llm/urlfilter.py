@@ -23,10 +23,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     An event holds until the key's next one; ``add`` makes its ``action`` (block or allow) apply, ``remove`` nothing. Of
     events of one day the last in the order remove, add allow, add block holds. Nulls in kind, key or day void an entry;
-    repeated entries count once. ``until`` is null for the last.
+    repeated entries count once. Slashes at the end of a prefix don't count. ``until`` is null for the last.
     """
     rank = F.when(F.col("event") == "remove", 0).when(F.col("action") == "allow", 1).otherwise(2)
     valid = entries.where("kind IS NOT NULL AND key IS NOT NULL AND day IS NOT NULL AND event IN ('add', 'remove')")
+    valid = valid.withColumn("key", F.when(F.col("kind") == "prefix", F.regexp_replace("key", "/+$", "")).otherwise(F.col("key")))
     daily = valid.groupBy("kind", "key", "day").agg(F.max(rank).alias("rank"))
     following = F.lead("day").over(Window.partitionBy("kind", "key").orderBy("day"))
     return daily.withColumn("until", following).where("rank > 0").select(
@@ -35,12 +36,12 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def keys(url: Column) -> Column:
-    """All (kind, key) that an entry may name to reach ``url``: parent domains, the host, and the host with leading path parts."""
+    """All (kind, key) that an entry may name to reach ``url``: the domains up to the last label, the host, and the host with none to all leading path parts."""
     h, p = host(url), path(url)
     labels = F.split(h, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.filter(F.split(p, "/"), lambda x: x != "")
-    prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(h, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
+    prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.concat(F.array(h), F.slice(parts, F.lit(1), i)), "/"))
     tagged = lambda kind, rank, values: F.transform(values, lambda k: F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), k.alias("key")))
     return F.concat(tagged("domain", 1, domains), tagged("host", 2, F.array(h)), tagged("prefix", 3, prefixes))
 

@@ -292,6 +292,15 @@ def test_urls_awkward(spark):
     assert urlfilter.judge(c.limit(0), e).count() == 0 and urlfilter.judge(c, e.limit(0)).where("blocked").count() == 0
 
 
+def test_urls_short_keys(spark):
+    entries = [("domain", "zip", "add", "block"), ("prefix", "a.org", "add", "block"), ("prefix", "b.org/", "add", "block"), ("prefix", "c.org/ads/", "add", "block"), ("host", "ok.zip", "add", "allow")]
+    e = spark.createDataFrame([(*x, "2024-01-01") for x in entries], "kind string, key string, event string, action string, day string").withColumn("day", F.to_date("day"))
+    urls = ["http://x.y.zip/p", "http://zip", "http://ok.zip/p", "http://notzip/", "http://a.org", "http://a.org/p/q", "http://b.org/", "http://c.org/ads/1", "http://c.org/adserver", "http://a.organ/", "http://zip.org"]
+    c = spark.createDataFrame([(u, "2024-02-01") for u in urls], "url string, day string").withColumn("day", F.to_date("day"))
+    got = {r["url"]: r["matched"] for r in urlfilter.judge(c, e).collect()}
+    assert [got[u] for u in urls] == ["domain:zip", "domain:zip", "host:ok.zip", None, "prefix:a.org", "prefix:a.org", "prefix:b.org", "prefix:c.org/ads", None, None, None]
+
+
 # 7 WARC
 
 
