@@ -31,7 +31,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.compacted(_documents(spark, sf_dir)).select("doc_id", "source", "n_chars", "shard")
+    return shards.compacted(_documents(spark, sf_dir))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

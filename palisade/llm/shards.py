@@ -23,6 +23,9 @@ from palisade.llm import common
 
 TARGET_BYTES = 128 << 20
 
+#: Rows of an arriving shard: some MB of documents, well below what compaction leaves alone.
+ARRIVAL_ROWS = 2000
+
 
 class Conflict(RuntimeError):
     """Another writer committed the version first."""
@@ -225,14 +228,15 @@ class ShardStore:
         return gone
 
 
-def compacted(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
+def compacted(docs: DataFrame, target_bytes: int = TARGET_BYTES, rows_per_shard: int = ARRIVAL_ROWS) -> DataFrame:
     """``docs`` after arriving as small shards and being compacted: its rows as they were, and the ``shard`` of each.
 
+    Shards arrive with ``rows_per_shard`` rows at most, and fewer where a small table would make less than eight of them.
     Rows keep nulls, empty and long texts and repeats; a column named ``shard`` is replaced; an empty table gives no rows.
     """
     named = docs.drop("shard")
     store = ShardStore(docs.sparkSession, common.fresh_path(docs.sparkSession, "shards"))
-    store.append(named)
+    store.append(named, max(1, min(rows_per_shard, named.count() // 8)))
     store.compact(target_bytes)
     store.vacuum(least_age=0)
     return store.read()

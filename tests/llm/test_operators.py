@@ -239,6 +239,24 @@ def test_shards_awkward(spark):
     assert rows.count() == rows.select("doc_id").distinct().count() == spark.read.parquet(f"{TINY}/documents.parquet").count()
 
 
+def test_sharding_query_merges_whole_rows(spark, monkeypatch):
+    seen, compact = [], shards.ShardStore.compact
+
+    def watched(store, *args, **kwargs):
+        before = len(store.shards())
+        version = compact(store, *args, **kwargs)
+        seen.append((before, store.shards()))
+        return version
+
+    monkeypatch.setattr(shards.ShardStore, "compact", watched)
+    given = spark.read.parquet(f"{TINY}/documents.parquet")
+    rows = queries.op4_sharding(spark, TINY)
+    assert rows.columns == [*given.columns, "shard"]
+    assert rows.drop("shard").exceptAll(given).count() == 0 and rows.count() == given.count()
+    ((before, after),) = seen
+    assert before >= 8 > len(after) and any(s.level for s in after)
+
+
 # 5 substring
 
 
