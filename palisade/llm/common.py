@@ -50,11 +50,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read from there: the lineage ends at the files."""
+def materialize(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """Write ``df`` to the shared folder and return the table read from there: the lineage ends at the files. ``options`` are the writer's."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._palisade_path = path
     return out

@@ -496,6 +496,25 @@ def test_topk_awkward(spark):
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_topk_queries_and_small_files(spark, monkeypatch):
+    monkeypatch.setattr(topk, "FILE_BLOCKS", 2)
+    monkeypatch.setattr(topk, "TASK_QUERIES", 10)
+    rng = np.random.RandomState(4)
+    centers = rng.randn(6, 16) * 20
+    # A third of all rows are one vector; the others lie in clusters far apart.
+    data = np.float32([centers[0] if i % 3 == 0 else centers[i % 6] + rng.randn(16) for i in range(400)])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)] + [(None, [0.0] * 16)], "vec_id long, embedding array<float>")
+    out = {}
+    for r in topk.search(df, 5, F.col("vec_id") % 20 == 0, block_rows=8).collect():
+        out.setdefault(r["vec_id"], []).append((r["rank"], r["neighbor_id"], r["distance"]))
+    exact = np.concatenate([np.float64(data), np.zeros((1, 16))])
+    assert sorted(out) == list(range(0, 400, 20))
+    for i, found in out.items():
+        d = ((exact - exact[i]) ** 2).sum(1)
+        order = [j for j in np.lexsort((np.append(np.arange(400), -1), d)) if j != i][:5]
+        assert sorted(found) == [(k + 1, None if j == 400 else j, round(math.sqrt(d[j]), 6)) for k, j in enumerate(order)]
+
+
 def test_bounds_never_exceed_distances():
     rng = np.random.RandomState(0)
     a, b = rng.randn(50, 64), rng.randn(50, 64)
