@@ -168,58 +168,88 @@ def _classes(threshold: float):
 
 _PAIR = pa.schema([("block", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
+#: Groups of a posting list that meet in one task; longer lists are cut into tiles of so many by so many.
+TILE = 2048
+_CELLS = 8_000_000
 
-def _cooccurring(member: np.ndarray, lists: np.ndarray, k: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of the k members that share one of the m lists: a product of incidence matrices, in slices of bounded size."""
-    rows = max(1, min(k, 20_000_000 // max(k, 1)))
-    step = max(1, 20_000_000 // max(k, 1))
-    order = np.argsort(lists, kind="stable")
-    member, lists = member[order], lists[order]
-    for low in range(0, k, rows):
-        high = min(k, low + rows)
-        together = np.zeros((high - low, k), np.float32)
+
+def _cooccurring(left: tuple[np.ndarray, np.ndarray, int], right: tuple[np.ndarray, np.ndarray, int] | None, m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members of two sides that share one of the m lists: a product of incidence matrices, in slices of bounded size.
+
+    A side has the member and the list of each entry, and the number of its members. Without ``right``, pairs within ``left``.
+    """
+    sides = []
+    for member, lists, k in (left,) if right is None else (left, right):
+        order = np.argsort(lists, kind="stable")
+        sides.append((member[order], lists[order], k))
+    most = max(k for _, _, k in sides)
+    rows, step = max(1, _CELLS // max(sides[-1][2], 1)), max(1, _CELLS // max(most, 1))
+    for low in range(0, left[2], rows):
+        together = np.zeros((min(rows, left[2] - low), sides[-1][2]), np.float32)
         for begin in range(0, m, step):
-            i, j = np.searchsorted(lists, [begin, begin + step])
-            incidence = np.zeros((min(step, m - begin), k), np.float32)
-            incidence[lists[i:j] - begin, member[i:j]] = 1
-            together += incidence[:, low:high].T @ incidence
+            marks = []
+            for member, lists, k in sides:
+                i, j = np.searchsorted(lists, [begin, begin + step])
+                marks.append(np.zeros((min(step, m - begin), k), np.float32))
+                marks[-1][lists[i:j] - begin, member[i:j]] = 1
+            together += marks[0][:, low : low + rows].T @ marks[-1]
         x, y = np.nonzero(together)
         x = x + low
-        yield x[x < y], y[x < y]
+        yield (x, y) if right is not None else (x[x < y], y[x < y])
 
 
 def _pairs(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         """Group pairs of one block of posting lists: each pair once, those that fail the size filter left out."""
         block = table.column("block")[0].as_py()
-        posts = table.column("posts").combine_chunks()
-        counts = posts.value_lengths().to_numpy()
-        gid, n = posts.flatten().field("gid").to_numpy(), posts.flatten().field("n").to_numpy().astype(np.int64)
-        lists = np.repeat(np.arange(len(counts)), counts)
-        home = np.repeat(table.column("home").to_numpy(), counts)
-        every, at = np.unique(gid, return_index=True)
-        size = n[at]
-        gid = np.searchsorted(every, gid)
-        order = np.argsort(home, kind="stable")
-        home, gid, lists = home[order], gid[order], lists[order]
-        edges = np.concatenate([np.nonzero(np.concatenate([[True], home[1:] != home[:-1]]))[0], [len(home)]])
+        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("home", "i", "j")], 1)
+        tiles, tile = np.unique(keys, axis=0, return_inverse=True)
+        tile = tile.ravel()
+        order = np.argsort(tile, kind="stable")
+        tile, table = tile[order], table.take(pa.array(order))
+        sides = []
+        for name in ("posts", "others"):
+            posts = table.column(name).combine_chunks()
+            counts = posts.value_lengths().to_numpy()
+            sides.append((posts.flatten().field("gid").to_numpy(), posts.flatten().field("n").to_numpy().astype(np.int64), np.repeat(np.arange(len(counts)), counts), np.concatenate([[0], np.cumsum(counts)])))
+        every, at = np.unique(np.concatenate([x[0] for x in sides]), return_index=True)
+        size = np.concatenate([x[1] for x in sides])[at]
+        edges = np.searchsorted(tile, np.arange(len(tiles) + 1))
         found = []
-        for i, j in zip(edges[:-1], edges[1:], strict=True):
-            mine, member = np.unique(gid[i:j], return_inverse=True)
-            names, which = np.unique(lists[i:j], return_inverse=True)
-            for x, y in _cooccurring(member.ravel(), which.ravel(), len(mine), len(names)):
-                x, y = mine[x], mine[y]
+        for t in range(len(tiles)):
+            low, high = edges[t], edges[t + 1]
+            parts = []
+            for gid, _, lists, starts in sides if tiles[t, 1] != tiles[t, 2] else sides[:1]:
+                span = slice(starts[low], starts[high])
+                mine, member = np.unique(gid[span], return_inverse=True)
+                parts.append((np.searchsorted(every, mine), (member.ravel(), lists[span] - low, len(mine))))
+            for x, y in _cooccurring(parts[0][1], parts[1][1] if len(parts) > 1 else None, int(high - low)):
+                x, y = parts[0][0][x], parts[-1][0][y]
                 fits = np.minimum(size[x], size[y]) >= least_overlap(np.maximum(size[x], size[y]), threshold)
                 if fits.any():
-                    found.append(np.unique(x[fits] * len(every) + y[fits]))
+                    x, y = x[fits], y[fits]
+                    found.append(np.unique(np.minimum(x, y) * len(every) + np.maximum(x, y)))
         codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         return pa.table([pa.array(np.full(len(codes), block, np.int32)), pa.array(every[codes // len(every)]), pa.array(every[codes % len(every)])], schema=_PAIR)
 
     return run
 
 
-_FOUND = pa.schema([("fa", pa.int64()), ("fb", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("common", pa.int32())])
-_FOUND_SQL = "fa long, fb long, na int, nb int, common int"
+def _tiled(lists: DataFrame, buckets: int) -> DataFrame:
+    """Posting lists with the block that handles them; a list longer than ``TILE`` becomes tiles, each of two parts of it."""
+    parts = F.greatest(F.lit(1), F.pow(F.lit(2), F.ceil(F.log2(F.size("posts") / TILE))).cast("int"))
+    cut = lists.select("posts", F.array_min("posts")["gid"].alias("home"), parts.alias("parts"))
+    whole = cut.where("parts = 1").select("home", F.lit(0).alias("i"), F.lit(0).alias("j"), "posts", F.slice("posts", 1, 0).alias("others"))
+    of = lambda c: F.filter("posts", lambda p: F.pmod(F.xxhash64(p["gid"]), F.col("parts")) == F.col(c))
+    long = (
+        cut.where("parts > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("j", F.explode(F.sequence("i", F.col("parts") - 1)))
+        .select("home", "i", "j", of("i").alias("posts"), F.when(F.col("i") == F.col("j"), F.slice("posts", 1, 0)).otherwise(of("j")).alias("others"))
+    )
+    return whole.unionByName(long).withColumn("block", F.pmod(F.xxhash64("home", "i", "j"), F.lit(buckets)).cast("int"))
+
+
+_FOUND = pa.schema([("fp", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+_FOUND_SQL = "fp long, root long, links long"
 
 
 def _roots(k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -235,11 +265,11 @@ def _roots(k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _verify(threshold: float, forest: bool):
+def _verify(threshold: float):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         """Expand the group pairs of a block into class pairs and count their overlaps.
 
-        With ``forest``, only edges that connect what the matches connect are returned, at most one a class.
+        Of each class with a match: how many documents it is linked to here, and the least class that it is connected to.
         """
         if not pairs.num_rows or not sets.num_rows:
             return _FOUND.empty_table()
@@ -262,7 +292,9 @@ def _verify(threshold: float, forest: bool):
                 for y in groups.get(b, ()):
                     if a != b or x < y:
                         partners.setdefault(x, []).append(y)
-        out = []
+        copies = sets.column("copies").to_numpy().astype(np.float64)
+        links = np.zeros(len(fp))
+        heads, tails = [], []
         for x, ys in partners.items():
             ys = np.unique(np.array(ys))
             marks[grams[begin[x] : begin[x] + lengths[x]]] = 1
@@ -270,21 +302,21 @@ def _verify(threshold: float, forest: bool):
                 y = ys[low : low + 4096]
                 take = np.repeat(begin[y], lengths[y]) + np.arange(int(lengths[y].sum())) - np.repeat(starts_of(lengths[y]), lengths[y])
                 both = np.add.reduceat(marks[grams[take]], starts_of(lengths[y]))
-                good = both * (1 + threshold) >= threshold * (n[x] + n[y]) - 1e-9
-                out.append(np.stack([np.full(int(good.sum()), x), y[good], both[good]]))
+                y = y[both * (1 + threshold) >= threshold * (n[x] + n[y]) - 1e-9]
+                links[x] += copies[y].sum()
+                links[y] += copies[x]
+                heads.append(np.full(len(y), x, np.int32))
+                tails.append(y.astype(np.int32))
             marks[grams[begin[x] : begin[x] + lengths[x]]] = 0
-        x, y, both = np.concatenate(out, 1) if out else np.zeros((3, 0), np.int64)
-        if forest and len(x):
-            root = _roots(len(fp), x, y)
-            y = np.nonzero(root != np.arange(len(fp)))[0]
-            x, both = root[y], np.zeros(len(y), np.int64)
-        return pa.table([pa.array(fp[x]), pa.array(fp[y]), pa.array(n[x].astype(np.int32)), pa.array(n[y].astype(np.int32)), pa.array(both.astype(np.int32))], schema=_FOUND)
+        some = np.nonzero(links)[0]
+        root = _roots(len(fp), np.concatenate(heads), np.concatenate(tails)) if len(some) else np.zeros(0, np.int64)
+        return pa.table([pa.array(fp[some]), pa.array(fp[root[some]]), pa.array(links[some].astype(np.int64))], schema=_FOUND)
 
     return run
 
 
-def _matches(docs: DataFrame, n: int, threshold: float, forest: bool) -> tuple[DataFrame, DataFrame]:
-    """The classes (written) and the verified pairs or forest edges between them."""
+def _matches(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The classes, and of each block and class the links found there and the least class connected (both written)."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must lie in (0, 1]")
     spark = docs.sparkSession
@@ -299,50 +331,60 @@ def _matches(docs: DataFrame, n: int, threshold: float, forest: bool) -> tuple[D
     live = classes.where("eff > 0")
     posts = live.select("gid", "n", F.explode(F.slice("grams", 1, F.col("eff"))).alias("gram"))
     lists = posts.groupBy("gram").agg(F.collect_set(F.struct("gid", "n")).alias("posts")).where(F.size("posts") > 1)
-    routed = lists.select(F.array_min("posts")["gid"].alias("home"), "posts").withColumn("block", F.pmod(F.xxhash64("home"), F.lit(buckets)).cast("int"))
-    across = routed.groupBy("block").applyInArrow(_pairs(threshold), "block int, a long, b long").groupBy("a", "b").agg(F.min("block").alias("block"))
+    across = _tiled(lists, buckets).groupBy("block").applyInArrow(_pairs(threshold), "block int, a long, b long").groupBy("a", "b").agg(F.min("block").alias("block"))
     within = (
         live.groupBy("gid").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
         .select(F.col("gid").alias("a"), F.col("gid").alias("b"), F.pmod(F.xxhash64("gid"), F.lit(buckets)).cast("int").alias("block"))
     )
     pairs = common.materialize(across.unionByName(within), "pairs")
     needed = pairs.select(F.col("block").alias("at"), F.explode(F.array("a", "b")).alias("gid")).distinct()
-    sets = needed.join(live.select("gid", "fp", "n", "grams"), "gid").select("at", "gid", "fp", "n", "grams")
-    found = pairs.groupBy("block").cogroup(sets.groupBy("at")).applyInArrow(_verify(threshold, forest), _FOUND_SQL)
+    # A class may come from several flushes; its documents are counted over all of them.
+    whole = live.groupBy("fp").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.sum(F.size("doc_ids")).alias("copies"), F.first("grams").alias("grams"))
+    sets = needed.join(whole, "gid").select("at", "gid", "fp", "n", "copies", "grams")
+    found = common.materialize(pairs.groupBy("block").cogroup(sets.groupBy("at")).applyInArrow(_verify(threshold), _FOUND_SQL), "found")
+    common.discard(pairs)
     return classes, found
 
 
-def join(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
-    """All pairs of documents whose sets of word n-grams have a Jaccard index of at least ``threshold``.
+def _membership(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """``d``, ``t`` (id and text hash), ``root`` (the connected classes' least) and ``links`` of the documents that have a link."""
+    roots = components(found.select(F.col("fp").alias("fa"), F.col("root").alias("fb")))
+    links = found.groupBy("fp").agg(F.sum("links").alias("links"))
+    copies = classes.groupBy("fp").agg(F.sum(F.size("doc_ids")).alias("copies"))
+    known = (
+        copies.join(links, "fp", "left").join(roots, F.col("fp") == F.col("node"), "left")
+        .select("fp", F.coalesce("root", "fp").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")).where("links > 0")
+    )
+    members = classes.select("fp", F.explode(F.arrays_zip("doc_ids", "ths")).alias("m")).select("fp", F.col("m.doc_ids").alias("d"), F.col("m.ths").alias("t"))
+    return members.join(known, "fp").select("d", "t", "root", "links")
 
-    Documents with the same set form a class; a row stands for all pairs between the documents of two classes (columns
-    ``doc_ids`` and ``near_ids``, sorted, the list with the lesser first id first) with their ``jaccard``; a class of
-    several documents also has a row with itself, at 1.0. Every pair is covered by exactly one row.
 
-    Null and empty texts have no grams and no partner. A text of fewer than n words has one gram, all its words.
-    Repeated rows are copies and give repeated ids; a null ``doc_id`` takes part and shows as null, first in its list.
-    Other columns are ignored, whatever their names; an empty table gives no rows.
-    """
-    classes, found = _matches(docs, n, threshold, forest=False)
-    members = classes.groupBy("fp").agg(F.array_sort(F.flatten(F.collect_list("doc_ids")), _nulls_first).alias("ids"))
-    same = members.where(F.size("ids") > 1).select(F.col("ids").alias("doc_ids"), F.col("ids").alias("near_ids"), F.lit(1.0).alias("jaccard"))
-    pairs = (
-        found.join(members.select(F.col("fp").alias("fa"), F.col("ids").alias("ia")), "fa")
-        .join(members.select(F.col("fp").alias("fb"), F.col("ids").alias("ib")), "fb")
-        .withColumn("swap", F.coalesce(F.col("ia")[0] > F.col("ib")[0], F.col("ib")[0].isNull()))
-        .select(
-            F.when(F.col("swap"), F.col("ib")).otherwise(F.col("ia")).alias("doc_ids"),
-            F.when(F.col("swap"), F.col("ia")).otherwise(F.col("ib")).alias("near_ids"),
-            F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 6).alias("jaccard"),
-        )
-    )
-    return same.unionByName(pairs)
+def _tagged(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"))
+
+
+def join(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
+    """One row for each document: ``doc_id``, ``class_id`` and ``links``.
 
+    Two documents are linked if their sets of word n-grams have a Jaccard index of at least ``threshold``; ``links`` is the
+    number of other rows that a document is linked to, copies and other texts alike. A class is what links connect;
+    ``class_id`` is its least ``doc_id``, or the document's own where it has no link.
 
-def _nulls_first(x, y):
-    return (
-        F.when(x.isNull() & y.isNull(), 0).when(x.isNull(), -1).when(y.isNull(), 1).when(x < y, -1).when(x > y, 1).otherwise(0)
-    )
+    Null and empty texts have no grams and no link. A text of fewer than n words has one gram, all its words; very long
+    texts are taken whole. Repeated rows are copies and have a row and a link each; a null ``doc_id`` takes part, its row
+    shows null, and a class has a null id just where all its documents do. Ids must be whole numbers. Other columns are
+    ignored, whatever their names; an empty table gives no rows.
+    """
+    classes, found = _matches(docs, n, threshold)
+    members = _membership(classes, found)
+    least = members.groupBy("root").agg(F.min("d").alias("class_id"))
+    linked = members.dropDuplicates(["d", "t"]).join(least, "root").select("d", "t", "class_id", "links")
+    linked = common.broadcast_small(common.materialize(linked, "linked"))
+    common.discard(classes, found)
+    common.release_shuffles(docs.sparkSession)
+    match = F.col("l.d").eqNullSafe(F.col("f.d")) & (F.col("l.t") == F.col("f.t"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t")).alias("l").join(linked.alias("f"), match, "left")
+    return rows.select(F.col("l.d").alias("doc_id"), F.when(F.col("f.links").isNull(), F.col("l.d")).otherwise(F.col("f.class_id")).alias("class_id"), F.coalesce("f.links", F.lit(0)).alias("links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -376,13 +418,8 @@ def keep_one(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
     Groups are the connected components of ``join``. Nulls, empty texts and other columns as there: documents without
     grams stay. Of rows that repeat in ``doc_id`` and text one stays; a null ``doc_id`` comes before all others.
     """
-    classes, edges = _matches(docs, n, threshold, forest=True)
-    roots = components(edges)
-    rows = (
-        classes.select("fp", F.explode(F.arrays_zip("doc_ids", "ths")).alias("m")).select("fp", F.col("m.doc_ids").alias("d"), F.col("m.ths").alias("t"))
-        .join(roots, F.col("fp") == F.col("node"), "left")
-        .select(F.coalesce("root", "fp").alias("root"), "d", "t")
-    )
+    classes, found = _matches(docs, n, threshold)
+    rows = _membership(classes, found)
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("d").isNotNull().alias("o"), "d", "t")).alias("best"))
     verdict = (
         rows.groupBy("root", "d", "t").agg(F.count("*").alias("times")).join(best, "root")
@@ -390,9 +427,9 @@ def keep_one(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
         .where("NOT stays OR times > 1")
     )
     verdict = common.materialize(verdict, "verdict")
+    common.discard(classes, found)
     common.release_shuffles(docs.sparkSession)
-    names = docs.columns
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"))
+    tagged = _tagged(docs)
     match = F.col("tagged.d").eqNullSafe(F.col("v.d")) & (F.col("tagged.t") == F.col("v.t"))
     kept = tagged.alias("tagged").join(common.broadcast_small(verdict).alias("v"), match, "left_anti").select("row.*")
     twice = common.broadcast_small(verdict).where("stays")
@@ -403,16 +440,18 @@ def keep_one(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents),
 g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s
       FROM w WHERE len(w) > 0),
-c AS (SELECT min(doc_id) AS id, list(doc_id ORDER BY doc_id) AS ids, s, len(s) AS n FROM g GROUP BY s),
+c AS (SELECT min(doc_id) AS id, list(doc_id) AS ids, s, len(s) AS n FROM g GROUP BY s),
 e AS (SELECT id, n, unnest(s) AS t FROM c),
 p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c2 FROM e a JOIN e b ON a.t = b.t AND a.id < b.id
-      WHERE a.n >= 0.5::DOUBLE * b.n AND b.n >= 0.5::DOUBLE * a.n GROUP BY ALL)
-SELECT ids AS doc_ids, ids AS near_ids, 1.0::DOUBLE AS jaccard FROM c WHERE len(ids) > 1
-UNION ALL
-SELECT x.ids, y.ids, round(c2::DOUBLE / (na + nb - c2), 6) FROM p JOIN c x ON x.id = a JOIN c y ON y.id = b
-WHERE c2 >= 0.5::DOUBLE * (na + nb - c2)
+      WHERE a.n >= 0.5::DOUBLE * b.n AND b.n >= 0.5::DOUBLE * a.n GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE c2 >= 0.5::DOUBLE * (na + nb - c2) UNION ALL SELECT b, a FROM p WHERE c2 >= 0.5::DOUBLE * (na + nb - c2)),
+k AS (SELECT l.a AS id, sum(len(c.ids)) AS near FROM l JOIN c ON c.id = l.b GROUP BY l.a),
+r AS (SELECT id AS x, id AS y FROM c UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y),
+m AS (SELECT x AS id, min(y) AS class_id FROM r GROUP BY x),
+f AS (SELECT unnest(c.ids) AS doc_id, m.class_id, coalesce(k.near, 0) + len(c.ids) - 1 AS links FROM c JOIN m USING (id) LEFT JOIN k USING (id))
+SELECT doc_id, coalesce(f.class_id, doc_id) AS class_id, coalesce(f.links, 0)::BIGINT AS links FROM documents LEFT JOIN f USING (doc_id)
 """

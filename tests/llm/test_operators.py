@@ -403,17 +403,6 @@ def brute_pairs(rows, threshold=0.5):
     return pairs
 
 
-def expanded(rows):
-    pairs = Counter()
-    for r in rows:
-        a, b = r["doc_ids"], r["near_ids"]
-        same = a == b and r["jaccard"] == 1.0
-        for i, x in enumerate(a):
-            for y in b[i + 1 :] if same else b:
-                pairs[tuple(sorted((x, y), key=lambda v: (v is not None, v)))] += 1
-    return pairs
-
-
 def family(seed, count=40, vocabulary=30):
     rng = random.Random(seed)
     base = [f"b{rng.randrange(vocabulary)}" for _ in range(60)]
@@ -426,10 +415,33 @@ def family(seed, count=40, vocabulary=30):
     return rows + rows[:5]
 
 
+def brute_classes(rows, threshold):
+    """Every row's id, class and number of links, by comparing all pairs of rows."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").split()
+        sets.append(frozenset(" ".join(w[j : j + 3]) for j in range(max(1, len(w) - 2))) if w else None)
+    links, root = [0] * len(rows), list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x + 1, len(rows)):
+            a, b = sets[x], sets[y]
+            if a and b and Fraction(len(a & b), len(a | b)) >= Fraction(threshold):
+                links[x] += 1
+                links[y] += 1
+                low, high = sorted((root[x], root[y]))
+                root = [low if v == high else v for v in root]
+    ids = {}
+    for (i, _), v in zip(rows, root, strict=True):
+        ids[v] = i if ids.get(v) is None else ids[v] if i is None else min(i, ids[v])
+    return Counter((i, ids[v], n) for (i, _), v, n in zip(rows, root, links, strict=True))
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
-def test_jaccard_equals_brute_force(spark, threshold):
-    rows = family(int(threshold * 10)) + [(None, "b c d"), (90, "b c d"), (91, "b"), (92, "b"), (93, ""), (94, None)]
-    assert expanded(jaccard.join(docs(spark, rows, True), threshold=threshold).collect()) == brute_pairs(rows, threshold)
+@pytest.mark.parametrize("tile", [2048, 3])
+def test_jaccard_equals_brute_force(spark, monkeypatch, threshold, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rows = family(int(threshold * 10)) + [(None, "b c d"), (90, "b c d"), (91, "b"), (92, "b"), (93, ""), (94, None), (None, "q"), (None, "q")]
+    assert Counter(tuple(r) for r in jaccard.join(docs(spark, rows, True), threshold=threshold).collect()) == brute_classes(rows, threshold)
 
 
 def test_jaccard_keep_one(spark):
