@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +14,22 @@ from pyspark.sql import functions as F
 BLOCK_WORDS = 20_000
 
 
+#: Letters of scripts that are written without spaces: Thai to Tibetan, Myanmar, Khmer, kana, Han and their extensions.
+UNSPACED = "\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U000323AF"
+WORDS = r"array_remove(split(text, '\\s+'), '')"
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is an SQL expression over the column ``text``; true or null means that the rule rejects."""
+    """``rejects`` is an SQL expression over the column ``text``, or over ``w`` too, its words; true or null means that the rule rejects."""
 
     name: str
     rejects: str
 
+    @property
+    def over_words(self) -> bool:
+        return re.search(r"\bw\b", self.rejects) is not None
+
 
 def production_rules(
     mean_word: tuple[float, float] = (3.0, 10.0),
@@ -37,53 +46,44 @@ def production_rules(
     Shares carry an absolute allowance, so that one odd word doesn't condemn a document of three words. There is no
     lower bound on words beyond one: the labelled documents of one or two words are good ones. There is no upper one
     either. The share of distinct words falls with the length of any prose, so it is taken over consecutive blocks of
-    ``block_words`` words, the last as long as it is, and weighs each by its words.
+    ``block_words`` words, the last as long as it is, and weighs each by its words. Letters of scripts without spaces don't
+    make a word giant, and where they are half of a text or more, its mean word says nothing.
     """
-    words = r"regexp_count(text, '\\S+')"
-    letters = r"length(regexp_replace(text, '[^\\p{L}]', ''))"
-    # The words are bound to a variable, or each block would split the text anew.
-    distinct = (
-        r"transform(array(split(trim(regexp_replace(text, '\\s+', ' ')), ' ')), w -> aggregate("
-        f"sequence(1, greatest(size(w), 1), {block_words}), 0, (n, i) -> n + size(array_distinct(slice(w, i, {block_words})))))[0]"
-    )
+    # A count of characters of some kind is what is lost with them: runs go in one piece, and most texts have few.
+    lost = lambda kind: f"(char_length(text) - char_length(regexp_replace(text, '{kind}+', '')))"
+    inked = "char_length(array_join(w, ''))"
+    distinct = f"aggregate(sequence(1, greatest(size(w), 1), {block_words}), 0, (n, i) -> n + size(array_distinct(slice(w, i, {block_words}))))"
     return [
         Rule("no_words", r"NOT text RLIKE '\\S'"),
-        Rule("giant_word", rf"text RLIKE '\\S{{{max_word_chars + 1}}}'"),
+        Rule("giant_word", rf"text RLIKE '[^\\s{UNSPACED}]{{{max_word_chars + 1}}}'"),
         Rule(
             "word_length",
-            rf"{words} >= 10 AND (length(regexp_replace(text, '\\s', '')) NOT BETWEEN {mean_word[0]}D * {words} AND {mean_word[1]}D * {words})",
-        ),
-        Rule("symbols", rf"length(text) - length(regexp_replace(text, '[#$%&*|~^<>{{}}=+@_]', '')) > {max_symbols}D * length(text) + 2"),
-        Rule("capitals", f"length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]', '')) > {max_upper}D * {letters} + 5"),
-        Rule("no_letters", rf"{words} - regexp_count(text, '\\S*\\p{{L}}\\S*') > {max_wordlike_gap}D * {words} + 3"),
-        Rule(
-            "repeated_words",
-            f"{words} >= 20 AND {distinct} < {min_distinct}D * {words}",
+            f"size(w) >= 10 AND ({inked} < {mean_word[0]}D * size(w) OR {inked} > {mean_word[1]}D * size(w)) AND 2 * {lost(f'[{UNSPACED}]')} < {inked}",
         ),
+        Rule("symbols", f"{lost('[#$%&*|~^<>{}=+@_]')} > {max_symbols}D * char_length(text) + 2"),
+        Rule("capitals", rf"char_length(regexp_replace(text, '\\P{{Lu}}+', '')) > {max_upper}D * char_length(regexp_replace(text, '\\P{{L}}+', '')) + 5"),
+        Rule("no_letters", rf"regexp_count(text, '(?<!\\S)[^\\s\\p{{L}}]++(?!\\S)') > {max_wordlike_gap}D * size(w) + 3"),
+        Rule("repeated_words", f"size(w) >= 20 AND {distinct} < {min_distinct}D * size(w)"),
         Rule(
             "repeated_lines",
-            r"size(filter(split(text, '\n'), l -> l <> '')) - size(array_distinct(filter(split(text, '\n'), l -> l <> '')))"
-            rf" > {max_repeated_lines}D * size(filter(split(text, '\n'), l -> l <> '')) + 2",
+            "transform(array(array_remove(split(text, '\\n'), '')), l -> size(l) - size(array_distinct(l))"
+            rf" > {max_repeated_lines}D * size(l) + 2)[0]",
         ),
     ]
 
 
 @dataclass(frozen=True)
 class Estimate:
-    """Seconds and share of rejections of one rule on the sample."""
+    """Seconds and share of rejections of one rule on the sample; ``seconds`` are without those of making the words."""
 
     rule: Rule
     seconds: float
     rejected: float
+    words_seconds: float = 0.0
 
-    @property
-    def rank(self) -> float:
-        return self.rejected / max(self.seconds, 1e-9)
-
-
-def rejects(rule: Rule) -> Column:
-    """Whether ``rule`` rejects; a null text counts as rejected."""
-    return F.coalesce(F.expr(rule.rejects), F.lit(True))
+    def rank(self, words_made: bool) -> float:
+        """Rejections per second, at the point where the words are made already or not."""
+        return self.rejected / max(self.seconds + (0.0 if words_made or not self.rule.over_words else self.words_seconds), 1e-9)
 
 
 def _sample(docs: DataFrame, rows: int, files: int) -> DataFrame:
@@ -102,7 +102,7 @@ def estimate(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = 2000, sa
     Only the order of the rules depends on it, never a decision. The sample is kept by Spark's cache, which is
     recomputed where an executor is lost.
     """
-    sample = _sample(docs, sample_rows, sample_files).cache()
+    sample = _sample(docs, sample_rows, sample_files).withColumn("w", F.expr(WORDS)).cache()
     try:
         n = sample.count()
         if not n:
@@ -116,32 +116,46 @@ def estimate(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = 2000, sa
             return time.perf_counter() - began, hits
 
         floor, _ = timed(F.col("text").isNull())
+        words, _ = timed(F.expr(f"size({WORDS}) > 0")) if any(r.over_words for r in rules) else (floor, 0)
         out = []
         for rule in rules:
-            took, hits = timed(rejects(rule))
-            out.append(Estimate(rule, max(took - floor, 1e-4) / n, hits / n))
+            took, hits = timed(F.coalesce(F.expr(rule.rejects), F.lit(True)))
+            out.append(Estimate(rule, max(took - floor, 1e-4) / n, hits / n, max(words - floor, 1e-4) / n))
         return out
     finally:
         sample.unpersist()
 
 
 def order_rules(estimates: Sequence[Estimate]) -> list[Rule]:
-    """Rules by falling rejection per second; ties keep the given order."""
-    return [e.rule for e in sorted(estimates, key=lambda e: -e.rank)]
+    """Rules by falling rejection per second, each time the best of those that are left; ties keep the given order.
+
+    The first rule over the words bears the cost of making them, the later ones don't.
+    """
+    left, out = list(estimates), []
+    while left:
+        made = any(r.over_words for r in out)
+        best = max(left, key=lambda e: e.rank(made))
+        left.remove(best)
+        out.append(best.rule)
+    return out
 
 
 def cascade(rules: Sequence[Rule]) -> Column:
-    """Whether any rule rejects. CASE branches are evaluated in turn and stop at the first hit."""
-    if not rules:
-        return F.lit(False)
-    return reduce(lambda chain, rule: chain.when(rejects(rule), F.lit(True)), rules[1:], F.when(rejects(rules[0]), F.lit(True))).otherwise(F.lit(False))
+    """Whether any rule rejects; a null text is rejected. CASE branches are evaluated in turn and stop at the first hit.
+
+    From the first rule over the words on, the rest is a function of the words, which are made once and only then.
+    """
+    first = next((i for i, r in enumerate(rules) if r.over_words), len(rules))
+    case = lambda some, rest: "CASE " + "".join(f"WHEN coalesce({r.rejects}, true) THEN true " for r in some) + f"ELSE {rest} END" if some else rest
+    over = f"transform(array({WORDS}), w -> {case(rules[first:], 'false')})[0]" if first < len(rules) else "false"
+    return F.expr(case(rules[:first], over))
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
     """``docs`` with the column ``keep``; a column of that name is replaced.
 
     Null and empty texts are rejected. Every row is judged by itself, so repeated rows get the same answer and ties
-    can't arise; other columns pass through; an empty table stays empty. The answer doesn't depend on the order found.
+    can't arise; very long texts are judged whole; other columns pass through; an empty table stays empty. The answer doesn't depend on the order found.
     """
     rules = list(rules if rules is not None else production_rules())
     ordered = order_rules(estimate(docs, rules, sample_rows))
@@ -155,23 +169,24 @@ def filter_documents(docs: DataFrame, rules: Sequence[Rule] | None = None, sampl
     return docs.where(~cascade(ordered))
 
 
-#: The same rules in DuckDB for documents of up to BLOCK_WORDS words; the order doesn't matter there. On longer ones it still
-#: has the share of distinct words of the whole text and an upper bound on words, which reject clean documents.
+#: The same rules in DuckDB; the order doesn't matter there.
 ORACLE_SQL = r"""
-WITH m AS (
-    SELECT doc_id, text, length(text) AS chars, len(regexp_extract_all(text, '\S+')) AS words,
+WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '\S+') AS w, list_filter(string_split(text, chr(10)), lambda l: l <> '') AS l FROM documents),
+m AS (
+    SELECT doc_id, text, length(text) AS chars, len(w) AS words,
            length(regexp_replace(text, '\s', '', 'g')) AS inked,
            length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters,
-           length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS capitals,
+           length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS capitals,
            length(text) - length(regexp_replace(text, '[#$%&*|~^<>{}=+@_]', '', 'g')) AS symbols,
-           len(regexp_extract_all(text, '\S*\p{L}\S*')) AS wordlike,
-           len(list_distinct(regexp_extract_all(text, '\S+'))) AS distinct_words,
-           len(list_filter(string_split(text, chr(10)), lambda l: l <> '')) AS lines,
-           len(list_distinct(list_filter(string_split(text, chr(10)), lambda l: l <> ''))) AS distinct_lines
-    FROM documents)
-SELECT doc_id, coalesce(NOT (words = 0 OR words > 100000 OR regexp_matches(text, '\S{1000}\S')
-    OR (words >= 10 AND NOT (inked BETWEEN 3 * words AND 10 * words))
-    OR symbols > 0.05::DOUBLE * chars + 2 OR capitals > 0.3::DOUBLE * letters + 5 OR words - wordlike > 0.2::DOUBLE * words + 3
+           length(text) - length(regexp_replace(text, '[\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]', '', 'g')) AS unspaced,
+           len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{L}'))) AS bare,
+           list_sum(list_transform(range(1, len(w) + 1, 20000), lambda i: len(list_distinct(w[i : i + 19999])))) AS distinct_words,
+           len(l) AS lines, len(list_distinct(l)) AS distinct_lines
+    FROM w)
+SELECT doc_id, coalesce(NOT (words = 0
+    OR regexp_matches(text, '[^\s\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]{1000}[^\s\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]')
+    OR (words >= 10 AND (inked < 3 * words OR inked > 10 * words) AND 2 * unspaced < inked)
+    OR symbols > 0.05::DOUBLE * chars + 2 OR capitals > 0.3::DOUBLE * letters + 5 OR bare > 0.2::DOUBLE * words + 3
     OR (words >= 20 AND distinct_words < 0.3::DOUBLE * words) OR lines - distinct_lines > 0.3::DOUBLE * lines + 2), false) AS keep
 FROM m
 """

@@ -362,6 +362,8 @@ def test_quality_order_and_awkward(spark):
     rules = [quality.Rule("none", "false"), quality.Rule("all", "true"), quality.Rule("half", "length(text) > 1")]
     ordered = quality.order_rules([quality.Estimate(rules[0], 1.0, 0.0), quality.Estimate(rules[1], 4.0, 1.0), quality.Estimate(rules[2], 1.0, 0.5)])
     assert [r.name for r in ordered] == ["half", "all", "none"]
+    shared = [quality.Estimate(quality.Rule(n, "size(w) > 1"), s, x, 2.0) for n, s, x in (("a", 0.1, 0.9), ("b", 0.1, 0.1))] + [quality.Estimate(rules[2], 1.0, 0.5)]
+    assert [r.name for r in quality.order_rules(shared)] == ["half", "a", "b"]  # 0.9 rejections in 2.1 s, then 0.1 in 0.1 s
     df = docs(spark, AWKWARD, True)
     out = quality.judge(df)
     assert out.columns.count("keep") == 1 and set(out.columns) == set(df.columns)
@@ -370,6 +372,19 @@ def test_quality_order_and_awkward(spark):
     assert quality.judge(docs(spark, [])).count() == 0 and quality.judge(docs(spark, [(1, "a")]), []).first()["keep"]
 
 
+def test_quality_knows_scripts_without_spaces(spark):
+    rng = random.Random(2)
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(3000))
+    sentences = "。\n".join(chinese[i : i + 60] for i in range(0, 3000, 60))
+    thai = " ".join("".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(50)) for _ in range(40))
+    mixed = "ordinary words in a line of plain prose with " * 3 + "x" * 1001
+    long_words = " ".join("y" * 30 + str(i) for i in range(20))
+    greek = " ".join("ΑΒΓΔΕΖΗΘ" for _ in range(10))
+    rows = [(1, chinese), (2, sentences), (3, thai), (4, mixed), (5, long_words), (6, greek), (7, "plain words")]
+    out = {r["doc_id"]: r["keep"] for r in quality.judge(docs(spark, rows)).collect()}
+    assert out == {1: True, 2: True, 3: True, 4: False, 5: False, 6: False, 7: True}
+
+
 def test_quality_keeps_long_clean_documents(spark):
     rng = np.random.RandomState(8)
     # Words by Zipf's law: of 150,000 words 13 % are distinct, of 20,000 words 38 %.
