@@ -8,11 +8,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
 
+from palisade.llm import common
 from palisade.llm.hashing import U, flat
 
-#: Words that one flush covers at least; it bounds a task's memory.
+#: Words that one flush covers, and what is left of the document that fills it; it bounds a task's memory.
 FLUSH_WORDS = 1_000_000
+#: Bytes of input for each bucket of the hash space; it bounds what a task holds of one bucket.
+BUCKET_BYTES = 4 << 20
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """Buckets of the hash space for ``docs``: by the bytes that Spark expects, but not out of proportion to the shuffle partitions.
+
+    Any number gives the same result; estimates behind joins can be far too high.
+    """
+    spark = docs.sparkSession
+    expected = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(max(2 * common.partitions(spark), expected // BUCKET_BYTES), 64 * common.partitions(spark))
 
 
 def trim() -> None:
@@ -59,14 +73,19 @@ def flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array,
     ids, ths, words, lengths, held, k = [], [], [], [], 0, 0
     for batch in batches:
         values, counts = flat(batch.column(2))
-        ids.append(batch.column(0))
-        ths.append(batch.column(1))
-        words.append(values)
-        lengths.append(counts)
-        held += len(values)
-        if held >= FLUSH_WORDS:
-            yield f"{part}-{k}", pa.concat_arrays(ids), pa.concat_arrays(ths), np.concatenate(words), np.concatenate(lengths)
-            ids, ths, words, lengths, held, k = [], [], [], [], 0, k + 1
+        ends = np.cumsum(counts)
+        row = word = 0
+        while row < len(counts):
+            stop = min(int(np.searchsorted(ends, word + FLUSH_WORDS - held)) + 1, len(counts))
+            last = int(ends[stop - 1])
+            ids.append(batch.column(0).slice(row, stop - row))
+            ths.append(batch.column(1).slice(row, stop - row))
+            words.append(values[word:last].copy())
+            lengths.append(counts[row:stop])
+            held, row, word = held + last - word, stop, last
+            if held >= FLUSH_WORDS:
+                yield f"{part}-{k}", pa.concat_arrays(ids), pa.concat_arrays(ths), np.concatenate(words), np.concatenate(lengths)
+                ids, ths, words, lengths, held, k = [], [], [], [], 0, k + 1
     if ids:
         yield f"{part}-{k}", pa.concat_arrays(ids), pa.concat_arrays(ths), np.concatenate(words), np.concatenate(lengths)
     del ids, ths, words, lengths

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import common
-from palisade.llm.blobs import bucket_edges, flushes, pack, pack_sorted, unpack, unpack_sorted
+from palisade.llm.blobs import bucket_edges, buckets_for, flushes, pack, pack_sorted, unpack, unpack_sorted
 from palisade.llm.hashing import U, flat, mix, ngrams, starts_of, word_hashes
 
 _SENT = pa.schema([("bucket", pa.int32()), ("flush", pa.string()), ("grams", pa.binary()), ("rows", pa.binary()), ("doc_id", pa.int64()), ("th", pa.int64()), ("idx", pa.int32()), ("fp", pa.int64()), ("n", pa.int32())])
@@ -321,7 +321,7 @@ def _matches(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Data
         raise ValueError("the threshold must lie in (0, 1]")
     spark = docs.sparkSession
     common.ship(spark)
-    buckets = 4 * common.partitions(spark)
+    buckets = max(4 * common.partitions(spark), buckets_for(docs))
     inputs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("w"))
     sent = inputs.mapInArrow(_send(n, buckets), _SENT_SQL)
     counted = sent.groupBy("bucket").applyInArrow(_count, _COUNTED_SQL)

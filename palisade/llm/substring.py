@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import common
-from palisade.llm.blobs import bucket_edges, flushes, pack, pack_sorted, trim, unpack, unpack_sorted
+from palisade.llm.blobs import bucket_edges, buckets_for, flushes, pack, pack_sorted, trim, unpack, unpack_sorted
 from palisade.llm.hashing import U, mix, ranges, starts_of, window_hashes, word_hashes
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -46,8 +46,8 @@ def _blobs(flush: str, ids: np.ndarray, ties: np.ndarray, hashes: np.ndarray, ch
             ("hash", pack_sorted(hashes[i:j])),
             ("check", pack(checks[i:j])),
             ("doc", pack(doc.ravel().astype(np.uint32))),
-            ("pos", pack(pos[i:j].astype(np.uint32))),
-            ("idx", pack(np.diff(here, prepend=0).astype(np.uint32))),
+            ("pos", pack(pos[i:j].astype(np.uint32, copy=False))),
+            ("idx", pack(np.diff(here, prepend=here.dtype.type(0)).astype(np.uint32))),
             ("id", pack(np.diff(ids[here], prepend=np.int64(0)))),
             ("tie", pack(ties[here])),
         ):
@@ -70,11 +70,14 @@ def _first(length: int, buckets: int):
             if not len(at):
                 continue
             words = mix(words)
-            idx = np.repeat(np.arange(len(lengths)), full)
+            idx = np.repeat(np.arange(len(lengths), dtype=np.uint32), full)
             names, ties = _names(ids, ths)
-            pos = at - starts_of(lengths)[idx]
+            pos = (at - starts_of(lengths)[idx]).astype(np.uint32)
             checks = (window_hashes(words, length, _BASES[1])[at] & U(0xFF)).astype(np.uint8)
-            yield _blobs(flush, names, ties, window_hashes(words, length, _BASES[0])[at], checks, idx, pos, buckets)
+            hashes = window_hashes(words, length, _BASES[0])[at]
+            del words, at
+            yield _blobs(flush, names, ties, hashes, checks, idx, pos, buckets)
+            del hashes, checks, idx, pos
             yield pa.RecordBatch.from_arrays([pa.array([-1 - zlib.crc32(flush.encode()) % buckets], pa.int32()), pa.array([flush]), *(pa.nulls(1, pa.binary()) for _ in range(7)), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([ths.to_pylist()], pa.list_(pa.int64()))], schema=_SENT)
 
     return run
@@ -109,15 +112,16 @@ def _repeated(table: pa.Table) -> pa.Table:
     new = np.ones(len(order), bool)
     new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
     first = np.nonzero(new)[0]
-    kind = np.cumsum(new) - 1
+    kind = np.cumsum(new, dtype=np.int32) - np.int32(1)
     least, most = p[first], p[np.append(first[1:], len(p)) - 1]
+    del h, c, new
     repeats = np.zeros(len(order), bool)
     later = np.zeros(len(order), bool)
     repeats[order] = (least != most)[kind]
     later[order] = p != least[kind]
+    del order, p, kind, first, least, most
     out: dict[str, list] = {x: [] for x in ("flush", "hash", "check", "idx", "pos", "later")}
     ends = np.cumsum(sizes)
-    del order, h, c, p, new, kind
     for k, flush in enumerate(table.column("flush").to_pylist()):
         span = slice(ends[k] - sizes[k], ends[k])
         has = repeats[span]
@@ -210,7 +214,7 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
         raise ValueError("a passage has at least one word")
     spark = docs.sparkSession
     common.ship(spark)
-    buckets = 2 * common.partitions(spark)
+    buckets = buckets_for(docs)
     inputs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("w"))
     sent = inputs.mapInArrow(_first(min_words, buckets), _SENT_SQL)
     base = common.materialize(sent.groupBy("bucket").applyInArrow(_repeated, _KEPT_SQL), "level")
