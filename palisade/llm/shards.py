@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from palisade.llm import common
 
@@ -72,31 +74,51 @@ def plan(shards: Sequence[Shard], target_bytes: int = TARGET_BYTES, low: float =
     return [m for m in merges if len(m) > 1]
 
 
-def _merger(folder: str):
+#: Bytes in memory that a merge gathers into one row group.
+GROUP_BYTES = 32 << 20
+
+
+def _merger(folder: str, schema: pa.Schema):
+    def shaped(piece: pa.RecordBatch) -> pa.Table:
+        """A piece of a shard in the dataset's columns: those that it lacks are null, times are in microseconds."""
+        have = set(piece.schema.names)
+        return pa.table([piece.column(f.name).cast(f.type, safe=False) if f.name in have else pa.nulls(piece.num_rows, f.type) for f in schema], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = common.local_path(folder)
         for batch in batches:
             for merge, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 name = f"{uuid.uuid4().hex}.parquet"
-                rows, writer = 0, None
-                for part in names:
-                    with fs.open_input_file(f"{root}/{part}") as source:
-                        for piece in pq.ParquetFile(source).iter_batches(4096):
-                            if writer is None:
-                                sink = fs.open_output_stream(f"{root}/{name}")
-                                writer = pq.ParquetWriter(sink, piece.schema, compression="zstd")
-                            writer.write_batch(piece, row_group_size=1 << 20)
-                            rows += piece.num_rows
-                if writer is None:
-                    continue
-                writer.close()
-                size = sink.tell()
-                sink.close()
+                rows, held, size = 0, [], 0
+                with fs.open_output_stream(f"{root}/{name}") as sink:
+                    with pq.ParquetWriter(sink, schema, compression="zstd", coerce_timestamps="us", allow_truncated_timestamps=True) as writer:
+                        for part in names:
+                            with fs.open_input_file(f"{root}/{part}") as source:
+                                for piece in pq.ParquetFile(source, coerce_int96_timestamp_unit="us").iter_batches(512):
+                                    held.append(shaped(piece))
+                                    size += held[-1].nbytes
+                                    rows += piece.num_rows
+                                    if size >= GROUP_BYTES:
+                                        writer.write_table(pa.concat_tables(held))
+                                        held, size = [], 0
+                        if held:
+                            writer.write_table(pa.concat_tables(held))
+                    size = sink.tell()
                 yield pa.RecordBatch.from_arrays([pa.array([merge], pa.int32()), pa.array([name]), pa.array([size], pa.int64()), pa.array([rows], pa.int64())], names=["merge", "name", "bytes", "rows"])
 
     return run
 
 
+def merged_schema(known: str | None, new: StructType) -> StructType:
+    """The columns of a dataset (JSON, or None) and of an arrival: new ones come last; one of another type is an error."""
+    fields = {} if known is None else {f.name: f for f in StructType.fromJson(json.loads(known))}
+    for f in new:
+        if f.name in fields and fields[f.name].dataType.simpleString() != f.dataType.simpleString():
+            raise ValueError(f"column {f.name} is {fields[f.name].dataType.simpleString()} in the dataset and {f.dataType.simpleString()} in the arrival")
+        fields.setdefault(f.name, StructField(f.name, f.dataType, True))
+    return StructType(list(fields.values()))
+
+
 class ShardStore:
     """A dataset in ``root``: ``data/`` with shards, ``manifests/`` with one file a version."""
 
@@ -152,7 +174,12 @@ class ShardStore:
         return base + 1
 
     def append(self, df: DataFrame, rows_per_shard: int = 0) -> int:
-        """Add ``df`` as small shards, one for each task or for every ``rows_per_shard`` rows. No rows make no shard."""
+        """Add ``df`` as small shards, one for each task or for every ``rows_per_shard`` rows. No rows make no shard.
+
+        Columns that the dataset lacks are added to it, and null in its older rows; those that ``df`` lacks are null in the new
+        ones. A column of another type than the dataset's is an error, before anything is written.
+        """
+        merged_schema(self.manifest()["schema"], df.schema)
         folder = uuid.uuid4().hex
         writer = df.write.option("compression", "zstd")
         if rows_per_shard:
@@ -165,7 +192,7 @@ class ShardStore:
         while True:
             now = self.manifest()
             try:
-                return self.commit(now["version"], [*self.shards(now["version"]), *new], df.schema.json())
+                return self.commit(now["version"], [*self.shards(now["version"]), *new], merged_schema(now["schema"], df.schema).json())
             except Conflict:
                 continue
 
@@ -178,7 +205,8 @@ class ShardStore:
             if not merges:
                 return now["version"]
             jobs = self.spark.createDataFrame([(i, [s.name for s in m]) for i, m in enumerate(merges)], "merge int, names array<string>")
-            made = {r["merge"]: r for r in jobs.repartition(len(merges)).mapInArrow(_merger(self.data), "merge int, name string, bytes long, rows long").collect()}
+            schema = to_arrow_schema(StructType.fromJson(json.loads(now["schema"])))
+            made = {r["merge"]: r for r in jobs.repartition(len(merges)).mapInArrow(_merger(self.data, schema), "merge int, name string, bytes long, rows long").collect()}
             gone = {s.name: i for i, m in enumerate(merges) for s in m}
             after, placed = [], set()
             for shard in shards:
@@ -196,8 +224,6 @@ class ShardStore:
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with the shard of each in ``shard``."""
-        from pyspark.sql.types import StructType
-
         now = self.manifest(version)
         if now["schema"] is None:
             raise ValueError("nothing was ever appended")
