@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::\d+)?([^?#]*)"
+from palisade.operators import relational
+
+_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)(?::\d+)?([^?#]*)"
+
+
+def _bare(host: Column) -> Column:
+    """A host in lower case without the dots that may end it."""
+    return F.rtrim(F.lower(host), F.lit("."))
 
 
 def host(url: Column) -> Column:
-    """The host in lower case; null where there is none."""
-    found = F.lower(F.regexp_extract(url, _URL, 1))
+    """The host in lower case, without a dot at its end; null where there is none. An IPv6 address keeps its brackets."""
+    found = _bare(F.regexp_extract(url, _URL, 1))
     return F.when(found != "", found)
 
 
@@ -23,11 +30,15 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     An event holds until the key's next one; ``add`` makes its ``action`` (block or allow) apply, ``remove`` nothing. Of
     events of one day the last in the order remove, add allow, add block holds. Nulls in kind, key or day void an entry;
-    repeated entries count once. Slashes at the end of a prefix don't count. ``until`` is null for the last.
+    repeated entries count once. Hosts count in lower case and without dots at their end, domains without dots or a ``*.``
+    before them either, prefixes without slashes at their end. ``until`` is null for the last.
     """
     rank = F.when(F.col("event") == "remove", 0).when(F.col("action") == "allow", 1).otherwise(2)
     valid = entries.where("kind IS NOT NULL AND key IS NOT NULL AND day IS NOT NULL AND event IN ('add', 'remove')")
-    valid = valid.withColumn("key", F.when(F.col("kind") == "prefix", F.regexp_replace("key", "/+$", "")).otherwise(F.col("key")))
+    start = F.substring_index("key", "/", 1)
+    rest = F.expr("substr(key, char_length(substring_index(key, '/', 1)) + 1)")
+    key = F.when(F.col("kind") == "prefix", F.concat(_bare(start), F.rtrim(rest, F.lit("/")))).when(F.col("kind") == "domain", F.ltrim(_bare(F.col("key")), F.lit("*."))).otherwise(_bare(F.col("key")))
+    valid = valid.withColumn("key", key)
     daily = valid.groupBy("kind", "key", "day").agg(F.max(rank).alias("rank"))
     following = F.lead("day").over(Window.partitionBy("kind", "key").orderBy("day"))
     return daily.withColumn("until", following).where("rank > 0").select(
@@ -54,16 +65,17 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     blocked is false. Every capture keeps its row, repeated ones too; other columns pass through unless they bear the new
     names. Empty captures give no rows, empty entries block nothing.
 
-    The list joins by key; it is broadcast just where Spark finds it small enough, and sorted otherwise. Only captures that
-    meet an entry go on from there, each distinct (url, day) once.
+    What captures ask is made distinct by key and day first, so a host that a third of all captures bear asks once a day. The
+    as-of join sorts questions and intervals of a key together and carries the last interval forward: no pairs arise. Days may
+    be dates or timestamps; with timestamps the questions of one key are as many as its distinct times. A url's keys grow
+    with its path's parts, however long it is.
     """
     active = intervals(entries)
     asked = captures.select("url", "day").where(host(F.col("url")).isNotNull() & F.col("day").isNotNull())
     wanted = asked.select("url", "day", F.explode(keys(F.col("url"))).alias("k")).select("url", "day", "k.*")
-    hits = wanted.alias("w").join(
-        active.alias("a"),
-        (F.col("w.kind") == F.col("a.kind")) & (F.col("w.key") == F.col("a.key")) & (F.col("w.day") >= F.col("a.since")) & (F.col("a.until").isNull() | (F.col("w.day") < F.col("a.until"))),
-    )
+    asof = relational.asof_join(wanted.select("kind", "key", "day").distinct(), active.select("kind", "key", "since", "until", "action"), ["kind", "key"], "day", "since")
+    answers = asof.where("right_until IS NULL OR day < right_until").select("kind", "key", "day", F.col("right_action").alias("action"))
+    hits = wanted.alias("w").join(answers.alias("a"), (F.col("w.kind") == F.col("a.kind")) & (F.col("w.key") == F.col("a.key")) & (F.col("w.day") == F.col("a.day")))
     best = hits.groupBy(F.col("w.url").alias("u"), F.col("w.day").alias("d")).agg(
         F.max(F.struct("rank", F.char_length("w.key").alias("size"), F.concat("w.kind", F.lit(":"), "w.key").alias("matched"), "action")).alias("best")
     )
