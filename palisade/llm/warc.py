@@ -3,7 +3,7 @@
 A task looks for the gzip magic from the start of its range on, takes a candidate for a member if its data decode and
 begin with a record header, and then goes from member to member. It owns the records of all members that start inside
 its range, and reads the last one to its end beyond it. So every member is read by exactly one task, and no index is
-needed.
+needed. Where a member ends beyond its range, the tasks of the next ranges begin after it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.llm import common
@@ -126,13 +126,12 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at += 2
 
 
-def records(file: object, start: int, stop: int, size: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, headers and block of all records whose member starts in [start, stop)."""
+def members(file: object, start: int, stop: int, size: int) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, end and data of the members that start in [start, stop), one after the other."""
     window, pos = _Window(file, size), start
     while pos < stop:
         if window.get(pos, 3) == MAGIC and (found := _member(window, pos)):
-            for headers, block in parse(found[0]):
-                yield pos, headers, block
+            yield pos, found[1], found[0]
             pos = found[1]
             continue
         # The magic may lie across the end of a piece, so pieces overlap by two bytes.
@@ -146,7 +145,24 @@ def records(file: object, start: int, stop: int, size: int) -> Iterator[tuple[in
             if len(data) <= 3:
                 return
             pos += len(data) - 3
-    return
+
+
+def records(file: object, start: int, stop: int, size: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """Offset, headers and block of all records whose member starts in [start, stop)."""
+    for pos, _, data in members(file, start, stop, size):
+        for headers, block in parse(data):
+            yield pos, headers, block
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each split with the end of the last member that starts in it, 0 where none does."""
+    for batch in batches:
+        ends = []
+        for path, start, stop, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            fs, name = common.local_path(path)
+            with fs.open_input_file(name) as file:
+                ends.append(max((end for _, end, _ in members(file, start, stop, size)), default=0))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.int64())], names=["path", "start", "stop", "bytes", "end"])
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,14 +196,23 @@ def read(spark: SparkSession, files: DataFrame, split_bytes: int = 32 << 20) ->
     """The records of ``files`` (``path``, ``bytes``): ``path``, ``offset``, ``type``, ``page_id``, ``url``, ``date``, ``html``.
 
     Splits of ``split_bytes`` are spread evenly over tasks. Members that are damaged or hold no records are passed over;
-    reading goes on at the next that is sound. A record without a header or block has null there. Null paths are left
+    reading goes on at the next that is sound. A member may hold the bytes of others, as that of a stored WARC file does; those
+    are none of its file's. So a first pass decodes members and notes where the last of each split ends, and a split reads on from
+    where those before it ended: the records are the same at every split size. A record without a header or block has null
+    there; a very large member has to fit into a task's memory. Files that aren't compressed give no records. Null paths are left
     out; repeated files give repeated records; an empty list of files gives no rows.
     """
     common.ship(spark)
-    splits = files.where("path IS NOT NULL AND bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"), "bytes")
-    tasks = max(1, splits.count())
+    named = files.where("path IS NOT NULL AND bytes > 0").groupBy("path", "bytes").agg(F.count("*").alias("times"))
+    splits = named.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"), "bytes", "times")
+    # As many tasks as splits, but for sizes at which so many would burden the driver.
+    tasks = max(1, min(splits.count(), 64 * common.partitions(spark)))
     spread = splits.select("path", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("stop"), "bytes").repartition(tasks)
-    return spread.mapInArrow(_reader, "path string, offset long, type string, page_id long, url string, date string, html string")
+    ends = common.materialize(spread.mapInArrow(_ends, "path string, start long, stop long, bytes long, end long"), "ends")
+    before = F.max("end").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    left = ends.withColumn("start", F.greatest("start", F.coalesce(before, F.lit(0)))).where("start < stop").join(named, ["path", "bytes"])
+    again = left.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("path", "start", "stop", "bytes").repartition(tasks)
+    return again.mapInArrow(_reader, "path string, offset long, type string, page_id long, url string, date string, html string")
 
 
 def round_trip(pages: DataFrame, split_bytes: int = 32 << 20) -> DataFrame:
