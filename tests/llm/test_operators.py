@@ -157,6 +157,67 @@ def test_extraction_finds_articles(spark):
     assert len(scores) == len(pages) and sum(scores) / len(scores) > 0.92
 
 
+def plain_content(page):
+    """Lines, ratios, smoothing and threshold of a well-formed page by string operations alone."""
+    import html
+    import re
+
+    page = re.sub(r"(?s)<!DOCTYPE[^>]*>|<!--.*?-->", "", page)
+    lines, tags, held, count, hidden = [], [], "", 0, 0
+
+    def close():
+        nonlocal held, count
+        text = " ".join(html.unescape(held).split())
+        held = ""
+        if text:
+            lines.append(text)
+            tags.append(count)
+            count = 0
+
+    raw = None
+    for token in re.findall(r"(?s)<[^>]+>|[^<]+|<", page):
+        m = re.fullmatch(r"(?s)<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>", token)
+        if m and (raw is None or m[1] and m[2].lower() == raw):
+            end, tag = bool(m[1]), m[2].lower()
+            if tag in ("script", "style"):
+                raw = None if end else tag
+            if end and tag in extraction.HIDDEN:
+                hidden -= 1
+            if end:
+                count += 1
+            if tag in extraction.BLOCKS:
+                close()
+            if not end:
+                count += 1
+                hidden += tag in extraction.HIDDEN
+        elif not hidden:
+            first, *rest = token.split("\n")
+            held += first
+            for part in rest:
+                close()
+                held += part
+    close()
+    x = [len(t) / max(c, 1) for t, c in zip(lines, tags)]
+    k = {d: math.exp(-(d**2) / 2) for d in (-1, 0, 1)}
+    near = [[j for j in (i - 1, i, i + 1) if 0 <= j < len(x)] for i in range(len(x))]
+    smoothed = [sum(k[j - i] * x[j] for j in js) / sum(k[j - i] for j in js) for i, js in enumerate(near)]
+    mean = sum(smoothed) / max(len(smoothed), 1)
+    least = 0.5 * math.sqrt(sum((v - mean) ** 2 for v in smoothed) / max(len(smoothed), 1))
+    chosen = [v >= least for v in smoothed]
+    if not any(chosen):
+        chosen = [True] * len(chosen)
+    return "\n".join(t for t, c in zip(lines, chosen) if c), len(lines), sum(chosen)
+
+
+def test_extraction_query_equals_brute_force(spark):
+    for sf in (TINY, "/root/testdata/sf0.01"):
+        pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+        rows = queries.op3_html_extraction(spark, sf).collect()
+        assert len(rows) == len(pages)
+        for r in rows:
+            assert (r["text"], r["n_lines"], r["n_content"]) == plain_content(pages[r["page_id"]]), r["page_id"]
+
+
 def test_extraction_smoothing_and_awkward(spark):
     x = np.array([1.0, 5.0, 2.0, 0.0])
     k = {d: math.exp(-(d**2) / 2) for d in (-1, 0, 1)}
@@ -251,12 +312,68 @@ def test_sharding_query_merges_whole_rows(spark, monkeypatch):
     monkeypatch.setattr(shards.ShardStore, "compact", watched)
     given = spark.read.parquet(f"{TINY}/documents.parquet")
     rows = queries.op4_sharding(spark, TINY)
-    assert rows.columns == [*given.columns, "shard"]
-    assert rows.drop("shard").exceptAll(given).count() == 0 and rows.count() == given.count()
+    assert rows.columns == given.columns
+    assert rows.exceptAll(given).count() == 0 and rows.count() == given.count()
     ((before, after),) = seen
     assert before >= 8 > len(after) and any(s.level for s in after)
 
 
+def test_shards_of_times_and_nested_columns(spark):
+    store = shards.ShardStore(spark, common.fresh_path(spark, "times"))
+    df = spark.sql("""SELECT id, timestamp'2024-01-02 03:04:05.678901' + make_interval(0, 0, 0, cast(id AS int)) AS at, timestamp_ntz'2024-01-02 03:04:05.678901' AS local, date'2024-01-02' AS day,
+        cast(id AS decimal(20, 3)) AS price, array(named_struct('t', timestamp'2024-01-02 03:04:05', 'x', id)) AS list, map('k', id) AS pairs, cast('é' AS binary) AS raw, if(id % 2 = 0, NULL, 'x') AS s FROM range(40)""")
+    for k in range(5):
+        store.append(df.where(F.col("id") % 5 == k).coalesce(1))
+    before = sorted(map(repr, store.read().drop("shard").collect()))
+    store.compact()
+    assert len(store.shards()) == 1 and sorted(map(repr, store.read().drop("shard").collect())) == before == sorted(map(repr, df.collect()))
+    events = spark.read.parquet(f"{TINY}/events.parquet")
+    assert shards.compacted(events).drop("shard").exceptAll(events).count() == 0
+
+
+def test_shards_of_changing_columns(spark):
+    store = shards.ShardStore(spark, common.fresh_path(spark, "columns"))
+    for k in range(4):
+        store.append(spark.createDataFrame([(k, f"t{k}")], "id long, text string").coalesce(1))
+    store.append(spark.createDataFrame([("o",)], "other string").coalesce(1))
+    with pytest.raises(ValueError, match="column id"):
+        store.append(spark.createDataFrame([("x",)], "id string"))
+    expected = sorted([(k, f"t{k}", None) for k in range(4)] + [(None, None, "o")], key=repr)
+    assert sorted((tuple(r)[:3] for r in store.read().collect()), key=repr) == expected
+    store.compact()
+    assert len(store.shards()) < 5 and sorted((tuple(r)[:3] for r in store.read().collect()), key=repr) == expected
+
+
+def plain_plan(sizes, target, low, high, least):
+    """The tiers and merges by plain enumeration over (size, place)."""
+    tiers = []
+    for size, place in sorted((s, i) for i, s in enumerate(sizes) if s < target * low):
+        mean = sum(s for s, _ in tiers[-1]) / len(tiers[-1]) if tiers else 0
+        if tiers and low * mean <= size <= high * mean:
+            tiers[-1].append((size, place))
+        else:
+            tiers.append([(size, place)])
+    merges = []
+    for tier in tiers:
+        if len(tier) >= least:
+            runs = [[]]
+            for place, size in sorted((p, s) for s, p in tier):
+                if sum(sizes[p] for p in runs[-1]) + size > target:
+                    runs.append([])
+                runs[-1].append(place)
+            merges += [r for r in runs if len(r) > 1]
+    return merges
+
+
+def test_shard_plan_equals_brute_force():
+    rng = random.Random(6)
+    for _ in range(300):
+        sizes = [rng.choice([rng.randint(1, 20), rng.randint(1, 400), 7]) for _ in range(rng.randint(0, 40))]
+        target = rng.choice([50, 100, 1000])
+        listed = [shards.Shard(f"s{i}", s, 1) for i, s in enumerate(sizes)]
+        assert [[int(s.name[1:]) for s in m] for m in shards.plan(listed, target)] == plain_plan(sizes, target, 0.5, 1.5, 4)
+
+
 # 5 substring
 
 
@@ -319,6 +436,21 @@ def test_urls_short_keys(spark):
     assert [got[u] for u in urls] == ["domain:zip", "domain:zip", "host:ok.zip", None, "prefix:a.org", "prefix:a.org", "prefix:b.org", "prefix:c.org/ads", None, None, None]
 
 
+def test_urls_odd_entries_and_hot_hosts(spark):
+    entries = [("host", "UPPER.org"), ("prefix", "h.org/"), ("host", "[::1]"), ("domain", ".dot.org"), ("domain", "*.star.org."), ("prefix", "Case.org/Path/"), ("domain", "bad.org")]
+    e = spark.createDataFrame([(*x, "add", "block", "2024-01-01") for x in entries], "kind string, key string, event string, action string, day string").withColumn("day", F.to_date("day"))
+    urls = ["http://upper.org/x", "http://h.org/x", "http://[::1]:8080/x", "http://a.dot.org", "http://b.star.org/", "http://case.org/Path/x", "http://case.org/path/x", "http://bad.org./x", "http://notbad.org"]
+    c = spark.createDataFrame([(u, "2024-02-01") for u in urls * 30], "url string, day string").withColumn("day", F.to_date("day"))
+    out = urlfilter.judge(c, e)
+    assert {r["url"]: r["blocked"] for r in out.collect()} == {u: u not in ("http://case.org/path/x", "http://notbad.org") for u in urls} and out.count() == 270
+    # A hot host with an event every day: as many captures as rows, whatever the number of its intervals.
+    e = spark.sql("SELECT 'host' AS kind, 'hot.org' AS key, if(id % 3 = 0, 'remove', 'add') AS event, if(id % 2 = 0, 'allow', 'block') AS action, date_add(date'2024-01-01', cast(id AS int)) AS day FROM range(300)")
+    c = spark.sql("SELECT id, concat('http://hot.org/', id % 7) AS url, date_add(date'2023-12-30', cast(id % 310 AS int)) AS day FROM range(3000)")
+    for r in urlfilter.judge(c, e).collect():
+        k = min(r["id"] % 310 - 2, 299)
+        assert r["action"] == (None if k < 0 or k % 3 == 0 else "allow" if k % 2 == 0 else "block")
+
+
 # 7 WARC
 
 
@@ -340,6 +472,18 @@ def test_warc_ranges_cover_every_member_once():
     assert list(warc.records(io.BytesIO(members[3][:-9]), 0, 99, len(members[3]) - 9)) == []
 
 
+def test_warc_nested_files_at_every_split_size(spark, tmp_path):
+    inner = b"".join(gzip.compress(warc.record(900 + i, "inner", f"page {i}"), 6, mtime=0) for i in range(3))
+    outer = warc.record(2, "outer", None).replace(b"Content-Length: 0", b"Content-Length: %d" % len(inner))[:-4] + inner + b"\r\n\r\n"
+    parts = [gzip.compress(warc.record(1, "a", "one"), 6, mtime=0), gzip.compress(outer, 0, mtime=0), gzip.compress(warc.record(3, "b", "three"), 6, mtime=0)]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(parts))
+    files = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", sum(map(len, parts)))], "path string, bytes long")
+    for step in (60, 200, 10**6):
+        assert sorted(r["page_id"] for r in warc.read(spark, files, step).collect()) == [1, 2, 3], step
+    twice = files.unionByName(files)
+    assert warc.read(spark, twice, 100).count() == 6
+
+
 def test_warc_awkward(spark):
     rows = [(1, None, None), (None, "u", ""), (2, "http://é", "a\r\n\r\nb"), (2, "http://é", "a\r\n\r\nb"), (3, "x", LONG)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
