@@ -18,13 +18,13 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import common
 from palisade.llm.hashing import ranges
 
-DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 _NEVER = float("-inf")
@@ -98,21 +98,22 @@ class Vocabulary:
 class Encoder(dict):
     """Encodes texts; as a dict it maps a word to its number in the cache of encoded words."""
 
-    def __init__(self, model: bytes, cached_words: int = 400_000) -> None:
+    def __init__(self, model: bytes, cached_words: int = 200_000, cached_chars: int = 4_000_000) -> None:
         super().__init__()
         v = self.vocabulary = Vocabulary.parse(model)
-        self.limit = cached_words
+        self.most_words, self.most_chars = cached_words, cached_chars
         self.score = {p: s for p, s, k in zip(v.pieces, v.scores, v.kinds, strict=True) if k == NORMAL}
         self.number = {p: i for i, (p, k) in enumerate(zip(v.pieces, v.kinds, strict=True)) if k == NORMAL}
         self.unknown = v.kinds.index(UNKNOWN) if UNKNOWN in v.kinds else 0
         self.byte = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(v.pieces, v.kinds, strict=True)) if k == BYTE}
         self.finder = ahocorasick.Automaton()
         for piece in self.score:
-            self.finder.add_word(piece, piece)
+            if len(piece) > 1:
+                self.finder.add_word(piece, (1 - len(piece), piece))
         self.finder.make_automaton()
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score)
-        lines = not any("\n" in p and len(p) > 1 for p in self.score)
-        self.words = re.compile(r"(?s).+" if crossing else rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if lines else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        joined = "".join(sorted({c for p in self.score if len(p) > 1 for c in p} - {SPACE}))
+        self.words = re.compile(r"(?s).+" if crossing else rf"(?s){SPACE}*[{re.escape(joined)}]+|{SPACE}+|." if joined else r"(?s).")
         self.fits: dict[tuple[str, str], bool] = {}
         self.histories: dict[str, tuple | None] = {}
         self.strings = ["" if k == CONTROL else " ⁇ " if k == UNKNOWN else p.replace(SPACE, " ") for p, k in zip(v.pieces, v.kinds, strict=True)]
@@ -125,17 +126,34 @@ class Encoder(dict):
         self._reset()
 
     def _reset(self) -> None:
+        self.old: dict[str, int] = {}
+        self._renew()
+
+    def _renew(self) -> None:
+        """Begin a generation of the cache; words of the last one are taken over as they are met."""
         self.clear()
         self.flat = array("i")
-        self.begin = array("q")
+        self.begin = array("q", [0])
+        self.chars = 0
         self.arrays: tuple[np.ndarray, np.ndarray] | None = None
 
+    def turn(self) -> None:
+        """To be called between texts: the cache holds at most two generations of the allowed size, and what one call adds."""
+        if len(self) > self.most_words or self.chars > self.most_chars:
+            self.old, self.old_flat, self.old_begin = dict(self), self.flat, self.begin
+            self._renew()
+
     def __missing__(self, word: str) -> int:
-        k = len(self.begin)
+        k = len(self.begin) - 1
+        old = self.old.get(word)
+        if old is not None:
+            self.flat.extend(self.old_flat[self.old_begin[old] : self.old_begin[old + 1]])
+        else:
+            for piece in self.backtrack(word):
+                self.flat.extend(self.ids_of(piece))
         self.begin.append(len(self.flat))
-        for piece in self.backtrack(word):
-            self.flat.extend(self.ids_of(piece))
         self[word] = k
+        self.chars += len(word)
         self.arrays = None
         return k
 
@@ -214,18 +232,23 @@ class Encoder(dict):
     def backtrack(self, text: str) -> list[str]:
         """The pieces of a text, as ``merge`` would find them."""
         n = len(text)
-        found: list[list[str]] = [[c] for c in text]
-        for end, piece in self.finder.iter(text):
-            if len(piece) > 1:
-                found[end - len(piece) + 1].append(piece)
+        if not n:
+            return []
+        longer: dict[int, list[str]] = {}
+        for end, (back, piece) in self.finder.iter(text) if len(self.finder) else ():
+            if end + back in longer:
+                longer[end + back].append(piece)
+            else:
+                longer[end + back] = [piece]
         failed = bytearray((n >> 3) + 1)
         out: list[str] = []
         tried: list[int] = []
-        fits, pos, k, last = self.fits, 0, len(found[0]) - 1 if n else 0, ""
-        while pos < n:
-            options = found[pos]
+        fits, pos, last = self.fits, 0, ""
+        options = longer.get(0, ())
+        k = len(options)  # how many options are left beside the single character
+        while True:
             while k >= 0:
-                piece = options[k]
+                piece = options[k - 1] if k else text[pos]
                 end = pos + len(piece)
                 if not failed[end >> 3] >> (end & 7) & 1:
                     good = fits.get((last, piece))
@@ -236,14 +259,16 @@ class Encoder(dict):
                 out.append(piece)
                 tried.append(k)
                 pos, last = end, piece
-                k = len(found[pos]) - 1 if pos < n else 0
+                if pos == n:
+                    return out
+                options = longer.get(pos, ())
+                k = len(options)
             else:
                 failed[pos >> 3] |= 1 << (pos & 7)
-                back = out.pop()
-                pos -= len(back)
+                pos -= len(out.pop())
                 k = tried.pop() - 1
                 last = out[-1] if out else ""
-        return out
+                options = longer.get(pos, ())
 
     def normal(self, text: str) -> str:
         if self.vocabulary.squeeze:
@@ -260,14 +285,13 @@ class Encoder(dict):
         """The ids that cache numbers stand for, and how many each has."""
         if self.arrays is None:
             begin = np.array(self.begin)
-            self.arrays = np.array(self.flat), begin, np.diff(np.append(begin, len(self.flat)))
+            self.arrays = np.array(self.flat), begin[:-1], np.diff(begin)
         flat, begin, sizes = self.arrays
         counts = sizes[codes]
         return flat[ranges(begin[codes], counts)], counts
 
     def encode(self, text: str) -> list[int]:
-        if len(self) > self.limit:
-            self._reset()
+        self.turn()
         return self.expand(self.codes(text))[0].tolist()
 
     def decode(self, ids: list[int], high: bool | None = None) -> str:
@@ -313,14 +337,28 @@ def encoder(model: bytes) -> Encoder:
     return _ENCODERS[model]
 
 
+#: Rows and bytes of text that are encoded at once, but for a single longer text.
+SLICE_ROWS, SLICE_BYTES = 1000, 1 << 21
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where to cut a batch: first row and number of rows of each slice."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < len(ends):
+        before = ends[row - 1] if row else 0
+        rows = min(max(1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")) - row), SLICE_ROWS, len(ends) - row)
+        yield row, rows
+        row += rows
+
+
 def _run(model: object):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model.value)
         for whole in batches:
-            for low in range(0, whole.num_rows, 1000):
-                batch = whole.slice(low, 1000)
-                if len(e) > e.limit:
-                    e._reset()
+            for low, rows in _slices(whole.column(1)):
+                batch = whole.slice(low, rows)
+                e.turn()
                 texts = batch.column(1).to_pylist()
                 codes = [e.codes(t or "") for t in texts]
                 sizes = np.array([len(c) for c in codes])
@@ -338,12 +376,14 @@ def _run(model: object):
     return run
 
 
-def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
+def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """``doc_id``, the token ``ids`` of the whole text, and the text ``decoded`` from them again.
 
     A null text gives null in both, an empty one no ids and an empty text. Every row is encoded by itself, so repeated rows
-    give equal results; other columns are ignored, whatever their names; an empty table gives no rows. The driver reads
-    the model and sends it to the tasks.
+    give equal results; other columns are ignored, whatever their names; an empty table gives no rows. Ids must be whole
+    numbers. A run of characters without a break, some hundred bytes of memory each, has to fit into a task; texts of any
+    length with breaks do. Models that map characters or have user-defined pieces are refused. The driver reads the model
+    and sends it to the tasks.
     """
     common.ship(docs.sparkSession)
     with open(model_path, "rb") as f:

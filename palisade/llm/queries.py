@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from palisade.llm import extraction, jaccard, mixing, pieces, quality, shards, substring, topk, urlfilter, warc
 
+#: The SentencePiece model of the registered queries: a file of the box's public tokenizers.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -19,7 +22,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(_documents(spark, sf_dir))
+    return pieces.encode(_documents(spark, sf_dir), MODEL)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,12 +41,12 @@ def test_query_equals_oracle(name, spark, duck):
 def test_pieces_equal_the_library():
     import sentencepiece
 
-    model = open(pieces.DEFAULT_MODEL, "rb").read()
-    ours, library = pieces.Encoder(model, cached_words=50), sentencepiece.SentencePieceProcessor(model_proto=model)
+    model = open(queries.MODEL, "rb").read()
+    ours, library = pieces.Encoder(model, cached_words=50, cached_chars=400), sentencepiece.SentencePieceProcessor(model_proto=model)
     rng = random.Random(3)
     alphabet = "ab ▁ \n\té日🙂x.,thein<s>0́ "
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
-    texts += ["the" * 5000, "a" * 9999, "  lead", "trail  ", "<s>abc</s> <0x0A>"]
+    texts += ["".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(20_000)), "日本語 の テキスト。word日word" * 50, "the" * 5000, "a" * 9999, "  lead", "trail  ", "<s>abc</s> <0x0A>"]
     for text in texts:
         ids = ours.encode(text)
         assert ids == library.encode(text) and ours.decode(ids) == library.decode(ids)
@@ -56,7 +56,7 @@ def test_pieces_equal_the_library():
 
 
 def test_pieces_backtrack_equals_merging():
-    e = pieces.Encoder(open(pieces.DEFAULT_MODEL, "rb").read())
+    e = pieces.Encoder(open(queries.MODEL, "rb").read())
     rng = random.Random(5)
     for _ in range(3000):
         text = "".join(rng.choice("▁ntheaiosr") for _ in range(rng.randint(1, 25)))
@@ -66,15 +66,15 @@ def test_pieces_backtrack_equals_merging():
 def test_pieces_query(spark):
     import sentencepiece
 
-    library = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL)
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{TINY}/documents.parquet").collect()}
     rows = queries.op1_sentencepiece(spark, TINY).collect()
     assert len(rows) == len(texts)
     for r in rows:
         assert r["ids"] == library.encode(texts[r["doc_id"]]) and r["decoded"] == texts[r["doc_id"]]
-    out = {(r["doc_id"], r["decoded"]): r["ids"] for r in pieces.encode(docs(spark, AWKWARD, True)).collect()}
+    out = {(r["doc_id"], r["decoded"]): r["ids"] for r in pieces.encode(docs(spark, AWKWARD, True), queries.MODEL).collect()}
     assert out[1, None] is None and out[2, ""] == [] and out[6, LONG] == library.encode(LONG)
-    assert pieces.encode(docs(spark, [])).count() == 0
+    assert pieces.encode(docs(spark, []), queries.MODEL).count() == 0
 
 
 # 2 mixing

@@ -10,7 +10,7 @@ import xxhash
 from conftest import TINY
 from test_operators import brute_pairs, dense_rates
 
-from palisade.llm import pieces, quality
+from palisade.llm import quality, queries
 
 
 def spark_uniform(seed, doc_id, text):
@@ -59,7 +59,7 @@ def test_pipeline_equals_brute_force(spark, duck):
     left = deduplicated(single)
     entries = [(rows[i][3], rows[i][2], len(t.split())) for i, t in left]
     rates, _ = dense_rates(entries)
-    library = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL)
     expected = Counter()
     close = set()
     for (i, t), key in zip(left, entries, strict=True):
