@@ -17,18 +17,22 @@ BLOCK_WORDS = 20_000
 #: Letters of scripts that are written without spaces: Thai to Tibetan, Myanmar, Khmer, kana, Han and their extensions.
 UNSPACED = "\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U000323AF"
 WORDS = r"array_remove(split(text, '\\s+'), '')"
+JOINED = "array_join(w, '')"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is an SQL expression over the column ``text``, or over ``w`` too, its words; true or null means that the rule rejects."""
+    """``rejects`` is an SQL expression over the column ``text``, or over its words ``w`` and their letters in one piece ``j`` too.
+
+    True or null means that the rule rejects.
+    """
 
     name: str
     rejects: str
 
     @property
     def over_words(self) -> bool:
-        return re.search(r"\bw\b", self.rejects) is not None
+        return re.search(r"\b[wj]\b", self.rejects) is not None
 
 
 def production_rules(
@@ -51,18 +55,19 @@ def production_rules(
     """
     # A count of characters of some kind is what is lost with them: runs go in one piece, and most texts have few.
     lost = lambda kind: f"(char_length(text) - char_length(regexp_replace(text, '{kind}+', '')))"
-    inked = "char_length(array_join(w, ''))"
+    only = lambda kind: rf"char_length(regexp_replace(j, '\\P{{{kind}}}+', ''))"
     distinct = f"aggregate(sequence(1, greatest(size(w), 1), {block_words}), 0, (n, i) -> n + size(array_distinct(slice(w, i, {block_words}))))"
     return [
         Rule("no_words", r"NOT text RLIKE '\\S'"),
-        Rule("giant_word", rf"text RLIKE '[^\\s{UNSPACED}]{{{max_word_chars + 1}}}'"),
+        # Few words have so many bytes; only their texts are searched for a run of so many characters.
+        Rule("giant_word", rf"exists(w, x -> octet_length(x) > {max_word_chars}) AND text RLIKE '[^\\s{UNSPACED}]{{{max_word_chars + 1}}}'"),
         Rule(
             "word_length",
-            f"size(w) >= 10 AND ({inked} < {mean_word[0]}D * size(w) OR {inked} > {mean_word[1]}D * size(w)) AND 2 * {lost(f'[{UNSPACED}]')} < {inked}",
+            f"size(w) >= 10 AND (char_length(j) < {mean_word[0]}D * size(w) OR char_length(j) > {mean_word[1]}D * size(w)) AND 2 * {lost(f'[{UNSPACED}]')} < char_length(j)",
         ),
         Rule("symbols", f"{lost('[#$%&*|~^<>{}=+@_]')} > {max_symbols}D * char_length(text) + 2"),
-        Rule("capitals", rf"char_length(regexp_replace(text, '\\P{{Lu}}+', '')) > {max_upper}D * char_length(regexp_replace(text, '\\P{{L}}+', '')) + 5"),
-        Rule("no_letters", rf"regexp_count(text, '(?<!\\S)[^\\s\\p{{L}}]++(?!\\S)') > {max_wordlike_gap}D * size(w) + 3"),
+        Rule("capitals", f"{only('Lu')} > {max_upper}D * {only('L')} + 5"),
+        Rule("no_letters", rf"size(filter(w, x -> NOT x RLIKE '\\p{{L}}')) > {max_wordlike_gap}D * size(w) + 3"),
         Rule("repeated_words", f"size(w) >= 20 AND {distinct} < {min_distinct}D * size(w)"),
         Rule(
             "repeated_lines",
@@ -102,7 +107,7 @@ def estimate(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = 2000, sa
     Only the order of the rules depends on it, never a decision. The sample is kept by Spark's cache, which is
     recomputed where an executor is lost.
     """
-    sample = _sample(docs, sample_rows, sample_files).withColumn("w", F.expr(WORDS)).cache()
+    sample = _sample(docs, sample_rows, sample_files).withColumn("w", F.expr(WORDS)).withColumn("j", F.expr(JOINED)).cache()
     try:
         n = sample.count()
         if not n:
@@ -116,7 +121,7 @@ def estimate(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = 2000, sa
             return time.perf_counter() - began, hits
 
         floor, _ = timed(F.col("text").isNull())
-        words, _ = timed(F.expr(f"size({WORDS}) > 0")) if any(r.over_words for r in rules) else (floor, 0)
+        words, _ = timed(F.expr(f"transform(array({WORDS}), w -> {JOINED})[0] = ''")) if any(r.over_words for r in rules) else (floor, 0)
         out = []
         for rule in rules:
             took, hits = timed(F.coalesce(F.expr(rule.rejects), F.lit(True)))
@@ -147,7 +152,7 @@ def cascade(rules: Sequence[Rule]) -> Column:
     """
     first = next((i for i, r in enumerate(rules) if r.over_words), len(rules))
     case = lambda some, rest: "CASE " + "".join(f"WHEN coalesce({r.rejects}, true) THEN true " for r in some) + f"ELSE {rest} END" if some else rest
-    over = f"transform(array({WORDS}), w -> {case(rules[first:], 'false')})[0]" if first < len(rules) else "false"
+    over = f"transform(array({WORDS}), w -> transform(array({JOINED}), j -> {case(rules[first:], 'false')})[0])[0]" if first < len(rules) else "false"
     return F.expr(case(rules[:first], over))
 
 
