@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import common
-from palisade.llm.blobs import bucket_edges, buckets_for, flushes, pack, pack_sorted, unpack, unpack_sorted
+from palisade.llm.blobs import bucket_edges, buckets_for, flushes, pack, pack_sorted, trimmed, trimmed_pair, unpack, unpack_sorted
 from palisade.llm.hashing import U, flat, mix, ngrams, starts_of, word_hashes
 
 _SENT = pa.schema([("bucket", pa.int32()), ("flush", pa.string()), ("grams", pa.binary()), ("rows", pa.binary()), ("doc_id", pa.int64()), ("th", pa.int64()), ("idx", pa.int32()), ("fp", pa.int64()), ("n", pa.int32())])
@@ -324,14 +324,14 @@ def _matches(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Data
     buckets = max(4 * common.partitions(spark), buckets_for(docs))
     inputs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("w"))
     sent = inputs.mapInArrow(_send(n, buckets), _SENT_SQL)
-    counted = sent.groupBy("bucket").applyInArrow(_count, _COUNTED_SQL)
-    classes = common.materialize(counted.groupBy("flush").applyInArrow(_classes(threshold), _CLASS_SQL), "classes")
+    counted = sent.groupBy("bucket").applyInArrow(trimmed(_count), _COUNTED_SQL)
+    classes = common.materialize(counted.groupBy("flush").applyInArrow(trimmed(_classes(threshold)), _CLASS_SQL), "classes")
     del sent, counted
     common.release_shuffles(spark)
     live = classes.where("eff > 0")
     posts = live.select("gid", "n", F.explode(F.slice("grams", 1, F.col("eff"))).alias("gram"))
     lists = posts.groupBy("gram").agg(F.collect_set(F.struct("gid", "n")).alias("posts")).where(F.size("posts") > 1)
-    across = _tiled(lists, buckets).groupBy("block").applyInArrow(_pairs(threshold), "block int, a long, b long").groupBy("a", "b").agg(F.min("block").alias("block"))
+    across = _tiled(lists, buckets).groupBy("block").applyInArrow(trimmed(_pairs(threshold)), "block int, a long, b long").groupBy("a", "b").agg(F.min("block").alias("block"))
     within = (
         live.groupBy("gid").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
         .select(F.col("gid").alias("a"), F.col("gid").alias("b"), F.pmod(F.xxhash64("gid"), F.lit(buckets)).cast("int").alias("block"))
@@ -341,7 +341,7 @@ def _matches(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Data
     # A class may come from several flushes; its documents are counted over all of them.
     whole = live.groupBy("fp").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.sum(F.size("doc_ids")).alias("copies"), F.first("grams").alias("grams"))
     sets = needed.join(whole, "gid").select("at", "gid", "fp", "n", "copies", "grams")
-    found = common.materialize(pairs.groupBy("block").cogroup(sets.groupBy("at")).applyInArrow(_verify(threshold), _FOUND_SQL), "found")
+    found = common.materialize(pairs.groupBy("block").cogroup(sets.groupBy("at")).applyInArrow(trimmed_pair(_verify(threshold)), _FOUND_SQL), "found")
     common.discard(pairs)
     return classes, found
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import common
+from palisade.llm.blobs import trim
 from palisade.llm.hashing import ranges
 
 SPACE = "▁"
@@ -98,7 +99,7 @@ class Vocabulary:
 class Encoder(dict):
     """Encodes texts; as a dict it maps a word to its number in the cache of encoded words."""
 
-    def __init__(self, model: bytes, cached_words: int = 200_000, cached_chars: int = 4_000_000) -> None:
+    def __init__(self, model: bytes, cached_words: int = 150_000, cached_chars: int = 2_000_000) -> None:
         super().__init__()
         v = self.vocabulary = Vocabulary.parse(model)
         self.most_words, self.most_chars = cached_words, cached_chars
@@ -202,7 +203,7 @@ class Encoder(dict):
         """
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             known = self.fits[left, right] = self._remerge(left, right)
         return known
@@ -354,6 +355,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 def _run(model: object):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         e = encoder(model.value)
         for whole in batches:
             for low, rows in _slices(whole.column(1)):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import common
-from palisade.llm.blobs import bucket_edges, buckets_for, flushes, pack, pack_sorted, trim, unpack, unpack_sorted
+from palisade.llm.blobs import bucket_edges, buckets_for, flushes, pack, pack_sorted, trimmed, unpack, unpack_sorted
 from palisade.llm.hashing import U, mix, ranges, starts_of, window_hashes, word_hashes
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -135,8 +135,6 @@ def _repeated(table: pa.Table) -> pa.Table:
         out["pos"].append(pack((place[span][has] & 0xFFFFFFFF).astype(np.uint32)))
         out["later"].append(pack(later[span][has].astype(np.uint8)))
     k = len(out["flush"])
-    del parts, docs, place, hashes, checks, repeats, later
-    trim()
     return pa.table([pa.array(out["flush"], pa.string()), *(pa.array(out[x], pa.binary()) for x in ("hash", "check", "idx", "pos", "later")), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64()))], schema=_KEPT)
 
 
@@ -217,7 +215,7 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     buckets = buckets_for(docs)
     inputs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("w"))
     sent = inputs.mapInArrow(_first(min_words, buckets), _SENT_SQL)
-    base = common.materialize(sent.groupBy("bucket").applyInArrow(_repeated, _KEPT_SQL), "level")
+    base = common.materialize(sent.groupBy("bucket").applyInArrow(trimmed(_repeated), _KEPT_SQL), "level")
     del sent
     members = base.where("ids IS NOT NULL")
     levels, length = [(min_words, base)], min_words
@@ -226,14 +224,14 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
         last = levels[-1][1].where("hash IS NOT NULL")
         if not last.limit(1).count():
             break
-        sent = last.unionByName(members).groupBy("flush").applyInArrow(_doubled(length, buckets), _SENT_SQL)
+        sent = last.unionByName(members).groupBy("flush").applyInArrow(trimmed(_doubled(length, buckets)), _SENT_SQL)
         length *= 2
-        levels.append((length, common.materialize(sent.groupBy("bucket").applyInArrow(_repeated, _KEPT_SQL), "level")))
+        levels.append((length, common.materialize(sent.groupBy("bucket").applyInArrow(trimmed(_repeated), _KEPT_SQL), "level")))
         del sent
     every = base.select("flush", F.lit(min_words).alias("level"), "idx", "pos", "later", "ids", "ths")
     for at, level in levels[1:]:
         every = every.unionByName(level.where("idx IS NOT NULL").select("flush", F.lit(at).alias("level"), "idx"), allowMissingColumns=True)
-    found = every.groupBy("flush").applyInArrow(_spans(min_words), _DOCS_SQL).dropDuplicates(["doc_id", "th"])
+    found = every.groupBy("flush").applyInArrow(trimmed(_spans(min_words)), _DOCS_SQL).dropDuplicates(["doc_id", "th"])
     out = common.materialize(found, "repeats")
     common.discard(*[level for _, level in levels])
     common.release_shuffles(spark)
