@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from palisade.operators import predicates
+from palisade.operators.predicates import cosine, doubles, norm
+
 
 class DataTestError(RuntimeError):
     """A data test found violations."""
@@ -33,82 +36,62 @@ def referential_integrity(child: DataFrame, key: str, parent: DataFrame, parent_
 
 
 def max_value(df: DataFrame, column: str, limit: float) -> DataFrame:
-    return df.where(F.col(column) > limit)
+    return df.where(predicates.above(F.col(column), limit))
 
 
 def min_value(df: DataFrame, column: str, limit: float) -> DataFrame:
-    return df.where(F.col(column) < limit)
+    return df.where(predicates.below(F.col(column), limit))
 
 
 def accepted_values(df: DataFrame, column: str, values: Sequence) -> DataFrame:
-    return df.where(~F.col(column).isin(list(values)))
+    return df.where(predicates.not_among(F.col(column), values))
 
 
 def regex_match(df: DataFrame, column: str, pattern: str) -> DataFrame:
-    return df.where(~F.col(column).rlike(pattern))
+    return df.where(predicates.unlike(F.col(column), pattern))
 
 
 def date_validity(df: DataFrame, column: str) -> DataFrame:
     """Texts that are no date."""
-    return df.where(F.col(column).isNotNull() & F.col(column).cast("string").try_cast("date").isNull())
+    return df.where(predicates.no_date(F.col(column)))
 
 
 def date_range(df: DataFrame, column: str, first: str, last: str) -> DataFrame:
-    return df.where(~F.col(column).cast("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return df.where(predicates.outside(F.col(column), first, last))
 
 
 def sum_check(df: DataFrame, columns: Sequence[str], limit: float) -> DataFrame:
     """Rows whose columns sum up to more than ``limit``."""
-    return df.where(reduce(lambda a, b: a + b, [F.col(c) for c in columns]) > limit)
-
-
-# Embeddings. All sums are made in double precision.
-
-
-def _doubles(vector: Column) -> Column:
-    return F.transform(vector, lambda x: x.cast("double"))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(_doubles(a), _doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(vector: Column) -> Column:
-    return F.sqrt(dot(vector, vector))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Null where a norm is 0."""
-    return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
+    return df.where(predicates.above(predicates.total([F.col(c) for c in columns]), limit))
 
 
 def embedding_dimension(df: DataFrame, vector: str, dims: int) -> DataFrame:
-    return df.where(F.size(vector) != dims)
+    return df.where(predicates.other_dimension(F.col(vector), dims))
 
 
 def embedding_normalization(df: DataFrame, vector: str, epsilon: float = 1e-3) -> DataFrame:
-    return df.where(F.abs(norm(F.col(vector)) - 1) > epsilon)
+    return df.where(predicates.not_unit(F.col(vector), epsilon))
 
 
 def embedding_nan(df: DataFrame, vector: str) -> DataFrame:
-    return df.where(F.exists(vector, F.isnan))
+    return df.where(predicates.has_nan(F.col(vector)))
 
 
 def embedding_null(df: DataFrame, vector: str) -> DataFrame:
-    return df.where(F.col(vector).isNull() | F.exists(vector, lambda x: x.isNull()))
+    return df.where(predicates.has_null(F.col(vector)))
 
 
 def embedding_zero_vector(df: DataFrame, vector: str) -> DataFrame:
-    return df.where(F.forall(vector, lambda x: x == 0))
+    return df.where(predicates.all_zero(F.col(vector)))
 
 
 def embedding_range(df: DataFrame, vector: str, low: float, high: float) -> DataFrame:
-    return df.where((F.array_min(vector) < low) | (F.array_max(vector) > high))
+    return df.where(predicates.beyond(F.col(vector), low, high))
 
 
 def embedding_sparsity(df: DataFrame, vector: str, most: float) -> DataFrame:
     """Vectors with a share of zeros above ``most``."""
-    return df.where(F.size(F.filter(vector, lambda x: x == 0)) / F.size(vector) > most)
+    return df.where(predicates.sparse(F.col(vector), most))
 
 
 def embedding_distribution(df: DataFrame, vector: str) -> DataFrame:
@@ -125,7 +108,7 @@ def centroid(df: DataFrame, vector: str) -> DataFrame:
 
 def embedding_similarity(df: DataFrame, vector: str, reference: Sequence[float], least: float) -> DataFrame:
     """Vectors whose cosine with the reference is below ``least``."""
-    return df.where(cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in reference])) < least)
+    return df.where(predicates.unlike_vector(F.col(vector), reference, least))
 
 
 def embedding_consistency(a: DataFrame, b: DataFrame, key: str, vector: str, least: float) -> DataFrame:
@@ -143,7 +126,7 @@ def embedding_drift(before: DataFrame, after: DataFrame, vector: str) -> DataFra
 def embedding_outliers(df: DataFrame, key: str, vector: str, threshold: float = 3.0) -> DataFrame:
     """Vectors whose distance to the centroid lies more than ``threshold`` deviations above the mean distance."""
     middle = centroid(df, vector)
-    distances = df.crossJoin(middle).select(key, norm(F.zip_with(_doubles(F.col(vector)), "centroid", lambda x, y: x - y)).alias("distance"))
+    distances = df.crossJoin(middle).select(key, norm(F.zip_with(doubles(F.col(vector)), "centroid", lambda x, y: x - y)).alias("distance"))
     spread = distances.agg(F.avg("distance").alias("m"), F.stddev_pop("distance").alias("s"))
     return distances.crossJoin(spread).where("s > 0").select(key, ((F.col("distance") - F.col("m")) / F.col("s")).alias("z")).where(F.col("z") > threshold)
 
@@ -192,7 +175,7 @@ def embedding_duplicates(df: DataFrame, key: str, vector: str, least: float, wit
     rows. Pairs without a cosine are none: null or empty vectors, ones with nulls, of norm 0, or of different lengths.
     """
     named = [f"__w{i}" for i in range(len(within))]
-    rows = df.select(*[F.col(c).alias(n) for c, n in zip(within, named, strict=True)], F.col(key).alias("id"), _doubles(F.col(vector)).alias("v"))
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(within, named, strict=True)], F.col(key).alias("id"), doubles(F.col(vector)).alias("v"))
     rows = rows.where(reduce(lambda a, n: a & F.col(n).isNotNull(), named, F.col("id").isNotNull()) & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull()))
     many = max(1, -(-df.count() // block_rows))
     placed = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(many)).cast("int"))
@@ -220,23 +203,36 @@ def undocumented(df: DataFrame, documented: Sequence[str]) -> list[str]:
     return sorted(c for c in df.columns if c.lower() not in known)
 
 
-def run_tests(df: DataFrame, tests: dict[str, Sequence[str]], warn=lambda message: None) -> int:
+def measure(df: DataFrame, measures: Mapping[str, Column]) -> dict[str, object]:
+    """Named aggregates of a table in one pass, whatever the names."""
+    row = df.agg(*[column.alias(f"m{i}") for i, column in enumerate(measures.values())]).first() if measures else ()
+    return dict(zip(measures, row, strict=True))
+
+
+def test_measures(tests: Mapping[str, Sequence[str]]) -> dict[str, Column]:
+    """The aggregates that ``run_tests`` needs: the row count and the nulls of each column tested for them."""
+    return {"rows": F.count("*")} | {f"null {c}": F.count_if(F.col(f"`{c}`").isNull()) for c, names in tests.items() if "not_null" in names}
+
+
+test_measures.__test__ = False
+
+
+def run_tests(df: DataFrame, tests: Mapping[str, Sequence[str]], warn: Callable[[str], None] = lambda message: None, measured: Mapping[str, object] | None = None) -> int:
     """Run the named tests of each column in order and raise at the first that fails; returns the number of rows.
 
-    All null counts and the row count come from one pass; each uniqueness test is a job of its own. An unknown test is
-    warned of and passes.
+    All null counts and the row count come from one pass, or from ``measured`` if they were made with others; each
+    uniqueness test is a job of its own. An unknown test is warned of and passes.
     """
-    counted = [c for c, names in tests.items() if "not_null" in names]
-    row = df.agg(F.count("*").alias("__rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in counted]).first()
+    measured = measure(df, test_measures(tests)) if measured is None else measured
     for column, names in tests.items():
         for name in names:
             if name == "not_null":
-                if row[column]:
-                    raise DataTestError(f"Found {row[column]} NULL values in {column}")
+                if n := measured[f"null {column}"]:
+                    raise DataTestError(f"Found {n} NULL values in {column}")
             elif name == "unique":
                 n = duplicates(df, [f"`{column}`"]).count()
                 if n:
                     raise DataTestError(f"Found {n} DUPLICATE values in {column}")
             else:
                 warn(f"unknown test {name!r} on {column}")
-    return row["__rows"]
+    return measured["rows"]

@@ -27,6 +27,7 @@ class Pattern:
     regex: str
     severity: str = "medium"
     action: str = "warn"
+    strategy: str = "redact"
 
     def __post_init__(self) -> None:
         if self.severity not in SEVERITIES or self.action not in ACTIONS:
@@ -64,6 +65,21 @@ def scan(df: DataFrame, column: str, patterns: Sequence[Pattern] = DEFAULT_PATTE
     return df.where(F.col(column).isNotNull()).select(*keep, F.explode(found).alias("hit")).select(*keep, "hit.*")
 
 
+def mask_matches(df: DataFrame, columns: Sequence[str], patterns: Sequence[Pattern]) -> DataFrame:
+    """Replace in text columns what patterns with the action mask match: by a tag, or with the strategy ``entity_preserving`` by one with its length."""
+    out = {}
+    for name in columns:
+        column = F.col(f"`{name}`")
+        for p in patterns:
+            if p.action == "mask":
+                first = F.regexp_extract(column, p.regex, 0)
+                # Matches of one text get the tag of the first; its length is all that the tag tells.
+                tag = F.concat(F.lit("[PRESERVED_"), F.char_length(first), F.lit("]")) if p.strategy == "entity_preserving" else F.lit("[REDACTED]")
+                column = F.when(first != "", F.regexp_replace(column, F.lit(p.regex), tag)).otherwise(column)
+        out[name] = column
+    return df.withColumns(out) if out else df
+
+
 def audit(violations: Iterable[Violation], strict: bool, context: str = "") -> list[str]:
     """Warnings for what was found; in strict mode a finding to block raises."""
     messages = []

@@ -116,11 +116,11 @@ def level_frame(models: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def catalog(manifest: Manifest, state: dict, schemas: dict[str, list[tuple[str, str]]] | None = None) -> dict:
-    """Assets with owners, levels, column types where a run found them, and the last run's row count."""
+    """Assets with owners, levels, column types as the last run found them or ``schemas`` says, and the last run's row count."""
     assets = []
     for name in sorted(manifest.models):
         m = manifest.models[name]
-        types = dict((schemas or {}).get(name, []))
+        types = dict((schemas or {}).get(name) or state.get(name, {}).get("columns") or [])
         listed = [{"name": c.name, "type": types.get(c.name, "unknown"), "policy": c.policy, "description": c.description} for c in m.columns]
         listed += [{"name": c, "type": t, "policy": None, "description": ""} for c, t in types.items() if c not in {x.name for x in m.columns}]
         seen = state.get(name, {})

@@ -11,6 +11,7 @@ from pathlib import Path
 
 import yaml
 
+from palisade.operators import scan
 from palisade.plans import policy, render
 
 CONFIG_NAMES = ("palisade.yaml", "palisade.yml")
@@ -57,17 +58,31 @@ class ProjectConfig:
     layers: dict[str, dict] = field(default_factory=dict)
     column_policies: list[tuple[str, str]] = field(default_factory=list)
     pii_patterns: list[dict] = field(default_factory=list)
+    pii: dict = field(default_factory=dict)
+    audit: dict = field(default_factory=dict)
     quality_rules: list[dict] = field(default_factory=list)
+    data_path: str | None = None
+
+    @property
+    def patterns(self) -> tuple[scan.Pattern, ...]:
+        """The project's patterns of personal data, or the default ones."""
+        given = [scan.Pattern(p["name"], p["regex"], p.get("severity", "medium"), p.get("action", "warn"), p.get("masking_strategy", "redact")) for p in self.pii_patterns]
+        return tuple(given) or scan.DEFAULT_PATTERNS
 
     @classmethod
     def load(cls, project: Path) -> ProjectConfig:
-        """The configuration with its satellites ``config/policies.yml`` and ``config/quality.yml``; the environment overrides target and profile."""
+        """The configuration with its satellites ``config/policies.yml`` and ``config/quality.yml``.
+
+        Variables of the process override target, profile and strictness. What ``environments`` says of the profile overrides the
+        settings of ``pii_detection``, and may switch the quality rules off. Tables go to ``data-path``, a folder or URI that all
+        executors share; without it to the target.
+        """
         path = next((project / n for n in CONFIG_NAMES if (project / n).exists()), None)
         if path is None:
             raise ProjectError(f"no {CONFIG_NAMES[0]} in {project}")
         data = _load(path)
         out = cls()
-        for key, attribute in (("name", "name"), ("version", "version"), ("profile", "profile"), ("target-path", "target_path"), ("clean-targets", "clean_targets"), ("strict", "strict"), ("row_count_threshold", "row_count_threshold")):
+        for key, attribute in (("name", "name"), ("version", "version"), ("profile", "profile"), ("target-path", "target_path"), ("data-path", "data_path"), ("clean-targets", "clean_targets"), ("strict", "strict"), ("row_count_threshold", "row_count_threshold")):
             if key in data:
                 setattr(out, attribute, data[key])
         out.layers = data.get("models") or {}
@@ -78,21 +93,36 @@ class ProjectConfig:
             if (extra := project / "config" / name).exists():
                 loaded = _load(extra)
                 governance = governance | loaded.get("governance", loaded)
-        out.column_policies = [(c["pattern"], policy.parse_policy(c["policy"])) for c in governance.get("column_policies", [])]
+        detection = governance.get("pii_detection") or {}
+        listed = [*(governance.get("column_policies") or []), *(detection.get("column_policies") or [])]
+        out.column_policies = [(c["pattern"] if "pattern" in c else c["column_name_pattern"], policy.parse_policy(c["policy"])) for c in listed]
         for pattern, _ in out.column_policies:
             try:
                 re.compile(pattern)
             except re.error as e:
                 raise ProjectError(f"column policy {pattern!r}: {e}") from e
-        out.pii_patterns = (governance.get("pii_detection") or {}).get("patterns", [])
+        out.pii_patterns = detection.get("patterns") or []
+        out.audit = governance.get("audit") or {}
+        quality_environments: dict = {}
         for name in ("quality.yml", "quality.yaml"):
             if (extra := project / "config" / name).exists():
                 loaded = _load(extra)
-                out.quality_rules = [*(loaded.get("rules") or []), *((loaded.get("data_quality") or {}).get("rules") or [])]
+                settings = loaded.get("data_quality") or {}
+                out.quality_rules = [*(loaded.get("rules") or []), *(settings.get("rules") or [])]
+                quality_environments = settings.get("environments") or {}
         out.target_path = os.environ.get("PALISADE_TARGET_PATH", out.target_path)
         out.profile = os.environ.get("PALISADE_PROFILE", out.profile)
         if "PALISADE_STRICT" in os.environ:
             out.strict = True
+        out.data_path = os.environ.get("PALISADE_DATA_PATH", out.data_path)
+        own = ((governance.get("environments") or {}).get(out.profile) or {}).get("pii_detection") or {}
+        out.pii = {k: v for k, v in detection.items() if k not in ("patterns", "column_policies")} | own
+        try:
+            out.patterns
+        except (KeyError, ValueError, re.error) as e:
+            raise ProjectError(f"pii_detection: {e}") from e
+        if not (quality_environments.get(out.profile) or {}).get("enabled", True):
+            out.quality_rules = []
         return out
 
 

@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from palisade.operators import anomaly
+from palisade.sources.storage import TableStore
 
 
 class ConnectorError(RuntimeError):
@@ -14,10 +15,12 @@ class ConnectorError(RuntimeError):
 
 
 class SparkConnector:
-    """Relations are temporary views; tables are Parquet folders with a view over them."""
+    """Relations are temporary views; tables are versioned Parquet folders with a view over the newest version."""
 
     def __init__(self, spark: SparkSession, target: Path | str) -> None:
+        """``target`` is a path or URI of storage that all executors share; tables go to its folder ``data``."""
         self.spark, self.target = spark, str(target)
+        self.tables = TableStore(spark, f"{self.target}/data")
 
     engine_name = "spark"
 
@@ -32,12 +35,16 @@ class SparkConnector:
         df.createOrReplaceTempView(name)
         return df
 
+    def path_exists(self, path: str) -> bool:
+        """Whether a file or folder is there, on whatever file system its path names."""
+        if "://" not in path and not path.startswith("file:"):
+            return Path(path).exists()
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
     def exists(self, name: str) -> bool:
         return self.spark.catalog.tableExists(name)
 
-    def table_path(self, name: str) -> str:
-        return f"{self.target}/data/{name}.parquet"
-
     def materialize(self, name: str, df: DataFrame, kind: str, protected: bool = False) -> DataFrame:
         """View and ephemeral stay lazy; table and incremental are written. A protected relation that exists is kept."""
         if kind not in ("view", "table", "ephemeral", "incremental"):
@@ -46,9 +53,13 @@ class SparkConnector:
             if not (protected and kind == "view" and self.exists(name)):
                 df.createOrReplaceTempView(name)
             return self.spark.table(name)
-        path = self.table_path(name)
-        df.write.mode("ignore" if protected else "overwrite").parquet(path)
-        written = self.spark.read.parquet(path)
+        if not (protected and self.tables.current(name)):
+            self.tables.publish(name, self.tables.stage(name, df))
+        return self.open(name)
+
+    def open(self, name: str) -> DataFrame:
+        """The newest version of a table, under its name."""
+        written = self.tables.read(name)
         written.createOrReplaceTempView(name)
         return written
 

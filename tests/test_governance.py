@@ -112,8 +112,15 @@ def test_plans(spark):
     assert dag.select([["a"], ["b"]], "b") == [["b"]] and dag.select([["a"]], "z") == []
     assert render.render("SELECT * FROM {{ ref('m') }} JOIN {{ source('d', 'n') }} {{ who | upper }}{{ nobody }}", {"who": "x"}) == 'SELECT * FROM "m" JOIN "d_n" X'
     assert render.references("-- ref('a')\n{{ ref(\"b\") }}") == {"a", "b"}
-    with pytest.raises(render.TemplateError):
-        render.render("{{ 1 + 1 }}")
+    text = """{# none of this #}SELECT {% for c in columns -%}
+        {{ c | upper }}{% if not loop.last %}, {% endif %}
+    {%- endfor %} FROM {{ ref('m') }}{% if limit is defined and limit > 5 %} LIMIT {{ limit }}{% elif kind == 'all' %} ALL{% else %} NONE{% endif %}"""
+    assert render.render(text, {"columns": ["a", "b"], "limit": 7}) == 'SELECT A, B FROM "m" LIMIT 7'
+    assert render.render(text, {"columns": [], "kind": "all"}) == 'SELECT  FROM "m" ALL'
+    assert render.render("{% set n = 2 %}{{ n + 1 }} {{ nobody | default('x') }} {{ ['a', 'b'] | join('-') }} {{ true }} {% for k, v in pairs %}{{ k }}={{ v }};{% endfor %}", {"pairs": {"p": 1}}) == "3 x a-b true p=1;"
+    for bad in ("{{ open('x') }}", "{{ ref('a', 'b') }}", "{{ x.__class__() }}", "{% if x %}", "{% endif %}", "{% import x %}", "{{ a | nope }}", "{{ (lambda: 1)() }}", "{{ x", "{% for x %}{% endfor %}"):
+        with pytest.raises(render.TemplateError):
+            render.render(bad)
 
 
 def test_scalar_and_asof(spark):

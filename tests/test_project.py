@@ -6,13 +6,14 @@ import yaml
 from palisade import cli
 from palisade.plans import lineage, pipeline, policy, project
 from palisade.sources.connector import ConnectorError, SparkConnector
+from palisade.sources.storage import ConflictError, TableStore
 
 USERS = "user_id,email,name,signup_date,tier\n" + "".join(f"u{i},user{i}@example.org,User {i},2024-01-{i % 28 + 1:02d},pro\n" for i in range(40))
 ACTIVITY = "activity_id,user_id,duration\n" + "".join(f"a{i},u{i % 40},{i}\n" for i in range(100))
 
 
 def make(tmp_path, users=USERS, **models):
-    (tmp_path / "data/raw").mkdir(parents=True)
+    (tmp_path / "data/raw").mkdir(parents=True, exist_ok=True)
     (tmp_path / "data/raw/users.csv").write_text(users)
     (tmp_path / "data/raw/activity.csv").write_text(ACTIVITY)
     (tmp_path / "palisade.yaml").write_text("name: shop\nmodels:\n  staging: {materialized: table}\n")
@@ -43,7 +44,7 @@ def test_run_masks_and_keeps_state(spark, tmp_path):
     result = pipeline.run(spark, root)
     assert result.success, result.errors
     assert result.models_executed == ["stg_activity", "stg_users", "engagement"]
-    rows = spark.read.parquet(str(root / "target/data/stg_users.parquet")).collect()
+    rows = TableStore(spark, f"{root}/target/data").read("stg_users").collect()
     assert len(rows) == 40 and not any("@" in r["email"] for r in rows) and all(r["name"] == "Us***" for r in rows)
     state = json.loads((root / "target/state.json").read_text())
     assert state["engagement"]["row_count"] == 40 and state["engagement"]["ml_metrics"]["mean"]["count"] == 1
@@ -55,11 +56,127 @@ def test_run_masks_and_keeps_state(spark, tmp_path):
     assert pipeline.run(spark, root).success  # 41 of 40 rows: within 5 %
 
 
+def test_tables_have_versions(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/data")
+    with pytest.raises(FileNotFoundError):
+        store.read("t")
+    frames = []
+    for n in range(1, 5):
+        assert store.publish("t", store.stage("t", spark.range(n))) == n
+        frames.append(store.read("t"))
+        assert frames[-1].count() == n
+    assert frames[-2].count() == 3  # what was read from the version before stays readable
+    assert len(list((tmp_path / "data/t").glob("data-*"))) == 2
+    staged = store.stage("t", spark.range(9))
+    assert store.read("t").count() == 4
+    (tmp_path / "data/t/_versions/.claim-0000000005").touch()
+    with pytest.raises(ConflictError):
+        store.publish("t", staged)
+    assert store.read("t").count() == 4
+
+
+def write(path, data):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(data if isinstance(data, str) else yaml.safe_dump(data))
+
+
+def test_quality_rules_of_a_project(spark, tmp_path):
+    root = make(tmp_path)
+    good = [
+        {"name": "no_null_primary_keys"}, {"name": "max_value", "column": "duration", "max_value": 99}, {"name": "min_value", "column": "duration", "min_value": 0},
+        {"name": "accepted_values", "column": "name", "values": ["Us***"]}, {"name": "regex_match", "column": "user_id", "pattern": "^u[0-9]+$"},
+        {"name": "date_validity", "column": "signup_date"}, {"name": "date_range", "column": "signup_date", "min_date": "2024-01-01", "max_date": "2024-01-31"},
+        {"name": "sum_check", "columns": ["duration"], "expected_sum": "< 100"}, {"name": "unique_ids", "column": "activity_id"}, {"name": "not_null_columns", "columns": ["user_id", "email"]},
+        {"name": "referential_integrity", "column": "user_id", "reference_table": "raw_users", "reference_column": "user_id"}, {"name": "max_value", "column": "nowhere", "max_value": 1},
+    ]
+    write(root / "config/quality.yml", {"rules": good})
+    result = pipeline.run(spark, root)
+    assert result.success and not [w for w in result.warnings if "rule" in w], (result.errors, result.warnings)
+    for bad, models in (({"name": "max_value", "column": "duration", "max_value": 90}, "stg_activity"), ({"name": "sum_check", "columns": ["duration"], "expected_sum": "<= 98"}, "stg_activity"), ({"name": "unique_ids", "column": "user_id"}, "stg_activity")):
+        write(root / "config/quality.yml", {"rules": [bad]})
+        result = pipeline.run(spark, root)
+        assert not result.success and any(e.startswith(models) and bad["name"] in e for e in result.errors), result.errors
+        write(root / "config/quality.yml", {"rules": [bad | {"severity": "warn"}]})
+        result = pipeline.run(spark, root)
+        assert result.success and any(bad["name"] in w for w in result.warnings)
+    write(root / "config/quality.yml", {"rules": [{"name": "unique_ids", "column": "user_id"}], "data_quality": {"environments": {"dev": {"enabled": False}}}})
+    assert pipeline.run(spark, root).success
+    write(root / "config/quality.yml", {"rules": [{"name": "odd", "column": "user_id"}, {"name": "max_value", "column": "duration"}, {"name": "referential_integrity", "column": "user_id", "reference_table": "gone", "reference_column": "x"}]})
+    result = pipeline.run(spark, root)
+    assert result.success and sum("rule" in w for w in result.warnings) >= 3
+
+
+def test_embedding_rules_of_a_project(spark, tmp_path):
+    rows = [(1, [1.0, 0.0], "2024-01-01"), (2, [0.0, 1.0], "2024-01-02"), (3, [0.0, 0.0], "2024-03-01"), (4, [3.0, float("nan")], "2024-03-01"), (5, None, "2024-03-01"), (6, [2.0, 0.0], "2024-03-01")]
+    spark.createDataFrame(rows, "id int, embedding array<double>, day string").write.parquet(str(tmp_path / "data/raw/vectors.parquet"))
+    write(tmp_path / "palisade.yaml", "strict: false\n")
+    write(tmp_path / "models/vectors.sql", "SELECT * FROM {{ source('raw', 'vectors') }}")
+    write(tmp_path / "models/vectors.yml", {"name": "vectors", "columns": [{"name": "id", "tests": ["unique"]}]})
+    e = "embedding_"
+    wanted = [
+        ({"name": e + "dimension_check", "expected_dimensions": 2, "check_normalization": True}, 3), ({"name": e + "normalization_check"}, 3), ({"name": e + "nan_check"}, 1), ({"name": e + "null_check"}, 1),
+        ({"name": e + "zero_vector_check"}, 1), ({"name": e + "range_check", "min_value": -1, "max_value": 1}, 2), ({"name": e + "sparsity_check", "sparsity_threshold": 0.6}, 1),
+        ({"name": e + "similarity_check", "reference_embeddings": [1, 0], "similarity_threshold": 0.5}, 1), ({"name": e + "duplicates_check", "duplicate_threshold": 0.9}, None), ({"name": e + "uniqueness_check", "uniqueness_threshold": 1.01}, 1),
+        ({"name": e + "completeness_check", "completeness_threshold": 0.9}, 1), ({"name": e + "consistency_check", "reference_models": ["raw_vectors"], "consistency_threshold": 1.01}, None),
+        ({"name": e + "distribution_check", "mean": 0, "std_dev": 1}, 2), ({"name": e + "drift_check", "reference_period": "2024-01-01 to 2024-01-31", "date_column": "day", "drift_threshold": 0.1}, 1), ({"name": e + "outlier_check", "outlier_threshold": 3}, None),
+        ({"name": e + "similarity_check", "reference_embeddings": ["named"], "similarity_threshold": 0.5}, "numbers"),
+    ]
+    write(tmp_path / "config/quality.yml", {"rules": [r for r, _ in wanted]})
+    project.generate_sources(tmp_path, tmp_path / "data")
+    result = pipeline.run(spark, tmp_path)
+    assert result.success, result.errors
+    for rule, n in wanted:
+        if isinstance(n, int):
+            assert any(w == f"vectors: {n} violations of {rule['name']}" for w in result.warnings), (rule, result.warnings)
+    assert any("numbers of one vector" in w for w in result.warnings)
+
+
+def test_pre_flight_checks_and_audit(spark, tmp_path):
+    root = make(tmp_path)
+    marts = root / "models/marts/engagement.yml"
+    entry = yaml.safe_load(marts.read_text())
+    entry["models"][0]["compliance"]["pre_flight"] = [{"check": "strict_schema_validation"}, {"check": "pii_detection"}]
+    write(marts, entry)
+    policies = {"column_policies": [{"column_name_pattern": ".*email.*", "policy": "hash"}], "pii_detection": {"enabled": True, "patterns": [{"name": "user", "regex": "^u[0-9]+$", "severity": "low", "action": "warn"}]},
+        "audit": {"enabled": True, "log_events": ["pii_detected", "model_executed", "data_blocked"], "retention_days": 90}, "environments": {"prod": {"pii_detection": {"fail_on_detection": True}}, "uat": {"pii_detection": {"auto_mask": True}}}}
+    write(root / "config/policies.yml", policies)
+    result = pipeline.run(spark, root)
+    assert result.success and any("user (low, warn)" in w for w in result.warnings), (result.errors, result.warnings)
+    events = [json.loads(line) for line in (root / "target/audit.jsonl").read_text().splitlines()]
+    assert {e["event"] for e in events} == {"pii_detected", "model_executed"} and [e["rows"] for e in events if e["event"] == "pii_detected"] == [40]
+    write(root / "palisade.yaml", "name: shop\nprofile: prod\nmodels:\n  staging: {materialized: table}\n")
+    result = pipeline.run(spark, root)
+    assert not result.success and "personal data" in result.errors[0]
+    assert "data_blocked" in (root / "target/audit.jsonl").read_text() and len((root / "target/audit.jsonl").read_text().splitlines()) > len(events)
+    policies["pii_detection"]["patterns"][0] |= {"action": "block", "severity": "critical"}
+    write(root / "config/policies.yml", policies)
+    write(root / "palisade.yaml", "name: shop\nmodels:\n  staging: {materialized: table}\n")
+    assert "blocked" in pipeline.run(spark, root).errors[0]
+    policies["pii_detection"]["patterns"][0] |= {"action": "mask", "severity": "low"}
+    write(root / "config/policies.yml", policies)
+    write(root / "palisade.yaml", "name: shop\nprofile: uat\nmodels:\n  staging: {materialized: table}\n")
+    result = pipeline.run(spark, root)
+    assert result.success and {r["user_id"] for r in spark.table("engagement").collect()} == {"[REDACTED]"}
+    entry["models"][0]["columns"].append({"name": "gone"})
+    write(marts, entry)
+    assert "missing" in pipeline.run(spark, root).errors[0]
+    write(root / "config/policies.yml", {"pii_detection": {"patterns": [{"name": "x", "regex": "("}]}})
+    with pytest.raises(project.ProjectError):
+        project.ProjectConfig.load(root)
+
+
+def test_tables_go_where_the_data_path_says(spark, tmp_path):
+    root = make(tmp_path / "p")
+    write(root / "palisade.yaml", f"name: shop\ndata-path: file://{tmp_path}/shared\nmodels:\n  staging: {{materialized: table}}\n")
+    assert pipeline.run(spark, root).success
+    assert TableStore(spark, f"file://{tmp_path}/shared/data").read("stg_users").count() == 40 and not (root / "target/data").exists()
+
+
 def test_duplicate_stops_and_leaves_nothing(spark, tmp_path):
     root = make(tmp_path, users=USERS + "u0,dup@example.org,User,2024-01-01,pro\n")
     result = pipeline.run(spark, root)
     assert not result.success and "DUPLICATE" in result.errors[0]
-    assert not (root / "target/data/stg_users.parquet").exists() and not (root / "target/state.json").exists()
+    assert TableStore(spark, f"{root}/target/data").current("stg_users") is None and not list((root / "target/data/stg_users").glob("data-*")) and not (root / "target/state.json").exists()
 
 
 def test_row_count_anomaly_stops(spark, tmp_path):
@@ -116,7 +233,8 @@ def test_lineage(tmp_path, capsys):
     assert cli.main(["--project-dir", str(root), "lineage", "--check", "--format", "json-ld"]) == 0
     graph = json.loads((root / "target/metadata_context.jsonld").read_text())["@graph"]
     assert [n["@id"] for n in graph] == ["model:engagement", "model:stg_activity", "model:stg_users"]
-    assert cli.main(["--project-dir", str(root), "docs"]) == 0 and "stg_users" in (root / "target/index.html").read_text()
+    (root / "target/state.json").write_text(json.dumps({"stg_users": {"row_count": 40, "columns": [["user_id", "string"], ["email", "string"]]}}))
+    assert cli.main(["--project-dir", str(root), "docs"]) == 0 and "<i>string</i>" in (root / "target/index.html").read_text() and "stg_users" in (root / "target/index.html").read_text()
     assert cli.main(["--project-dir", str(root), "clean"]) == 0 and not (root / "target").exists()
     with pytest.raises(project.ProjectError):
         project.clean(root, ["../elsewhere"])
