@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,10 +37,26 @@ def trim() -> None:
         give(0)
 
 
+#: What a worker keeps between tasks, by its owner.
+HELD: dict[str, object] = {}
+
+
+def enter(owner: str) -> None:
+    """To be called as a task begins: workers serve one operator after another, so what others keep is dropped."""
+    gone = [k for k in HELD if k != owner]
+    for k in gone:
+        del HELD[k]
+    if gone:
+        gc.collect()
+    trim()
+
+
 def trimmed(function: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     """A function of one group that gives freed memory back at its end."""
 
     def run(table: pa.Table) -> pa.Table:
+        if HELD:
+            enter("groups")
         out = function(table)
         trim()
         return out
@@ -51,6 +68,8 @@ def trimmed_pair(function: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable
     """The same for a function of two groups."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if HELD:
+            enter("groups")
         out = function(left, right)
         trim()
         return out
@@ -91,6 +110,7 @@ def flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array,
     """
     from pyspark import TaskContext
 
+    enter("flushes")
     part = TaskContext.get().partitionId()
     ids, ths, words, lengths, held, k = [], [], [], [], 0, 0
     for batch in batches:

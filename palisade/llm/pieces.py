@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import common
-from palisade.llm.blobs import trim
+from palisade.llm.blobs import HELD, enter
 from palisade.llm.hashing import ranges
 
 SPACE = "▁"
@@ -328,14 +328,12 @@ def _utf8(data: bytes) -> str:
     return "".join(out)
 
 
-_ENCODERS: dict[bytes, Encoder] = {}
-
-
 def encoder(model: bytes) -> Encoder:
-    """The encoder of a model, made once in each process."""
-    if model not in _ENCODERS:
-        _ENCODERS[model] = Encoder(model)
-    return _ENCODERS[model]
+    """The encoder of a model, made once in each process and kept until the process serves another operator."""
+    held = HELD.setdefault("pieces", {})
+    if model not in held:
+        held[model] = Encoder(model)
+    return held[model]
 
 
 #: Rows and bytes of text that are encoded at once, but for a single longer text.
@@ -355,7 +353,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 def _run(model: object):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim()
+        enter("pieces")
         e = encoder(model.value)
         for whole in batches:
             for low, rows in _slices(whole.column(1)):
