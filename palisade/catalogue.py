@@ -162,26 +162,23 @@ def _(spark, d):
 
 # Joins
 
-_BIG = "(SELECT * FROM {orders} WHERE o_totalprice > 400000)"
 _sql("join_inner", "SELECT n_name, r_name FROM {nation} INNER JOIN {region} ON n_regionkey = r_regionkey")
 _sql("join_left", "SELECT c_custkey, count(o_orderkey) AS n, round(coalesce(sum(o_totalprice), 0), 2) AS s FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey")
-_sql("join_right", f"SELECT c_custkey, o_orderkey FROM {_BIG} o RIGHT OUTER JOIN {{customer}} ON c_custkey = o_custkey")
-_sql("join_full", f"SELECT s_suppkey, o_orderkey FROM {{supplier}} FULL OUTER JOIN {_BIG} o ON s_suppkey = o_custkey")
+_sql("join_right", "SELECT c_custkey, o_orderkey FROM {orders} RIGHT OUTER JOIN {customer} ON c_custkey = o_custkey")
+_sql("join_full", "SELECT s_suppkey, o_orderkey FROM {supplier} FULL OUTER JOIN {orders} ON s_suppkey = o_custkey")
 _sql("join_cross", "SELECT r_name, s_suppkey FROM {region} CROSS JOIN {supplier}")
-_sql("join_semi", f"SELECT c_custkey, c_name FROM {{customer}} LEFT SEMI JOIN {_BIG} o ON c_custkey = o_custkey", f"SELECT c_custkey, c_name FROM {{customer}} SEMI JOIN {_BIG} o ON c_custkey = o_custkey")
-_sql("join_anti", f"SELECT c_custkey FROM {{customer}} LEFT ANTI JOIN {_BIG} o ON c_custkey = o_custkey", f"SELECT c_custkey FROM {{customer}} ANTI JOIN {_BIG} o ON c_custkey = o_custkey")
+_sql("join_semi", "SELECT c_custkey, c_name FROM {customer} LEFT SEMI JOIN {orders} ON c_custkey * 2 = o_custkey", "SELECT c_custkey, c_name FROM {customer} SEMI JOIN {orders} ON c_custkey * 2 = o_custkey")
+_sql("join_anti", "SELECT c_custkey FROM {customer} LEFT ANTI JOIN {orders} ON c_custkey * 2 = o_custkey", "SELECT c_custkey FROM {customer} ANTI JOIN {orders} ON c_custkey * 2 = o_custkey")
 
 
-@_register("join_right_semi", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+@_register("join_right_semi", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (SELECT n_nationkey * 2 FROM nation)")
 def _(spark, d):
-    nations = _table(spark, d, "nation").where("n_regionkey = 1")
-    return relational.right_semi(nations, _table(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", "s_name")
+    return relational.right_semi(_table(spark, d, "nation"), _table(spark, d, "supplier"), F.col("n_nationkey") * 2 == F.col("s_nationkey")).select("s_suppkey", "s_name")
 
 
-@_register("join_right_anti", "SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+@_register("join_right_anti", "SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey * 2 FROM nation)")
 def _(spark, d):
-    nations = _table(spark, d, "nation").where("n_regionkey = 1")
-    return relational.right_anti(nations, _table(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey")
+    return relational.right_anti(_table(spark, d, "nation"), _table(spark, d, "supplier"), F.col("n_nationkey") * 2 == F.col("s_nationkey")).select("s_suppkey")
 
 
 _sql("join_theta", "SELECT n_name, r_name FROM {nation} JOIN {region} ON n_regionkey < r_regionkey")
@@ -258,7 +255,7 @@ def _(spark, d):
 
 
 for _name, _op in (("union", "UNION"), ("union_all", "UNION ALL"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL")):
-    _sql(f"set_{_name}", f"SELECT c_nationkey AS k FROM {{customer}} {_op} (SELECT s_nationkey AS k FROM {{supplier}} WHERE s_nationkey < 12)")
+    _sql(f"set_{_name}", f"SELECT c_nationkey * 2 AS k FROM {{customer}} {_op} (SELECT s_nationkey * 3 AS k FROM {{supplier}})")
 
 # Scalar functions
 
@@ -268,6 +265,28 @@ _sql("scalar_number", "SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1
      "SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r, coalesce(nullif(c_nationkey, 3), -1) AS c, length(c_mktsegment)::INTEGER AS n FROM {customer}")
 
 
+_sql("current_functions", "SELECT r_regionkey, current_date() >= DATE '2020-01-01' AS day, now() >= TIMESTAMP '2020-01-01' AS now, current_timestamp() IS NOT NULL AS moment FROM {region}",
+     "SELECT r_regionkey, current_date >= DATE '2020-01-01' AS day, now() >= TIMESTAMPTZ '2020-01-01' AS now, current_timestamp IS NOT NULL AS moment FROM {region}")
+_sql("function_arguments", "SELECT c_custkey, mask(c_name, digitChar => '9', upperChar => 'A', lowerChar => 'b') AS m, coalesce((SELECT max(s_acctbal) FROM {supplier}), 0) - c_acctbal AS below FROM {customer}",
+     "SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]', 'A', 'g'), '[a-z]', 'b', 'g'), '[0-9]', '9', 'g') AS m, coalesce((SELECT max(s_acctbal) FROM {supplier}), 0) - c_acctbal AS below FROM {customer}")
+_sql("other_functions", """SELECT p_partkey, greatest(p_size, 20) AS g, least(p_size, 20) AS l, substring(p_name, 2, 3) AS s, reverse(p_brand) AS r, lpad(p_type, 3, '*') AS p, trim(concat(' ', p_brand, ' ')) AS t,
+    floor(p_retailprice) AS f, ceil(p_retailprice) AS c, sign(p_size - 25) AS sg, repeat(p_brand, 2) AS rp, position('a' IN p_name) AS pos, starts_with FROM (SELECT *, left(p_name, 1) = 'a' AS starts_with FROM {part})""".replace("sign(p_size - 25)", "CAST(sign(p_size - 25) AS INT)"),
+    """SELECT p_partkey, greatest(p_size, 20) AS g, least(p_size, 20) AS l, substring(p_name, 2, 3) AS s, reverse(p_brand) AS r, lpad(p_type, 3, '*') AS p, trim(concat(' ', p_brand, ' ')) AS t,
+    floor(p_retailprice)::BIGINT AS f, ceil(p_retailprice)::BIGINT AS c, sign(p_size - 25)::INTEGER AS sg, repeat(p_brand, 2) AS rp, position('a' IN p_name)::INTEGER AS pos, left(p_name, 1) = 'a' AS starts_with FROM {part}""")
+
+
+@_register("quoted_identifiers", 'SELECT "n_nationkey" AS "Id", "n_name" AS "a name" FROM nation WHERE "n_regionkey" > 0')
+def _(spark, d):
+    """Identifiers in double quotes, as compiled models have them."""
+    _table(spark, d, "nation").createOrReplaceTempView("quoted_nation")
+    before = spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers")
+    spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
+    try:
+        return spark.sql('SELECT "n_nationkey" AS "Id", "n_name" AS "a name" FROM "quoted_nation" WHERE "n_regionkey" > 0')
+    finally:
+        spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", before)
+
+
 @_register("concat_nulls", "SELECT c_custkey, concat(nullif(c_mktsegment, 'BUILDING'), '-', c_nationkey) AS t, regexp_replace(c_name, '0', 'x') AS first FROM customer")
 def _(spark, d):
     return _table(spark, d, "customer").select(
@@ -303,9 +322,10 @@ def _rule(name: str, table: str, key: str, rule: Callable[[DataFrame], DataFrame
         return rule(_table(spark, d, table)).select(*[k.strip() for k in key.split(",")])
 
 
-@_register("q_primary_key", "SELECT count(*) FILTER (l_orderkey IS NULL) AS l_orderkey, count(*) FILTER (l_linenumber IS NULL) AS l_linenumber FROM lineitem")
+@_register("q_primary_key", "SELECT count(*) FILTER (l_orderkey IS NULL) AS l_orderkey, count(*) FILTER (nullif(l_linenumber, 7) IS NULL) AS l_linenumber FROM lineitem")
 def _(spark, d):
-    return quality.not_null(_table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+    lines = _table(spark, d, "lineitem").select("l_orderkey", F.nullif(F.col("l_linenumber"), F.lit(7)).alias("l_linenumber"))
+    return quality.not_null(lines, ["l_orderkey", "l_linenumber"])
 
 
 @_register("q_surrogate_key", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
@@ -313,14 +333,15 @@ def _(spark, d):
     return quality.duplicates(_table(spark, d, "orders"), ["o_custkey"])
 
 
-@_register("q_unique_ids", "SELECT count(*) AS n FROM (SELECT event_id FROM events GROUP BY event_id HAVING count(*) > 1)")
+@_register("q_unique_ids", "SELECT event_id // 3 * 2 AS id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1")
 def _(spark, d):
-    return quality.duplicates(_table(spark, d, "events"), ["event_id"]).agg(F.count("*").alias("n"))
+    return quality.duplicates(_table(spark, d, "events").select(F.expr("event_id DIV 3 * 2").alias("id")), ["id"])
 
 
-@_register("q_not_null_columns", "SELECT " + ", ".join(f"count(*) FILTER ({c} IS NULL) AS {c}" for c in ("c_name", "c_acctbal", "c_mktsegment")) + " FROM customer")
+@_register("q_not_null_columns", "SELECT count(*) FILTER (c_name IS NULL) AS c_name, count(*) FILTER (nullif(c_nationkey, 3) IS NULL) AS c_nationkey, count(*) FILTER (nullif(c_mktsegment, 'BUILDING') IS NULL) AS c_mktsegment FROM customer")
 def _(spark, d):
-    return quality.not_null(_table(spark, d, "customer"), ["c_name", "c_acctbal", "c_mktsegment"])
+    df = _table(spark, d, "customer").select("c_name", F.nullif(F.col("c_nationkey"), F.lit(3)).alias("c_nationkey"), F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("c_mktsegment"))
+    return quality.not_null(df, ["c_name", "c_nationkey", "c_mktsegment"])
 
 
 @_register("q_referential_integrity", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 7)")
@@ -343,18 +364,20 @@ _CENTROID = "(SELECT list(m ORDER BY dim) AS c FROM (SELECT dim, avg(x) AS m FRO
 _rule("q_embedding_dimension", _E, "vec_id", lambda df: quality.embedding_dimension(df, "embedding", 32), "len(embedding) <> 32")
 _rule("q_embedding_normalization", _E, "vec_id", lambda df: quality.embedding_normalization(df, "embedding", 0.5), f"abs({_NORM} - 1) > 0.5")
 _rule("q_embedding_range", _E, "vec_id", lambda df: quality.embedding_range(df, "embedding", -2.0, 2.0), "list_min(embedding) < -2.0 OR list_max(embedding) > 2.0")
-_rule("q_embedding_sparsity", _E, "vec_id", lambda df: quality.embedding_sparsity(df, "embedding", -0.5), "len(list_filter(embedding, lambda x: x = 0)) / len(embedding) > -0.5")
 
 
-def _counted(name: str, rule: Callable[[DataFrame], DataFrame], where: str) -> None:
-    @_register(name, f"SELECT count(*) FILTER ({where}) AS n FROM embeddings")
+def _derived(name: str, rule: Callable[[DataFrame], DataFrame], vector: str, oracle: str, where: str) -> None:
+    """A rule over vectors made of the embeddings such that some violate it."""
+
+    @_register(name, f"SELECT vec_id FROM (SELECT vec_id, {oracle} AS embedding FROM embeddings) WHERE {where}")
     def _(spark, d):
-        return rule(_table(spark, d, _E)).agg(F.count("*").alias("n"))
+        return rule(_table(spark, d, _E).select("vec_id", F.expr(vector).alias("embedding"))).select("vec_id")
 
 
-_counted("q_embedding_nan", lambda df: quality.embedding_nan(df, "embedding"), "len(list_filter(embedding, lambda x: isnan(x))) > 0")
-_counted("q_embedding_null", lambda df: quality.embedding_null(df, "embedding"), "embedding IS NULL OR len(list_filter(embedding, lambda x: x IS NULL)) > 0")
-_counted("q_embedding_zero_vector", lambda df: quality.embedding_zero_vector(df, "embedding"), "len(list_filter(embedding, lambda x: x <> 0)) = 0")
+_derived("q_embedding_sparsity", lambda df: quality.embedding_sparsity(df, "embedding", 0.5), "transform(embedding, x -> if(abs(x) < 0.7, float(0), x))", "list_transform(embedding, lambda x: CASE WHEN abs(x) < 0.7 THEN 0 ELSE x END)", "len(list_filter(embedding, lambda x: x = 0)) / len(embedding) > 0.5")
+_derived("q_embedding_nan", lambda df: quality.embedding_nan(df, "embedding"), "transform(embedding, x -> if(x > 2.5, float('NaN'), x))", "list_transform(embedding, lambda x: CASE WHEN x > 2.5 THEN 'NaN'::FLOAT ELSE x END)", "len(list_filter(embedding, lambda x: isnan(x))) > 0")
+_derived("q_embedding_null", lambda df: quality.embedding_null(df, "embedding"), "transform(embedding, x -> if(x > 2.5, NULL, x))", "list_transform(embedding, lambda x: CASE WHEN x > 2.5 THEN NULL ELSE x END)", "len(list_filter(embedding, lambda x: x IS NULL)) > 0")
+_derived("q_embedding_zero_vector", lambda df: quality.embedding_zero_vector(df, "embedding"), "transform(embedding, x -> if(label = 3, float(0), x))", "CASE WHEN label = 3 THEN list_transform(embedding, lambda x: 0) ELSE embedding END", "len(list_filter(embedding, lambda x: x <> 0)) = 0")
 
 
 @_register("q_embedding_distribution", """
@@ -388,9 +411,10 @@ def _(spark, d):
     return quality.embedding_outliers(_table(spark, d, _E), "vec_id", "embedding", 1.5).withColumn("z", F.round("z", 6))
 
 
-@_register("q_embedding_duplicates", "SELECT x.vec_id AS left_id, y.vec_id AS right_id, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.95")
+@_register("q_embedding_duplicates", "SELECT x.vec_id AS left_id, y.vec_id AS right_id, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.5")
 def _(spark, d):
-    return quality.embedding_duplicates(_table(spark, d, _E), "vec_id", "embedding", 0.95).withColumn("cosine", F.round("cosine", 6))
+    """All pairs, whatever their labels; the threshold is one that some of the given vectors reach."""
+    return quality.embedding_duplicates(_table(spark, d, _E), "vec_id", "embedding", 0.5).withColumn("cosine", F.round("cosine", 6))
 
 
 @_register("q_embedding_uniqueness", "SELECT round(count(DISTINCT embedding) / count(embedding), 6) AS ratio FROM embeddings")
@@ -420,10 +444,10 @@ def _(spark, d):
     return scan.decide(scan.scan(_table(spark, d, "documents"), "text"), strict=True)
 
 
-@_register("pii_lint", f"SELECT max(regexp_matches(text, '{scan.EMAIL}') OR regexp_matches(text, '{scan.CREDIT_CARD}')) AS text, max(regexp_matches(lang, '{scan.EMAIL}')) AS lang FROM documents")
+@_register("pii_lint", " UNION ALL ".join(f"SELECT '{c}' AS col FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 500) HAVING max(regexp_matches({c}, '{scan.EMAIL}') OR regexp_matches({c}, '{scan.CREDIT_CARD}'))" for c in ("text", "source")))
 def _(spark, d):
-    docs = _table(spark, d, "documents")
-    return docs.agg(F.max(F.col("text").rlike(scan.EMAIL) | F.col("text").rlike(scan.CREDIT_CARD)).alias("text"), F.max(F.col("lang").rlike(scan.EMAIL)).alias("lang"))
+    """The lint looks at the first 500 rows of a model, here in the order of their ids; the column lang is flagged."""
+    return spark.createDataFrame([(c,) for c in scan.lint(_table(spark, d, "documents").orderBy("doc_id"), ["lang"])], "col string")
 
 
 _sql("document_flags", "SELECT doc_id, text LIKE '%@%' AS has_at, CASE WHEN text LIKE '%http%' THEN 'link' ELSE 'plain' END AS kind FROM {documents}")

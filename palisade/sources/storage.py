@@ -7,6 +7,9 @@ Frames over an older version stay readable until it is the third oldest.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,3 +77,23 @@ class TableStore:
             self._fs.delete(self._path(f"{versions}/.claim-{old:010d}"), False)
             self.discard(f"{self.root}/{name}/{gone}")
         return number
+
+
+_SCRATCH: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder that all executors reach, under the one that ``spark.checkpoint.dir`` names; it goes when the driver ends.
+
+    Where the setting is absent, a temporary folder serves local sessions; a cluster without it is an error.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _SCRATCH:
+            _SCRATCH[app] = tempfile.mkdtemp(prefix="palisade_")
+            atexit.register(shutil.rmtree, _SCRATCH[app], ignore_errors=True)
+        base = f"file://{_SCRATCH[app]}"
+    return f"{base.rstrip('/')}/palisade/{uuid.uuid4().hex}"
