@@ -361,9 +361,7 @@ _E = "embeddings"
 _DOT = "list_sum(list_transform(list_zip(a::DOUBLE[], b::DOUBLE[]), lambda z: z[1] * z[2]))"
 _NORM = "sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))"
 _CENTROID = "(SELECT list(m ORDER BY dim) AS c FROM (SELECT dim, avg(x) AS m FROM (SELECT unnest(embedding::DOUBLE[]) AS x, unnest(range(1, len(embedding) + 1)) AS dim FROM {}) GROUP BY dim))"
-_rule("q_embedding_dimension", _E, "vec_id", lambda df: quality.embedding_dimension(df, "embedding", 32), "len(embedding) <> 32")
-_rule("q_embedding_normalization", _E, "vec_id", lambda df: quality.embedding_normalization(df, "embedding", 0.5), f"abs({_NORM} - 1) > 0.5")
-_rule("q_embedding_range", _E, "vec_id", lambda df: quality.embedding_range(df, "embedding", -2.0, 2.0), "list_min(embedding) < -2.0 OR list_max(embedding) > 2.0")
+_rule("q_embedding_range", _E, "vec_id", lambda df: quality.embedding_range(df, "embedding", -0.35, 0.35), "list_min(embedding) < -0.35 OR list_max(embedding) > 0.35")
 
 
 def _derived(name: str, rule: Callable[[DataFrame], DataFrame], vector: str, oracle: str, where: str) -> None:
@@ -374,9 +372,11 @@ def _derived(name: str, rule: Callable[[DataFrame], DataFrame], vector: str, ora
         return rule(_table(spark, d, _E).select("vec_id", F.expr(vector).alias("embedding"))).select("vec_id")
 
 
-_derived("q_embedding_sparsity", lambda df: quality.embedding_sparsity(df, "embedding", 0.5), "transform(embedding, x -> if(abs(x) < 0.7, float(0), x))", "list_transform(embedding, lambda x: CASE WHEN abs(x) < 0.7 THEN 0 ELSE x END)", "len(list_filter(embedding, lambda x: x = 0)) / len(embedding) > 0.5")
-_derived("q_embedding_nan", lambda df: quality.embedding_nan(df, "embedding"), "transform(embedding, x -> if(x > 2.5, float('NaN'), x))", "list_transform(embedding, lambda x: CASE WHEN x > 2.5 THEN 'NaN'::FLOAT ELSE x END)", "len(list_filter(embedding, lambda x: isnan(x))) > 0")
-_derived("q_embedding_null", lambda df: quality.embedding_null(df, "embedding"), "transform(embedding, x -> if(x > 2.5, NULL, x))", "list_transform(embedding, lambda x: CASE WHEN x > 2.5 THEN NULL ELSE x END)", "len(list_filter(embedding, lambda x: x IS NULL)) > 0")
+_derived("q_embedding_dimension", lambda df: quality.embedding_dimension(df, "embedding", 64), "slice(embedding, 1, 60 + label)", "embedding[1 : 60 + label]", "len(embedding) <> 64")
+_derived("q_embedding_normalization", lambda df: quality.embedding_normalization(df, "embedding", 0.5), "transform(embedding, x -> x * label)", "list_transform(embedding, lambda x: x * label)", f"abs({_NORM} - 1) > 0.5")
+_derived("q_embedding_sparsity", lambda df: quality.embedding_sparsity(df, "embedding", 0.5), "transform(embedding, x -> if(abs(x) < 0.08, float(0), x))", "list_transform(embedding, lambda x: CASE WHEN abs(x) < 0.08 THEN 0 ELSE x END)", "len(list_filter(embedding, lambda x: x = 0)) / len(embedding) > 0.5")
+_derived("q_embedding_nan", lambda df: quality.embedding_nan(df, "embedding"), "transform(embedding, x -> if(x > 0.3, float('NaN'), x))", "list_transform(embedding, lambda x: CASE WHEN x > 0.3 THEN 'NaN'::FLOAT ELSE x END)", "len(list_filter(embedding, lambda x: isnan(x))) > 0")
+_derived("q_embedding_null", lambda df: quality.embedding_null(df, "embedding"), "transform(embedding, x -> if(x > 0.3, NULL, x))", "list_transform(embedding, lambda x: CASE WHEN x > 0.3 THEN NULL ELSE x END)", "len(list_filter(embedding, lambda x: x IS NULL)) > 0")
 _derived("q_embedding_zero_vector", lambda df: quality.embedding_zero_vector(df, "embedding"), "transform(embedding, x -> if(label = 3, float(0), x))", "CASE WHEN label = 3 THEN list_transform(embedding, lambda x: 0) ELSE embedding END", "len(list_filter(embedding, lambda x: x <> 0)) = 0")
 
 
