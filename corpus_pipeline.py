@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near duplicates, repeated passages, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor, which are written as Parquet and read
-again between stages. All but the last return the columns of documents.
+again between stages. All but the last return the columns of documents, whatever other columns there are. Nulls in any column,
+empty and very long texts, ties, repeated rows and empty tables have the results that the operators' docstrings state.
 """
 
 from __future__ import annotations
@@ -14,22 +15,22 @@ from palisade.llm import common, jaccard, mixing, pieces, quality, queries, subs
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that no quality rule rejects."""
+    """The documents that no quality rule rejects: of any length and script; null and empty texts go."""
     return quality.filter_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of the least id (null first); texts without words stay."""
     return jaccard.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that occur in another place first."""
+    """Documents without the passages that occur in another place first; those of which nothing is left go."""
     return substring.remove(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture asks for."""
+    """Documents as often as the mixture asks for; a null source or language is one of its own."""
     return mixing.mix(docs)
 
 
@@ -59,5 +60,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before is not None:
             common.discard(before)
         docs = before = after
-        common.release_shuffles(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
