@@ -15,7 +15,7 @@ from palisade.llm import common
 from palisade.llm.hashing import U, flat
 
 #: Words that one flush covers, and what is left of the document that fills it; it bounds a task's memory.
-FLUSH_WORDS = 1_000_000
+FLUSH_WORDS = 500_000
 #: Bytes of input for each bucket of the hash space; it bounds what a task holds of one bucket.
 BUCKET_BYTES = 4 << 20
 

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -50,11 +48,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read from there: the lineage ends at the files. ``options`` are the writer's."""
+    """Write ``df`` to the shared folder and return the table read from there: the lineage ends at the files. ``options`` are the writer's.
+
+    Spark deletes the shuffle files of the plan as the write ends; without that they stay until the driver collects its garbage.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.options(compression="zstd", **options).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(compression="zstd", **options).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._palisade_path = path
     return out
@@ -81,18 +90,6 @@ def broadcast_small(table: DataFrame) -> DataFrame:
     return table.hint("broadcast" if size <= BROADCAST_BYTES else "merge")
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the driver's cleaner drop the shuffle files of plans that are no longer referenced.
-
-    Spark removes them only after a collection, which an idle driver may not run for half an hour; Python's references
-    have to go before the JVM's, and the cleaner works on its own thread.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def local_path(path: str) -> tuple[object, str]:
     """A pyarrow filesystem and the path within it, for reads and writes by Python tasks."""
     from pyarrow import fs

@@ -326,8 +326,6 @@ def _matches(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Data
     sent = inputs.mapInArrow(_send(n, buckets), _SENT_SQL)
     counted = sent.groupBy("bucket").applyInArrow(trimmed(_count), _COUNTED_SQL)
     classes = common.materialize(counted.groupBy("flush").applyInArrow(trimmed(_classes(threshold)), _CLASS_SQL), "classes")
-    del sent, counted
-    common.release_shuffles(spark)
     live = classes.where("eff > 0")
     posts = live.select("gid", "n", F.explode(F.slice("grams", 1, F.col("eff"))).alias("gram"))
     lists = posts.groupBy("gram").agg(F.collect_set(F.struct("gid", "n")).alias("posts")).where(F.size("posts") > 1)
@@ -381,7 +379,6 @@ def join(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
     linked = members.dropDuplicates(["d", "t"]).join(least, "root").select("d", "t", "class_id", "links")
     linked = common.broadcast_small(common.materialize(linked, "linked"))
     common.discard(classes, found)
-    common.release_shuffles(docs.sparkSession)
     match = F.col("l.d").eqNullSafe(F.col("f.d")) & (F.col("l.t") == F.col("f.t"))
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t")).alias("l").join(linked.alias("f"), match, "left")
     return rows.select(F.col("l.d").alias("doc_id"), F.when(F.col("f.links").isNull(), F.col("l.d")).otherwise(F.col("f.class_id")).alias("class_id"), F.coalesce("f.links", F.lit(0)).alias("links"))
@@ -428,7 +425,6 @@ def keep_one(docs: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
     )
     verdict = common.materialize(verdict, "verdict")
     common.discard(classes, found)
-    common.release_shuffles(docs.sparkSession)
     tagged = _tagged(docs)
     match = F.col("tagged.d").eqNullSafe(F.col("v.d")) & (F.col("tagged.t") == F.col("v.t"))
     kept = tagged.alias("tagged").join(common.broadcast_small(verdict).alias("v"), match, "left_anti").select("row.*")

@@ -99,7 +99,7 @@ class Vocabulary:
 class Encoder(dict):
     """Encodes texts; as a dict it maps a word to its number in the cache of encoded words."""
 
-    def __init__(self, model: bytes, cached_words: int = 150_000, cached_chars: int = 2_000_000) -> None:
+    def __init__(self, model: bytes, cached_words: int = 100_000, cached_chars: int = 1_500_000) -> None:
         super().__init__()
         v = self.vocabulary = Vocabulary.parse(model)
         self.most_words, self.most_chars = cached_words, cached_chars
@@ -203,7 +203,7 @@ class Encoder(dict):
         """
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) > 200_000:
+            if len(self.fits) > 100_000:
                 self.fits.clear()
             known = self.fits[left, right] = self._remerge(left, right)
         return known
@@ -337,7 +337,7 @@ def encoder(model: bytes) -> Encoder:
 
 
 #: Rows and bytes of text that are encoded at once, but for a single longer text.
-SLICE_ROWS, SLICE_BYTES = 1000, 1 << 21
+SLICE_ROWS, SLICE_BYTES = 500, 1 << 19
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:

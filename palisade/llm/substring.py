@@ -216,25 +216,21 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     inputs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("w"))
     sent = inputs.mapInArrow(_first(min_words, buckets), _SENT_SQL)
     base = common.materialize(sent.groupBy("bucket").applyInArrow(trimmed(_repeated), _KEPT_SQL), "level")
-    del sent
     members = base.where("ids IS NOT NULL")
     levels, length = [(min_words, base)], min_words
     while True:
-        common.release_shuffles(spark)
         last = levels[-1][1].where("hash IS NOT NULL")
         if not last.limit(1).count():
             break
         sent = last.unionByName(members).groupBy("flush").applyInArrow(trimmed(_doubled(length, buckets)), _SENT_SQL)
         length *= 2
         levels.append((length, common.materialize(sent.groupBy("bucket").applyInArrow(trimmed(_repeated), _KEPT_SQL), "level")))
-        del sent
     every = base.select("flush", F.lit(min_words).alias("level"), "idx", "pos", "later", "ids", "ths")
     for at, level in levels[1:]:
         every = every.unionByName(level.where("idx IS NOT NULL").select("flush", F.lit(at).alias("level"), "idx"), allowMissingColumns=True)
     found = every.groupBy("flush").applyInArrow(trimmed(_spans(min_words)), _DOCS_SQL).dropDuplicates(["doc_id", "th"])
     out = common.materialize(found, "repeats")
     common.discard(*[level for _, level in levels])
-    common.release_shuffles(spark)
     return out
 
 

@@ -8,9 +8,10 @@ import corpus_pipeline
 import sentencepiece
 import xxhash
 from conftest import TINY
+from pyspark.sql import functions as F
 from test_operators import brute_pairs, dense_rates
 
-from palisade.llm import quality, queries
+from palisade.llm import common, quality, queries
 
 
 def spark_uniform(seed, doc_id, text):
@@ -79,3 +80,27 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, TINY).columns == docs.columns
         assert stage(spark, docs.limit(0), TINY).count() == 0
+
+
+def test_stages_on_awkward_rows(spark):
+    passage = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    long = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x" for i in range(17_000))
+    rows = [
+        (1, None, "en", "s"), (2, "", "en", "s"), (3, " \n ", "en", None), (4, "one", None, "s"), (None, "two", "en", None), (5, "one", "en", "s"), (5, "one", "en", "s"),
+        (6, long, "en", "s"), (7, f"{long} end of it", "en", "s"), (8, f"start here now {passage}", "en", "t"), (9, f"{passage} and another end that differs " + " ".join(f"q{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)), "fr", "t"),
+    ]
+    df = spark.createDataFrame([(i, t, lang, s, None) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("row", "words", "w", "j", "n", "e", "keep", "copies", "rate", "l", "f", "d", "t", "fp", "th", "spans", "root", "links"):
+        df = df.withColumn(name, F.lit(1))
+    docs, seen = df, {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.materialize(stage(spark, docs, TINY), name)
+        if name != "sentencepiece":
+            assert out.columns == df.columns
+        seen[name], docs = [(r["doc_id"], r["text"] if "text" in out.columns else r["decoded"]) for r in out.collect()], out
+    texts = dict(rows[k][:2] for k in range(len(rows)))
+    assert sorted(seen["quality_rules"], key=repr) == sorted([(i, t) for i, t, _, _ in rows if (t or "").strip()], key=repr)
+    assert sorted(seen["near_duplicates"], key=repr) == sorted([(i, texts[i]) for i in (4, None, 6, 8, 9)], key=repr)
+    cut = dict(seen["substring_dedup"])
+    assert set(cut) == {4, None, 6, 8, 9} and cut[9].split() == rows[-1][1].split()[60:] and cut[8] == texts[8]
+    assert set(seen["source_mixing"]) <= set(seen["substring_dedup"]) and set(seen["sentencepiece"]) == set(seen["source_mixing"])
