@@ -103,8 +103,8 @@ def bucket_edges(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
     return edges
 
 
-def flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, pa.Array, np.ndarray, np.ndarray]]:
-    """Batches of (doc_id, text hash, word hashes) gathered into flushes: name, ids, text hashes, words, lengths.
+def flushes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    """Batches of (doc_id, text hash, word hashes) gathered into flushes of ``most`` words: name, ids, text hashes, words, lengths.
 
     The name is made of the partition and a count, so a task that runs again gives the same one.
     """
@@ -118,14 +118,14 @@ def flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array,
         ends = np.cumsum(counts)
         row = word = 0
         while row < len(counts):
-            stop = min(int(np.searchsorted(ends, word + FLUSH_WORDS - held)) + 1, len(counts))
+            stop = min(int(np.searchsorted(ends, word + most - held)) + 1, len(counts))
             last = int(ends[stop - 1])
             ids.append(batch.column(0).slice(row, stop - row))
             ths.append(batch.column(1).slice(row, stop - row))
             words.append(values[word:last].copy())
             lengths.append(counts[row:stop])
             held, row, word = held + last - word, stop, last
-            if held >= FLUSH_WORDS:
+            if held >= most:
                 yield f"{part}-{k}", pa.concat_arrays(ids), pa.concat_arrays(ths), np.concatenate(words), np.concatenate(lengths)
                 ids, ths, words, lengths, held, k = [], [], [], [], 0, k + 1
     if ids:

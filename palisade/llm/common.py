@@ -115,6 +115,20 @@ def ship(spark: SparkSession) -> None:
     context._palisade_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for costly work on every row: where its files make fewer splits than there are cores, the rows are dealt out.
+
+    A large table has splits enough and is left as it is; a file of one row group can't be split by the scan.
+    """
+    spark = df.sparkSession
+    wanted, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not files or len(files) >= wanted:
+        return df
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df if expected >= wanted * split else df.repartition(wanted)
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -168,8 +168,9 @@ def extract(pages: DataFrame, radius: int = 1, strength: float = 0.5) -> DataFra
     """``page_id``, ``url``, the content ``text``, and the numbers of lines and of content lines of every page.
 
     A null page gives a null text and no lines, an empty one an empty text. Pages are read by themselves, so repeated rows
-    give equal results; lines whose ratio ties with the threshold are content. Other columns are ignored, whatever their
+    give equal results; lines whose ratio ties with the threshold are content. Very long pages are read whole, one at a time in
+    a task's memory. Ids must be whole numbers. Other columns are ignored, whatever their
     names; an empty table gives no rows.
     """
     common.ship(pages.sparkSession)
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_run(radius, strength), "page_id long, url string, text string, n_lines int, n_content int")
+    return common.spread(pages.select(F.col("page_id").cast("long"), "url", "html")).mapInArrow(_run(radius, strength), "page_id long, url string, text string, n_lines int, n_content int")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm import common
+from palisade.llm import blobs, common
 from palisade.llm.blobs import bucket_edges, buckets_for, flushes, pack, pack_sorted, trimmed, trimmed_pair, unpack, unpack_sorted
 from palisade.llm.hashing import U, flat, mix, ngrams, starts_of, word_hashes
 
@@ -76,9 +76,9 @@ def _flush(flush: str, ids: pa.Array, ths: pa.Array, words: np.ndarray, lengths:
     )
 
 
-def _send(n: int, buckets: int):
+def _send(n: int, buckets: int, flush_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for flush, ids, ths, words, lengths in flushes(batches):
+        for flush, ids, ths, words, lengths in flushes(batches, flush_words):
             yield from _flush(flush, ids, ths, words, lengths, n, buckets)
 
     return run
@@ -322,8 +322,8 @@ def _matches(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Data
     spark = docs.sparkSession
     common.ship(spark)
     buckets = max(4 * common.partitions(spark), buckets_for(docs))
-    inputs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("w"))
-    sent = inputs.mapInArrow(_send(n, buckets), _SENT_SQL)
+    inputs = common.spread(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("w"))
+    sent = inputs.mapInArrow(_send(n, buckets, blobs.FLUSH_WORDS), _SENT_SQL)
     counted = sent.groupBy("bucket").applyInArrow(trimmed(_count), _COUNTED_SQL)
     classes = common.materialize(counted.groupBy("flush").applyInArrow(trimmed(_classes(threshold)), _CLASS_SQL), "classes")
     live = classes.where("eff > 0")

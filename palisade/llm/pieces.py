@@ -390,4 +390,4 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         model = f.read()
     Vocabulary.parse(model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_run(shared), "doc_id long, ids array<int>, decoded string")
+    return common.spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(_run(shared), "doc_id long, ids array<int>, decoded string")

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm import common
+
 #: Words over which the share of distinct ones is taken: as many as the longest of the given documents has.
 BLOCK_WORDS = 20_000
 
@@ -164,14 +166,14 @@ def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int
     """
     rules = list(rules if rules is not None else production_rules())
     ordered = order_rules(estimate(docs, rules, sample_rows))
-    return docs.withColumn("keep", ~cascade(ordered))
+    return common.spread(docs).withColumn("keep", ~cascade(ordered))
 
 
 def filter_documents(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with the columns of ``docs``; nulls and ties as in ``judge``."""
     rules = list(rules if rules is not None else production_rules())
     ordered = order_rules(estimate(docs, rules, sample_rows))
-    return docs.where(~cascade(ordered))
+    return common.spread(docs).where(~cascade(ordered))
 
 
 #: The same rules in DuckDB; the order doesn't matter there.

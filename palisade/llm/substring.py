@@ -18,24 +18,80 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm import common
+from palisade.llm import blobs, common
 from palisade.llm.blobs import bucket_edges, buckets_for, flushes, pack, pack_sorted, trimmed, unpack, unpack_sorted
 from palisade.llm.hashing import U, mix, ranges, starts_of, window_hashes, word_hashes
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _NO_ID = np.iinfo(np.int64).min
 
-_SENT = pa.schema([("bucket", pa.int32()), ("flush", pa.string()), *((c, pa.binary()) for c in ("hash", "check", "doc", "pos", "idx", "id", "tie")), ("ids", pa.list_(pa.int64())), ("ths", pa.list_(pa.int64()))])
-_SENT_SQL = "bucket int, flush string, hash binary, check binary, doc binary, pos binary, idx binary, id binary, tie binary, ids array<long>, ths array<long>"
-_KEPT = pa.schema([("flush", pa.string()), *((c, pa.binary()) for c in ("hash", "check", "idx", "pos", "later")), ("ids", pa.list_(pa.int64())), ("ths", pa.list_(pa.int64()))])
-_KEPT_SQL = "flush string, hash binary, check binary, idx binary, pos binary, later binary, ids array<long>, ths array<long>"
+_IN = ("hash", "check", "doc", "pos", "idx", "id", "tie", "many")
+_OUT = ("hash", "check", "idx", "pos", "later")
+_SENT = pa.schema([("bucket", pa.int32()), ("flush", pa.string()), *((c, pa.binary()) for c in (*_IN, "copies")), ("ids", pa.list_(pa.int64())), ("ths", pa.list_(pa.int64()))])
+_SENT_SQL = f"bucket int, flush string, {', '.join(f'{c} binary' for c in (*_IN, 'copies'))}, ids array<long>, ths array<long>"
+_KEPT = pa.schema([("flush", pa.string()), *((c, pa.binary()) for c in (*_OUT, "copies")), ("ids", pa.list_(pa.int64())), ("ths", pa.list_(pa.int64()))])
+_KEPT_SQL = f"flush string, {', '.join(f'{c} binary' for c in (*_OUT, 'copies'))}, ids array<long>, ths array<long>"
 
 
-def _blobs(flush: str, ids: np.ndarray, ties: np.ndarray, hashes: np.ndarray, checks: np.ndarray, idx: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _home(flush: str, buckets: int) -> int:
+    """The bucket, below 0, of what goes past the counting back to its flush."""
+    return -1 - zlib.crc32(flush.encode()) % buckets
+
+
+def _ranks(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """The order of documents by id and text; those alike in both share a rank."""
+    order = np.lexsort((ties, ids))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (ids[order][1:] != ids[order][:-1]) | (ties[order][1:] != ties[order][:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(fresh)
+    return rank
+
+
+def _blobs(flush: str, ids: np.ndarray, ties: np.ndarray, hashes: np.ndarray, checks: np.ndarray, idx: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The windows of a flush for their buckets: of each only its first place, and whether it has others here.
+
+    The other places don't travel to the bucket but go back to the flush beside it, so a bucket gets no window more often than
+    there are flushes.
+    """
     order = np.argsort(hashes, kind="stable")
     hashes, checks, idx, pos = hashes[order], checks[order], idx[order], pos[order]
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    if not new.all():
+        # Windows of one hash and several checks are different ones; they are sent one by one.
+        odd = np.zeros(len(order), bool)
+        odd[1:] = ~new[1:] & (checks[1:] != checks[:-1])
+        run = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        if odd.any():
+            new |= np.isin(run, run[odd])
+            run = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        starts = np.nonzero(new)[0]
+        counts = np.diff(np.append(starts, len(order)))
+        some = np.nonzero((counts > 1)[run])[0]
+        place = (_ranks(ids, ties)[idx[some]] << 32) | pos[some]
+        some = some[o := np.lexsort((place, run[some]))]
+        place, group = place[o], run[some]
+        lead = np.ones(len(some), bool)
+        lead[1:] = group[1:] != group[:-1]
+        first = np.repeat(np.nonzero(lead)[0], np.diff(np.append(np.nonzero(lead)[0], len(some))))
+        same = place == place[first]
+        many = np.zeros(len(starts), bool)
+        many[group[~same]] = True
+        head = some[first]
+        rest = ~lead
+        copies = (
+            ((idx[head[rest]].astype(np.int64) << 32) | pos[head[rest]], np.int64), (idx[some[rest]].astype(np.uint32), np.uint32), (pos[some[rest]].astype(np.uint32), np.uint32), (same[rest].astype(np.uint8), np.uint8),
+        )
+        blob = pa.array([_join([pack(x) for x, _ in copies])], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([_home(flush, buckets)], pa.int32()), pa.array([flush]), *(pa.nulls(1, pa.binary()) for _ in _IN), blob, pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64()))], schema=_SENT)
+        starts[group] = head
+        hashes, checks, idx, pos = hashes[starts], checks[starts], idx[starts], pos[starts]
+        del run, some, place, group, first, same, head, copies, blob
+    else:
+        many = np.zeros(len(order), bool)
     edges = bucket_edges(hashes, buckets)
-    out: dict[str, list] = {c: [] for c in ("bucket", "hash", "check", "doc", "pos", "idx", "id", "tie")}
+    out: dict[str, list] = {c: [] for c in ("bucket", *_IN)}
     for b in range(buckets):
         i, j = edges[b], edges[b + 1]
         if i == j:
@@ -50,10 +106,22 @@ def _blobs(flush: str, ids: np.ndarray, ties: np.ndarray, hashes: np.ndarray, ch
             ("idx", pack(np.diff(here, prepend=here.dtype.type(0)).astype(np.uint32))),
             ("id", pack(np.diff(ids[here], prepend=np.int64(0)))),
             ("tie", pack(ties[here])),
+            ("many", pack(many[i:j].view(np.uint8))),
         ):
             out[name].append(blob)
     k = len(out["bucket"])
-    return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array([flush] * k, pa.string()), *(pa.array(out[c], pa.binary()) for c in ("hash", "check", "doc", "pos", "idx", "id", "tie")), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64()))], schema=_SENT)
+    yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array([flush] * k, pa.string()), *(pa.array(out[c], pa.binary()) for c in _IN), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64()))], schema=_SENT)
+
+
+def _join(parts: list[bytes]) -> bytes:
+    """Several blobs as one: their sizes first."""
+    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
+
+
+def _parts(blob: bytes) -> list[bytes]:
+    count = int(np.frombuffer(blob, np.int64, 1)[0])
+    ends = 8 * (count + 1) + np.cumsum(np.frombuffer(blob, np.int64, count, 8))
+    return [blob[e - n : e] for e, n in zip(ends.tolist(), np.frombuffer(blob, np.int64, count, 8).tolist(), strict=True)]
 
 
 def _names(ids: pa.Array, ths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,9 +130,9 @@ def _names(ids: pa.Array, ths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids.fill_null(_NO_ID).to_numpy(), (ths.to_numpy().view(U) & U(0xFFFFFFFE)).astype(np.uint32) | valid.astype(np.uint32)
 
 
-def _first(length: int, buckets: int):
+def _first(length: int, buckets: int, flush_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for flush, ids, ths, words, lengths in flushes(batches):
+        for flush, ids, ths, words, lengths in flushes(batches, flush_words):
             full = np.maximum(lengths - length + 1, 0)
             at = ranges(starts_of(lengths), full)
             if not len(at):
@@ -76,32 +144,27 @@ def _first(length: int, buckets: int):
             checks = (window_hashes(words, length, _BASES[1])[at] & U(0xFF)).astype(np.uint8)
             hashes = window_hashes(words, length, _BASES[0])[at]
             del words, at
-            yield _blobs(flush, names, ties, hashes, checks, idx, pos, buckets)
+            yield from _blobs(flush, names, ties, hashes, checks, idx, pos, buckets)
             del hashes, checks, idx, pos
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - zlib.crc32(flush.encode()) % buckets], pa.int32()), pa.array([flush]), *(pa.nulls(1, pa.binary()) for _ in range(7)), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([ths.to_pylist()], pa.list_(pa.int64()))], schema=_SENT)
+            yield pa.RecordBatch.from_arrays([pa.array([_home(flush, buckets)], pa.int32()), pa.array([flush]), *(pa.nulls(1, pa.binary()) for _ in (*_IN, "copies")), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([ths.to_pylist()], pa.list_(pa.int64()))], schema=_SENT)
 
     return run
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """The windows of one bucket that occur at two places, and which of them are not the first of their kind.
+    """The windows of one bucket that occur at two places, and which of them are not the first of their kind; one row for each flush.
 
     The first place is that of the least id, then text hash, then position. Rows alike in id and text are one place.
     """
     if not table.num_rows or table.column("bucket")[0].as_py() < 0:
         k = table.num_rows
-        return pa.table([table.column("flush"), *(pa.nulls(k, pa.binary()) for _ in range(5)), table.column("ids"), table.column("ths")], schema=_KEPT)
-    parts = {c: table.column(c).to_pylist() for c in ("hash", "check", "doc", "pos", "idx", "id", "tie")}
+        return pa.table([table.column("flush"), *(pa.nulls(k, pa.binary()) for _ in _OUT), *(table.column(c) for c in ("copies", "ids", "ths"))], schema=_KEPT)
+    parts = {c: table.column(c).to_pylist() for c in _IN}
     ids = [np.cumsum(unpack(b, np.int64)) for b in parts["id"]]
     ties = [unpack(b, np.uint32) for b in parts["tie"]]
     offsets = starts_of(np.array([len(x) for x in ids]))
     docs = [unpack(b, np.uint32) for b in parts["doc"]]
-    ids, ties = np.concatenate(ids), np.concatenate(ties)
-    order = np.lexsort((ties, ids))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (ids[order][1:] != ids[order][:-1]) | (ties[order][1:] != ties[order][:-1])
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(fresh)
+    rank = _ranks(np.concatenate(ids), np.concatenate(ties))
     sizes = [len(x) for x in docs]
     place = np.concatenate([rank[o + d.astype(np.int64)] for o, d in zip(offsets, docs, strict=True)]) << 32
     place |= np.concatenate([unpack(b, np.uint32) for b in parts["pos"]]).astype(np.int64)
@@ -115,9 +178,10 @@ def _repeated(table: pa.Table) -> pa.Table:
     kind = np.cumsum(new, dtype=np.int32) - np.int32(1)
     least, most = p[first], p[np.append(first[1:], len(p)) - 1]
     del h, c, new
+    many = np.concatenate([unpack(b, np.uint8) for b in parts["many"]]).astype(bool)
     repeats = np.zeros(len(order), bool)
     later = np.zeros(len(order), bool)
-    repeats[order] = (least != most)[kind]
+    repeats[order] = ((least != most) | np.logical_or.reduceat(many[order], first))[kind]
     later[order] = p != least[kind]
     del order, p, kind, first, least, most
     out: dict[str, list] = {x: [] for x in ("flush", "hash", "check", "idx", "pos", "later")}
@@ -135,16 +199,32 @@ def _repeated(table: pa.Table) -> pa.Table:
         out["pos"].append(pack((place[span][has] & 0xFFFFFFFF).astype(np.uint32)))
         out["later"].append(pack(later[span][has].astype(np.uint8)))
     k = len(out["flush"])
-    return pa.table([pa.array(out["flush"], pa.string()), *(pa.array(out[x], pa.binary()) for x in ("hash", "check", "idx", "pos", "later")), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64()))], schema=_KEPT)
+    return pa.table([pa.array(out["flush"], pa.string()), *(pa.array(out[x], pa.binary()) for x in _OUT), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64()))], schema=_KEPT)
+
+
+def _copies(table: pa.Table, idx: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The other places, in a flush, of those of its windows that came back: which window, idx, pos, and whether it is the same place."""
+    found = [_parts(b) for b in table.column("copies").drop_null().to_pylist()]
+    if not found or not len(idx):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    head, i, p, same = (np.concatenate([unpack(x[k], kind) for x in found]) for k, kind in enumerate((np.int64, np.uint32, np.uint32, np.uint8)))
+    place = (idx << 32) | pos
+    order = np.argsort(place)
+    at = np.minimum(np.searchsorted(place[order], head), len(place) - 1)
+    has = place[order[at]] == head
+    return order[at[has]], i[has].astype(np.int64), p[has].astype(np.int64), same[has].astype(bool)
 
 
 def _opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, check, idx, pos and later of a flush's survivors."""
+    """Hash, check, idx, pos and later of a flush's survivors, at all their places."""
     rows = table.filter(table.column("hash").is_valid())
     if not rows.num_rows:
         return np.zeros(0, U), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     get = lambda c, kind: np.concatenate([unpack(b, kind) for b in rows.column(c).to_pylist()])
-    return np.concatenate([unpack_sorted(b) for b in rows.column("hash").to_pylist()]), get("check", np.uint8), get("idx", np.uint32).astype(np.int64), get("pos", np.uint32).astype(np.int64), get("later", np.uint8).astype(bool)
+    hashes = np.concatenate([unpack_sorted(b) for b in rows.column("hash").to_pylist()])
+    checks, idx, pos, later = get("check", np.uint8), get("idx", np.uint32).astype(np.int64), get("pos", np.uint32).astype(np.int64), get("later", np.uint8).astype(bool)
+    head, i, p, same = _copies(table, idx, pos)
+    return np.append(hashes, hashes[head]), np.append(checks, checks[head]), np.append(idx, i), np.append(pos, p), np.append(later, later[head] | ~same)
 
 
 def _members(table: pa.Table) -> tuple[pa.Array, pa.Array] | None:
@@ -169,7 +249,7 @@ def _doubled(length: int, buckets: int):
         left, right = order[has], order[at[has]]
         h = mix(hashes[left] * U(_BASES[0]) + hashes[right])
         c = checks[left] * np.uint8(157) + checks[right]
-        return pa.Table.from_batches([_blobs(table.column("flush")[0].as_py(), *_names(*members), h, c, idx[left], pos[left], buckets)])
+        return pa.Table.from_batches(list(_blobs(table.column("flush")[0].as_py(), *_names(*members), h, c, idx[left], pos[left], buckets)))
 
     return run
 
@@ -184,16 +264,10 @@ def _spans(min_words: int):
         ids, ths = _members(table)
         longest = np.zeros(len(ids), np.int32)
         spans: dict[int, list] = {}
-        found = table.filter(table.column("idx").is_valid())
-        for level in np.unique(found.column("level").to_numpy()):
-            rows = found.filter(pa.compute.equal(found.column("level"), level))
-            idx = np.concatenate([unpack(b, np.uint32) for b in rows.column("idx").to_pylist()]).astype(np.int64)
+        for level in np.unique(table.column("level").to_numpy()):
+            _, _, idx, pos, later = _opened(table.filter(pa.compute.equal(table.column("level"), level)))
             longest[idx] = np.maximum(longest[idx], level)
-            if level != min_words:
-                continue
-            pos = np.concatenate([unpack(b, np.uint32) for b in rows.column("pos").to_pylist()]).astype(np.int64)
-            later = np.concatenate([unpack(b, np.uint8) for b in rows.column("later").to_pylist()]).astype(bool)
-            if later.any():
+            if level == min_words and later.any():
                 place = np.sort((idx[later] << 32) | pos[later])
                 cut = np.nonzero(np.diff(place) > min_words)[0]
                 start, stop = place[np.concatenate([[0], cut + 1])], place[np.concatenate([cut, [len(place) - 1]])] + min_words
@@ -213,21 +287,20 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     spark = docs.sparkSession
     common.ship(spark)
     buckets = buckets_for(docs)
-    inputs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("w"))
-    sent = inputs.mapInArrow(_first(min_words, buckets), _SENT_SQL)
+    inputs = common.spread(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("w"))
+    sent = inputs.mapInArrow(_first(min_words, buckets, blobs.FLUSH_WORDS), _SENT_SQL)
     base = common.materialize(sent.groupBy("bucket").applyInArrow(trimmed(_repeated), _KEPT_SQL), "level")
     members = base.where("ids IS NOT NULL")
     levels, length = [(min_words, base)], min_words
     while True:
-        last = levels[-1][1].where("hash IS NOT NULL")
-        if not last.limit(1).count():
+        if not levels[-1][1].where("hash IS NOT NULL").limit(1).count():
             break
-        sent = last.unionByName(members).groupBy("flush").applyInArrow(trimmed(_doubled(length, buckets)), _SENT_SQL)
+        sent = levels[-1][1].where("ids IS NULL").unionByName(members).groupBy("flush").applyInArrow(trimmed(_doubled(length, buckets)), _SENT_SQL)
         length *= 2
         levels.append((length, common.materialize(sent.groupBy("bucket").applyInArrow(trimmed(_repeated), _KEPT_SQL), "level")))
-    every = base.select("flush", F.lit(min_words).alias("level"), "idx", "pos", "later", "ids", "ths")
+    every = base.withColumn("level", F.lit(min_words))
     for at, level in levels[1:]:
-        every = every.unionByName(level.where("idx IS NOT NULL").select("flush", F.lit(at).alias("level"), "idx"), allowMissingColumns=True)
+        every = every.unionByName(level.withColumn("level", F.lit(at)))
     found = every.groupBy("flush").applyInArrow(trimmed(_spans(min_words)), _DOCS_SQL).dropDuplicates(["doc_id", "th"])
     out = common.materialize(found, "repeats")
     common.discard(*[level for _, level in levels])
@@ -259,7 +332,8 @@ def report(docs: DataFrame, min_words: int = 50) -> DataFrame:
     place is that with the least ``doc_id`` (null before all), then text hash, then position.
 
     Null and empty texts, and those of fewer words than a passage, have no row. Rows alike in ``doc_id`` and text are
-    one document, with one row. Other columns are ignored, whatever their names; an empty table gives no rows.
+    one document, with one row. Very long texts are taken whole; the word hashes of one, 8 bytes each, have to fit into a task.
+    Ids must be whole numbers. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     found = repeats(docs, min_words)
     spans, text = F.col("f.spans"), F.col("row.text")

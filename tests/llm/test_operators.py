@@ -12,7 +12,7 @@ import pytest
 from conftest import TINY, same_rows
 from pyspark.sql import functions as F
 
-from palisade.llm import common, extraction, hashing, jaccard, mixing, pieces, quality, queries, shards, substring, topk, urlfilter, warc
+from palisade.llm import blobs, common, extraction, hashing, jaccard, mixing, pieces, quality, queries, shards, substring, topk, urlfilter, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -391,6 +391,34 @@ def test_substring_passages(spark):
     assert set(kept) == {1, 2, 3, 5} and kept[2]["text"] == "other rest" and kept[2]["n_chars"] == 10 and kept[1]["text"] == texts[0][1]
 
 
+def test_substring_equals_brute_force(spark, monkeypatch):
+    from test_pipeline import deduplicated
+
+    rng = random.Random(9)
+    passages = [" ".join(f"p{k}x{i}" for i in range(rng.randint(8, 30))) for k in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(passages) if rng.random() < 0.4 else " ".join(f"u{rng.randrange(9999)}" for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 6))]
+        rows.append((i, " ".join(parts)))
+    rows += [(100 + i, passages[0] + " same everywhere") for i in range(30)] + [rows[3], rows[3]]
+    for words in (500_000, 150):
+        monkeypatch.setattr(blobs, "FLUSH_WORDS", words)
+        got = Counter((r["doc_id"], r["text"]) for r in substring.remove(docs(spark, rows), 8).collect())
+        expected = Counter(deduplicated(rows[:-2], 8))
+        expected[next(x for x in expected if x[0] == 3)] += 2
+        assert got == expected, words
+        levels = {r["doc_id"]: r["longest"] for r in substring.report(docs(spark, rows), 8).collect()}
+        places = Counter()
+        for length in (8, 16, 32, 64):
+            for i, text in dict(rows).items():
+                w = text.split()
+                places.update((length, *w[p : p + length]) for p in range(len(w) - length + 1))
+        for i, text in dict(rows).items():
+            w = text.split()
+            best = max((n for n in (8, 16, 32, 64) for p in range(len(w) - n + 1) if places[n, *w[p : p + n]] > 1), default=None)
+            assert levels.get(i) == best
+
+
 def test_substring_awkward(spark):
     df = docs(spark, AWKWARD, True)
     out = substring.remove(df)
@@ -596,9 +624,10 @@ def brute_classes(rows, threshold):
 
 
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
-@pytest.mark.parametrize("tile", [2048, 3])
-def test_jaccard_equals_brute_force(spark, monkeypatch, threshold, tile):
+@pytest.mark.parametrize("tile,words", [(2048, 500_000), (3, 300)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, threshold, tile, words):
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(blobs, "FLUSH_WORDS", words)
     rows = family(int(threshold * 10)) + [(None, "b c d"), (90, "b c d"), (91, "b"), (92, "b"), (93, ""), (94, None), (None, "q"), (None, "q")]
     assert Counter(tuple(r) for r in jaccard.join(docs(spark, rows, True), threshold=threshold).collect()) == brute_classes(rows, threshold)
 
