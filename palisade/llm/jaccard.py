@@ -8,6 +8,9 @@
 4. Classes with the same prefix and size form a group. Groups that meet in a prefix gram and pass the size filter are
    pairs; the posting lists of one neighbourhood go to one task, which finds each pair once.
 5. Group pairs are expanded into their members, whose overlap is counted exactly.
+
+No task gathers all of a hot key: a gram comes to its bucket once a flush, and long posting lists and large groups are
+dealt into parts whose pairs are tiles of bounded size, each a task's work of its own.
 """
 
 from __future__ import annotations
@@ -17,15 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import blobs, common
 from palisade.llm.blobs import bucket_edges, buckets_for, flushes, pack, pack_sorted, trimmed, trimmed_pair, unpack, unpack_sorted
 from palisade.llm.hashing import U, flat, mix, ngrams, starts_of, word_hashes
 
-_SENT = pa.schema([("bucket", pa.int32()), ("flush", pa.string()), ("grams", pa.binary()), ("rows", pa.binary()), ("doc_id", pa.int64()), ("th", pa.int64()), ("idx", pa.int32()), ("fp", pa.int64()), ("n", pa.int32())])
-_SENT_SQL = "bucket int, flush string, grams binary, rows binary, doc_id long, th long, idx int, fp long, n int"
+_SENT = pa.schema([("bucket", pa.int32()), ("flush", pa.string()), ("grams", pa.binary()), ("rows", pa.binary()), ("times", pa.binary()), ("doc_id", pa.int64()), ("th", pa.int64()), ("idx", pa.int32()), ("fp", pa.int64()), ("n", pa.int32())])
+_SENT_SQL = "bucket int, flush string, grams binary, rows binary, times binary, doc_id long, th long, idx int, fp long, n int"
 
 
 def _flush(flush: str, ids: pa.Array, ths: pa.Array, words: np.ndarray, lengths: np.ndarray, n: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -49,7 +52,14 @@ def _flush(flush: str, ids: pa.Array, ths: pa.Array, words: np.ndarray, lengths:
     idx = np.zeros(len(lengths), np.int32)
     idx[some] = inverse
     kept = stands[rows]
-    grams, rows = grams[kept], idx[rows[kept]]
+    grams, rows = grams[kept], idx[rows[kept]].astype(np.uint32)
+    # A gram goes to its bucket once, with its number here; its other rows go back to the flush. So a bucket gets no gram
+    # more often than there are flushes.
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    more = (pack_sorted(grams[~new]), pack(rows[~new])) if not new.all() else None
+    times = np.diff(np.append(np.nonzero(new)[0], len(grams))).astype(np.uint32)
+    grams, rows = grams[new], rows[new]
     edges = bucket_edges(grams, buckets)
     full = [b for b in range(buckets) if edges[b + 1] > edges[b]]
     k = len(full)
@@ -59,7 +69,8 @@ def _flush(flush: str, ids: pa.Array, ths: pa.Array, words: np.ndarray, lengths:
             pa.array(full, pa.int32()),
             pa.array([flush] * k),
             pa.array([pack_sorted(grams[edges[b] : edges[b + 1]]) for b in full], pa.binary()),
-            pa.array([pack(rows[edges[b] : edges[b + 1]].astype(np.uint32)) for b in full], pa.binary()),
+            pa.array([pack(rows[edges[b] : edges[b + 1]]) for b in full], pa.binary()),
+            pa.array([pack(times[edges[b] : edges[b + 1]]) for b in full], pa.binary()),
             none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.int64()), none(pa.int32()),
         ],
         schema=_SENT,
@@ -67,9 +78,17 @@ def _flush(flush: str, ids: pa.Array, ths: pa.Array, words: np.ndarray, lengths:
     k = len(some)
     taken = pa.array(some)
     spread = zlib.crc32(flush.encode()) % buckets
+    if more is not None:
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([-1 - spread], pa.int32()), pa.array([flush]), *(pa.array([x], pa.binary()) for x in more), pa.nulls(1, pa.binary()),
+                pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()),
+            ],
+            schema=_SENT,
+        )
     yield pa.RecordBatch.from_arrays(
         [
-            pa.array(np.full(k, -1 - spread, np.int32)), pa.array([flush] * k), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()),
+            pa.array(np.full(k, -1 - spread, np.int32)), pa.array([flush] * k), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()),
             ids.take(taken), ths.take(taken), pa.array(idx[some]), pa.array(fp[some].view(np.int64)), pa.array(size[some].astype(np.int32)),
         ],
         schema=_SENT,
@@ -93,12 +112,14 @@ def _count(table: pa.Table) -> pa.Table:
     if not table.num_rows or table.column("bucket")[0].as_py() < 0:
         return pa.table([table.column("flush"), table.column("grams"), table.column("rows"), pa.nulls(table.num_rows, pa.binary()), *(table.column(c) for c in ("doc_id", "th", "idx", "fp", "n"))], schema=_COUNTED)
     parts = [unpack_sorted(g) for g in table.column("grams").to_pylist()]
-    every = np.sort(np.concatenate(parts))
+    every = np.concatenate(parts)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
     first = np.nonzero(np.concatenate([[True], every[1:] != every[:-1]]))[0]
-    times = np.diff(np.append(first, len(every)))
+    times = np.add.reduceat(np.concatenate([unpack(t, np.uint32) for t in table.column("times").to_pylist()])[order], first, dtype=np.int64)
     many = times > 1
-    grams, times = every[first[many]], times[many].astype(np.uint32)
-    del every, first, many
+    grams, times = every[first[many]], np.minimum(times[many], np.iinfo(np.uint32).max).astype(np.uint32)
+    del every, order, first, many
     out: dict[str, list] = {k: [] for k in ("flush", "grams", "rows", "df")}
     for part, flush, rows in zip(parts, table.column("flush").to_pylist(), table.column("rows").to_pylist(), strict=True):
         if not len(grams):
@@ -114,8 +135,11 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(out["flush"], pa.string()), *(pa.array(out[c], pa.binary()) for c in ("grams", "rows", "df")), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())], schema=_COUNTED)
 
 
-_CLASS = pa.schema([("gid", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("eff", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("ths", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
-_CLASS_SQL = "gid long, fp long, n int, eff int, doc_ids array<long>, ths array<long>, grams array<long>"
+#: Groups of a posting list, or classes of a group, that meet in one task; more are cut into tiles of so many by so many.
+TILE = 2048
+
+_CLASS = pa.schema([("gid", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("eff", pa.int32()), ("hot", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("ths", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
+_CLASS_SQL = "gid long, fp long, n int, eff int, hot int, doc_ids array<long>, ths array<long>, grams array<long>"
 
 
 def least_overlap(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -123,11 +147,12 @@ def least_overlap(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold * n - 1e-9).astype(np.int64)
 
 
-def _classes(threshold: float):
+def _classes(threshold: float, tile: int):
     def run(table: pa.Table) -> pa.Table:
         """The classes of one flush that may have partners, their repeated grams in order of rarity."""
         member = table.column("idx").is_valid()
-        members, blobs = table.filter(member), table.filter(pa.compute.invert(member))
+        members, blobs = table.filter(member), table.filter(table.column("df").is_valid())
+        more = table.filter(pa.compute.and_(pa.compute.invert(member), table.column("df").is_null()))
         order = np.argsort(members.column("idx").to_numpy(), kind="stable")
         members = members.take(pa.array(order))
         idx = members.column("idx").to_numpy()
@@ -138,6 +163,12 @@ def _classes(threshold: float):
             grams = np.concatenate([unpack_sorted(g) for g in blobs.column("grams").to_pylist()])
             rows = np.concatenate([unpack(g, np.uint32) for g in blobs.column("rows").to_pylist()]).astype(np.int64)
             df = np.concatenate([unpack(g, np.uint32) for g in blobs.column("df").to_pylist()])
+            if more.num_rows:
+                others = np.concatenate([unpack_sorted(g) for g in more.column("grams").to_pylist()])
+                order = np.argsort(grams)
+                times = df[order[np.searchsorted(grams[order], others)]]
+                rows = np.append(rows, np.concatenate([unpack(g, np.uint32) for g in more.column("rows").to_pylist()]).astype(np.int64))
+                grams, df = np.append(grams, others), np.append(df, times)
         else:
             grams, rows, df = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         shared = np.bincount(rows, minlength=len(n))
@@ -145,7 +176,7 @@ def _classes(threshold: float):
         kept = able[rows] if len(rows) else np.zeros(0, bool)
         grams, rows, df = grams[kept], rows[kept], df[kept]
         order = np.lexsort((grams, df, rows))
-        grams, rows = grams[order], rows[order]
+        grams, rows, df = grams[order], rows[order], df[order]
         prefix = np.where(able, np.maximum(n - least_overlap(n, threshold) + 1 - (n - shared), 0), 0)
         taken = np.where(able, shared, 0)
         begin = starts_of(taken)
@@ -155,21 +186,20 @@ def _classes(threshold: float):
         out = np.nonzero(able | (copies > 1))[0]
         spans = np.concatenate([[0], np.cumsum(taken[out])]).astype(np.int32)
         chosen = grams[np.repeat(able, taken)] if len(grams) else grams
+        hot = np.bincount(rows[within & (df > tile)], minlength=len(n))
         who = np.concatenate([np.arange(first[i], first[i] + copies[i]) for i in out]) if len(out) else np.zeros(0, np.int64)
         at = np.concatenate([[0], np.cumsum(copies[out])]).astype(np.int32)
         lists = lambda c: pa.ListArray.from_arrays(pa.array(at), members.column(c).combine_chunks().take(pa.array(who, pa.int64())))
         return pa.table(
-            [pa.array(gid[out].view(np.int64)), pa.array(fp[out]), pa.array(n[out].astype(np.int32)), pa.array(prefix[out].astype(np.int32)), lists("doc_id"), lists("th"), pa.ListArray.from_arrays(pa.array(spans), pa.array(chosen.view(np.int64)))],
+            [pa.array(gid[out].view(np.int64)), pa.array(fp[out]), pa.array(n[out].astype(np.int32)), pa.array(prefix[out].astype(np.int32)), pa.array(hot[out].astype(np.int32)), lists("doc_id"), lists("th"), pa.ListArray.from_arrays(pa.array(spans), pa.array(chosen.view(np.int64)))],
             schema=_CLASS,
         )
 
     return run
 
 
-_PAIR = pa.schema([("block", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+_PAIR = pa.schema([("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
-#: Groups of a posting list that meet in one task; longer lists are cut into tiles of so many by so many.
-TILE = 2048
 _CELLS = 8_000_000
 
 
@@ -230,22 +260,37 @@ def _pairs(threshold: float):
                     x, y = x[fits], y[fits]
                     found.append(np.unique(np.minimum(x, y) * len(every) + np.maximum(x, y)))
         codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return pa.table([pa.array(np.full(len(codes), block, np.int32)), pa.array(every[codes // len(every)]), pa.array(every[codes % len(every)])], schema=_PAIR)
+        return pa.table([pa.array(np.full(len(codes), block, np.int64)), pa.array(every[codes // len(every)]), pa.array(every[codes % len(every)])], schema=_PAIR)
 
     return run
 
 
-def _tiled(lists: DataFrame, buckets: int) -> DataFrame:
-    """Posting lists with the block that handles them; a list longer than ``TILE`` becomes tiles, each of two parts of it."""
-    parts = F.greatest(F.lit(1), F.pow(F.lit(2), F.ceil(F.log2(F.size("posts") / TILE))).cast("int"))
-    cut = lists.select("posts", F.array_min("posts")["gid"].alias("home"), parts.alias("parts"))
-    whole = cut.where("parts = 1").select("home", F.lit(0).alias("i"), F.lit(0).alias("j"), "posts", F.slice("posts", 1, 0).alias("others"))
-    of = lambda c: F.filter("posts", lambda p: F.pmod(F.xxhash64(p["gid"]), F.col("parts")) == F.col(c))
+def _parts(count: Column) -> Column:
+    """The number of parts into which so many groups or classes are dealt: a power of two."""
+    return F.greatest(F.lit(1), F.pow(F.lit(2), F.ceil(F.log2(count / TILE))).cast("int"))
+
+
+def _tiled(live: DataFrame, buckets: int) -> DataFrame:
+    """Posting lists with the block that handles them; one longer than ``TILE`` becomes tiles, each of two parts of it.
+
+    A gram that few documents hold has a short list. The lists of the others are counted first, and never gathered whole.
+    """
+    cold = F.slice("grams", 1, F.col("eff") - F.col("hot"))
+    home = F.array_min("posts")["gid"]
+    post = F.struct("gid", "n")
+    short = (
+        live.select("gid", "n", F.explode(cold).alias("gram")).groupBy("gram").agg(F.collect_set(post).alias("posts")).where(F.size("posts") > 1)
+        .select(home.alias("home"), F.lit(0).alias("i"), F.lit(0).alias("j"), "posts", F.slice("posts", 1, 0).alias("others"))
+    )
+    hot = live.where("hot > 0").select("gid", "n", F.explode(F.slice("grams", F.col("eff") - F.col("hot") + 1, F.col("hot"))).alias("gram")).distinct()
+    known = hot.groupBy("gram").agg(F.count("*").alias("k"), F.min("gid").alias("home")).where("k > 1").select("gram", "home", _parts(F.col("k")).alias("parts"))
+    at = hot.join(known, "gram").withColumn("part", F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int")).withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     long = (
-        cut.where("parts > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("j", F.explode(F.sequence("i", F.col("parts") - 1)))
-        .select("home", "i", "j", of("i").alias("posts"), F.when(F.col("i") == F.col("j"), F.slice("posts", 1, 0)).otherwise(of("j")).alias("others"))
+        at.select("gram", "home", F.least("part", "meets").alias("i"), F.greatest("part", "meets").alias("j"), "part", post.alias("post"))
+        .groupBy("gram", "home", "i", "j").agg(F.collect_list(F.when(F.col("part") == F.col("i"), F.col("post"))).alias("posts"), F.collect_list(F.when(F.col("part") != F.col("i"), F.col("post"))).alias("others"))
+        .where((F.size("posts") > 0) & ((F.size("others") > 0) | (F.col("i") == F.col("j")))).select("home", "i", "j", "posts", "others")
     )
-    return whole.unionByName(long).withColumn("block", F.pmod(F.xxhash64("home", "i", "j"), F.lit(buckets)).cast("int"))
+    return short.unionByName(long).withColumn("block", F.pmod(F.xxhash64("home", "i", "j"), F.lit(buckets)))
 
 
 _FOUND = pa.schema([("fp", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
@@ -283,14 +328,14 @@ def _verify(threshold: float):
         _, grams = np.unique(grams, return_inverse=True)
         grams = grams.ravel()
         marks = np.zeros(int(grams.max()) + 1 if len(grams) else 1, np.int32)
-        groups: dict[int, list[int]] = {}
-        for i, g in enumerate(gid.tolist()):
+        groups: dict[tuple[int, int], list[int]] = {}
+        for i, g in enumerate(zip(gid.tolist(), sets.column("part").to_pylist(), strict=True)):
             groups.setdefault(g, []).append(i)
         partners: dict[int, list[int]] = {}
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-            for x in groups.get(a, ()):
-                for y in groups.get(b, ()):
-                    if a != b or x < y:
+        for a, i, b, j in zip(*(pairs.column(c).to_pylist() for c in ("a", "i", "b", "j")), strict=True):
+            for x in groups.get((a, i), ()):
+                for y in groups.get((b, j), ()):
+                    if (a, i) != (b, j) or x < y:
                         partners.setdefault(x, []).append(y)
         copies = sets.column("copies").to_numpy().astype(np.float64)
         links = np.zeros(len(fp))
@@ -325,22 +370,27 @@ def _matches(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, Data
     inputs = common.spread(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("w"))
     sent = inputs.mapInArrow(_send(n, buckets, blobs.FLUSH_WORDS), _SENT_SQL)
     counted = sent.groupBy("bucket").applyInArrow(trimmed(_count), _COUNTED_SQL)
-    classes = common.materialize(counted.groupBy("flush").applyInArrow(trimmed(_classes(threshold)), _CLASS_SQL), "classes")
+    classes = common.materialize(counted.groupBy("flush").applyInArrow(trimmed(_classes(threshold, TILE)), _CLASS_SQL), "classes")
     live = classes.where("eff > 0")
-    posts = live.select("gid", "n", F.explode(F.slice("grams", 1, F.col("eff"))).alias("gram"))
-    lists = posts.groupBy("gram").agg(F.collect_set(F.struct("gid", "n")).alias("posts")).where(F.size("posts") > 1)
-    across = _tiled(lists, buckets).groupBy("block").applyInArrow(trimmed(_pairs(threshold)), "block int, a long, b long").groupBy("a", "b").agg(F.min("block").alias("block"))
-    within = (
-        live.groupBy("gid").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-        .select(F.col("gid").alias("a"), F.col("gid").alias("b"), F.pmod(F.xxhash64("gid"), F.lit(buckets)).cast("int").alias("block"))
-    )
-    pairs = common.materialize(across.unionByName(within), "pairs")
-    needed = pairs.select(F.col("block").alias("at"), F.explode(F.array("a", "b")).alias("gid")).distinct()
+    across = _tiled(live, buckets).groupBy("block").applyInArrow(trimmed(_pairs(threshold)), "block long, a long, b long").groupBy("a", "b").agg(F.min("block").alias("block"))
     # A class may come from several flushes; its documents are counted over all of them.
     whole = live.groupBy("fp").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.sum(F.size("doc_ids")).alias("copies"), F.first("grams").alias("grams"))
-    sets = needed.join(whole, "gid").select("at", "gid", "fp", "n", "copies", "grams")
+    sizes = live.select("gid", "fp").distinct().groupBy("gid").count()
+    within = sizes.where("count > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"), F.pmod(F.xxhash64("gid"), F.lit(buckets)).alias("block"))
+    # A group of more classes than a tile is dealt into parts, and its pairs become those of parts, each a block of its own.
+    large = common.materialize(sizes.where(F.col("count") > TILE).select("gid", _parts(F.col("count")).alias("parts")), "large")
+    parted = across.unionByName(within)
+    for side, part in (("a", "i"), ("b", "j")):
+        known = common.broadcast_small(large).select(F.col("gid").alias(side), F.col("parts").alias(f"{part}s"))
+        parted = parted.join(known, side, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(f"{part}s", F.lit(1)) - 1)))
+    alone = F.col("is").isNotNull() | F.col("js").isNotNull()
+    parted = parted.where("a <> b OR i <= j").select("a", "i", "b", "j", F.when(alone, F.xxhash64("a", "i", "b", "j")).otherwise(F.col("block")).alias("block"))
+    pairs = common.materialize(parted, "pairs")
+    needed = pairs.select(F.col("block").alias("at"), F.explode(F.array(F.struct(F.col("a").alias("gid"), F.col("i").alias("part")), F.struct(F.col("b").alias("gid"), F.col("j").alias("part")))).alias("s")).select("at", "s.*").distinct()
+    dealt = whole.join(common.broadcast_small(large), "gid", "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
+    sets = needed.join(dealt, ["gid", "part"]).select("at", "gid", "part", "fp", "n", "copies", "grams")
     found = common.materialize(pairs.groupBy("block").cogroup(sets.groupBy("at")).applyInArrow(trimmed_pair(_verify(threshold)), _FOUND_SQL), "found")
-    common.discard(pairs)
+    common.discard(pairs, large)
     return classes, found
 
 

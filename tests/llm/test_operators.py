@@ -632,6 +632,17 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, threshold, tile, words):
     assert Counter(tuple(r) for r in jaccard.join(docs(spark, rows, True), threshold=threshold).collect()) == brute_classes(rows, threshold)
 
 
+def test_jaccard_hot_grams_and_groups(spark, monkeypatch):
+    """Documents that share all grams but their own: every gram is hot, and one group holds them all."""
+    monkeypatch.setattr(jaccard, "TILE", 3)
+    shared, other = " ".join(f"t{i}" for i in range(20)), " ".join(f"s{i}" for i in range(9))
+    rows = [(i, f"{shared} own{i}") for i in range(23)] + [(100 + i, f"{other} {shared} mine{i}") for i in range(7)] + [(200 + i, f"{other} at{i} {other}") for i in range(6)]
+    for words in (500_000, 60):
+        monkeypatch.setattr(blobs, "FLUSH_WORDS", words)
+        for threshold in (0.5, 0.8):
+            assert Counter(tuple(r) for r in jaccard.join(docs(spark, rows), threshold=threshold).collect()) == brute_classes(rows, threshold)
+
+
 def test_jaccard_keep_one(spark):
     rows = [(i + 1000, t) for i, t in family(4)] + AWKWARD
     df = docs(spark, rows, True)
