@@ -23,6 +23,8 @@ from palisade.llm.blobs import bucket_edges, buckets_for, flushes, pack, pack_so
 from palisade.llm.hashing import U, mix, ranges, starts_of, window_hashes, word_hashes
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: Bits of a second hash that windows must share beside the 64 of the first.
+_CHECK_BITS = 24
 _NO_ID = np.iinfo(np.int64).min
 
 _IN = ("hash", "check", "doc", "pos", "idx", "id", "tie", "many")
@@ -141,7 +143,7 @@ def _first(length: int, buckets: int, flush_words: int):
             idx = np.repeat(np.arange(len(lengths), dtype=np.uint32), full)
             names, ties = _names(ids, ths)
             pos = (at - starts_of(lengths)[idx]).astype(np.uint32)
-            checks = (window_hashes(words, length, _BASES[1])[at] & U(0xFF)).astype(np.uint8)
+            checks = (window_hashes(words, length, _BASES[1])[at] >> U(64 - _CHECK_BITS)).astype(np.uint32)
             hashes = window_hashes(words, length, _BASES[0])[at]
             del words, at
             yield from _blobs(flush, names, ties, hashes, checks, idx, pos, buckets)
@@ -169,7 +171,7 @@ def _repeated(table: pa.Table) -> pa.Table:
     place = np.concatenate([rank[o + d.astype(np.int64)] for o, d in zip(offsets, docs, strict=True)]) << 32
     place |= np.concatenate([unpack(b, np.uint32) for b in parts["pos"]]).astype(np.int64)
     hashes = np.concatenate([unpack_sorted(b) for b in parts["hash"]])
-    checks = np.concatenate([unpack(b, np.uint8) for b in parts["check"]])
+    checks = np.concatenate([unpack(b, np.uint32) for b in parts["check"]])
     order = np.lexsort((place, checks, hashes))
     h, c, p = hashes[order], checks[order], place[order]
     new = np.ones(len(order), bool)
@@ -219,10 +221,10 @@ def _opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     """Hash, check, idx, pos and later of a flush's survivors, at all their places."""
     rows = table.filter(table.column("hash").is_valid())
     if not rows.num_rows:
-        return np.zeros(0, U), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, U), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     get = lambda c, kind: np.concatenate([unpack(b, kind) for b in rows.column(c).to_pylist()])
     hashes = np.concatenate([unpack_sorted(b) for b in rows.column("hash").to_pylist()])
-    checks, idx, pos, later = get("check", np.uint8), get("idx", np.uint32).astype(np.int64), get("pos", np.uint32).astype(np.int64), get("later", np.uint8).astype(bool)
+    checks, idx, pos, later = get("check", np.uint32), get("idx", np.uint32).astype(np.int64), get("pos", np.uint32).astype(np.int64), get("later", np.uint8).astype(bool)
     head, i, p, same = _copies(table, idx, pos)
     return np.append(hashes, hashes[head]), np.append(checks, checks[head]), np.append(idx, i), np.append(pos, p), np.append(later, later[head] | ~same)
 
@@ -248,7 +250,7 @@ def _doubled(length: int, buckets: int):
             return _SENT.empty_table()
         left, right = order[has], order[at[has]]
         h = mix(hashes[left] * U(_BASES[0]) + hashes[right])
-        c = checks[left] * np.uint8(157) + checks[right]
+        c = (checks[left] * np.uint32(0x9E3779B1) + checks[right]) & np.uint32((1 << _CHECK_BITS) - 1)
         return pa.Table.from_batches(list(_blobs(table.column("flush")[0].as_py(), *_names(*members), h, c, idx[left], pos[left], buckets)))
 
     return run
@@ -308,7 +310,7 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 
 def _cut(text: Column, spans: Column) -> Column:
-    """``text`` without the words of the spans and the white space before them."""
+    """``text`` without the words of the spans, the white space before them and that at the end of the text."""
     words = F.regexp_extract_all(text, F.lit(r"(\s*\S+)"), F.lit(1))
     kept = F.filter(words, lambda w, i: ~F.exists(spans, lambda s: (i >= s["start"]) & (i < s["stop"])))
     return F.array_join(kept, "")
@@ -328,8 +330,8 @@ def report(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """One row for each document with a repeated passage: ``doc_id``, ``longest``, ``spans`` and the ``text`` that stays.
 
     ``longest`` is the greatest of ``min_words``, twice, four times ... that long a window of it occurs at two places.
-    ``spans`` are the word ranges removed, as ``start-stop`` with the stop left out; none where all passages occur here first. The first
-    place is that with the least ``doc_id`` (null before all), then text hash, then position.
+    ``spans`` are the word ranges removed, as ``start-stop`` with the stop left out; none where all passages occur here first.
+    With words goes the white space before each, and that at the end of the text. The first place is that with the least ``doc_id`` (null before all), then text hash, then position.
 
     Null and empty texts, and those of fewer words than a passage, have no row. Rows alike in ``doc_id`` and text are
     one document, with one row. Very long texts are taken whole; the word hashes of one, 8 bytes each, have to fit into a task.
@@ -344,6 +346,7 @@ def report(docs: DataFrame, min_words: int = 50) -> DataFrame:
 def remove(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` with repeated passages removed from ``text`` but for their first place, and ``n_chars``, if there, set anew.
 
+    A text that loses words loses the white space before each of them and that at its end; others stay as they are.
     Documents of which nothing stays are left out; all others stay, those with null or empty texts too. Rows alike in
     ``doc_id`` and text lose the same passages. Other columns pass through, whatever their names.
     """
