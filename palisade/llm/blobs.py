@@ -51,6 +51,10 @@ def enter(owner: str) -> None:
     trim()
 
 
+#: Bytes of a group's blobs from which memory is given back after it.
+_TRIM_BYTES = 2 << 20
+
+
 def trimmed(function: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     """A function of one group that gives freed memory back at its end."""
 
@@ -58,7 +62,8 @@ def trimmed(function: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa
         if HELD:
             enter("groups")
         out = function(table)
-        trim()
+        if table.nbytes >= _TRIM_BYTES:
+            trim()
         return out
 
     return run
@@ -71,22 +76,31 @@ def trimmed_pair(function: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable
         if HELD:
             enter("groups")
         out = function(left, right)
-        trim()
+        if left.nbytes + right.nbytes >= _TRIM_BYTES:
+            trim()
         return out
 
     return run
 
 
+_PRESS, _OPEN = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(values: np.ndarray) -> bytes:
     """Byte planes, compressed: the planes of small numbers' high bytes vanish."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+    return _PRESS.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
 
 
 def unpack(blob: bytes, dtype: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    planes = np.frombuffer(_OPEN.decompress(blob), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
+def count(blob: bytes, dtype: type) -> int:
+    """The number of values in a blob."""
+    return zstandard.frame_content_size(blob) // np.dtype(dtype).itemsize
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
     """Sorted 64-bit values by their differences."""
     return pack(np.diff(values, prepend=U(0)))

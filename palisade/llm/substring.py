@@ -56,7 +56,7 @@ def _blobs(flush: str, ids: np.ndarray, ties: np.ndarray, hashes: np.ndarray, ch
     The other places don't travel to the bucket but go back to the flush beside it, so a bucket gets no window more often than
     there are flushes.
     """
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     hashes, checks, idx, pos = hashes[order], checks[order], idx[order], pos[order]
     new = np.ones(len(order), bool)
     new[1:] = hashes[1:] != hashes[:-1]
@@ -98,14 +98,16 @@ def _blobs(flush: str, ids: np.ndarray, ties: np.ndarray, hashes: np.ndarray, ch
         i, j = edges[b], edges[b + 1]
         if i == j:
             continue
-        here, doc = np.unique(idx[i:j], return_inverse=True)
+        there = np.zeros(len(ids), bool)
+        there[idx[i:j]] = True
+        here, doc = np.nonzero(there)[0], (np.cumsum(there) - 1)[idx[i:j]]
         out["bucket"].append(b)
         for name, blob in (
             ("hash", pack_sorted(hashes[i:j])),
             ("check", pack(checks[i:j])),
-            ("doc", pack(doc.ravel().astype(np.uint32))),
+            ("doc", pack(doc.astype(np.uint32))),
             ("pos", pack(pos[i:j].astype(np.uint32, copy=False))),
-            ("idx", pack(np.diff(here, prepend=here.dtype.type(0)).astype(np.uint32))),
+            ("idx", pack(np.diff(here, prepend=0).astype(np.uint32))),
             ("id", pack(np.diff(ids[here], prepend=np.int64(0)))),
             ("tie", pack(ties[here])),
             ("many", pack(many[i:j].view(np.uint8))),
@@ -162,44 +164,49 @@ def _repeated(table: pa.Table) -> pa.Table:
         k = table.num_rows
         return pa.table([table.column("flush"), *(pa.nulls(k, pa.binary()) for _ in _OUT), *(table.column(c) for c in ("copies", "ids", "ths"))], schema=_KEPT)
     parts = {c: table.column(c).to_pylist() for c in _IN}
-    ids = [np.cumsum(unpack(b, np.int64)) for b in parts["id"]]
-    ties = [unpack(b, np.uint32) for b in parts["tie"]]
-    offsets = starts_of(np.array([len(x) for x in ids]))
-    docs = [unpack(b, np.uint32) for b in parts["doc"]]
-    rank = _ranks(np.concatenate(ids), np.concatenate(ties))
-    sizes = [len(x) for x in docs]
-    place = np.concatenate([rank[o + d.astype(np.int64)] for o, d in zip(offsets, docs, strict=True)]) << 32
-    place |= np.concatenate([unpack(b, np.uint32) for b in parts["pos"]]).astype(np.int64)
+    sizes = np.array([blobs.count(b, np.uint8) for b in parts["many"]])
     hashes = np.concatenate([unpack_sorted(b) for b in parts["hash"]])
-    checks = np.concatenate([unpack(b, np.uint32) for b in parts["check"]])
+    many = np.concatenate([unpack(b, np.uint8) for b in parts["many"]]).astype(bool)
+    order = np.argsort(hashes)
+    twice = np.zeros(len(order) + 1, bool)
+    twice[1:-1] = hashes[order[1:]] == hashes[order[:-1]]
+    # All but a few windows are alone here and in their flush; places are looked up for the others only.
+    order = order[twice[1:] | twice[:-1] | many[order]]
+    if not len(order):
+        return _KEPT.empty_table()
+    hashes, many = hashes[order], many[order]
+    del twice
+    blob = np.searchsorted(np.cumsum(sizes), order, side="right")
+    get = lambda c, kind: np.concatenate([unpack(b, kind) for b in parts[c]])
+    checks, pos, doc = get("check", np.uint32)[order], get("pos", np.uint32)[order], get("doc", np.uint32)[order]
+    ids = [np.cumsum(unpack(b, np.int64)) for b in parts["id"]]
+    used, doc = np.unique(starts_of(np.array([len(x) for x in ids]))[blob] + doc, return_inverse=True)
+    place = _ranks(np.concatenate(ids)[used], get("tie", np.uint32)[used])[doc.ravel()] << 32 | pos
+    idx = np.concatenate([np.cumsum(unpack(b, np.uint32)) for b in parts["idx"]])[used][doc.ravel()]
+    del ids, used, doc
     order = np.lexsort((place, checks, hashes))
-    h, c, p = hashes[order], checks[order], place[order]
+    hashes, checks, place, idx, pos, blob, many = (x[order] for x in (hashes, checks, place, idx, pos, blob, many))
     new = np.ones(len(order), bool)
-    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    new[1:] = (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
     first = np.nonzero(new)[0]
     kind = np.cumsum(new, dtype=np.int32) - np.int32(1)
-    least, most = p[first], p[np.append(first[1:], len(p)) - 1]
-    del h, c, new
-    many = np.concatenate([unpack(b, np.uint8) for b in parts["many"]]).astype(bool)
-    repeats = np.zeros(len(order), bool)
-    later = np.zeros(len(order), bool)
-    repeats[order] = ((least != most) | np.logical_or.reduceat(many[order], first))[kind]
-    later[order] = p != least[kind]
-    del order, p, kind, first, least, most
+    least, most = place[first], place[np.append(first[1:], len(place)) - 1]
+    repeats = ((least != most) | np.logical_or.reduceat(many, first))[kind]
+    later = place != least[kind]
+    order = np.nonzero(repeats)[0]
+    order = order[np.argsort(blob[order], kind="stable")]
+    ends = np.append(np.nonzero(np.diff(blob[order]))[0] + 1, len(order))
+    flush = table.column("flush").to_pylist()
     out: dict[str, list] = {x: [] for x in ("flush", "hash", "check", "idx", "pos", "later")}
-    ends = np.cumsum(sizes)
-    for k, flush in enumerate(table.column("flush").to_pylist()):
-        span = slice(ends[k] - sizes[k], ends[k])
-        has = repeats[span]
-        if not has.any():
-            continue
-        here = np.cumsum(unpack(parts["idx"][k], np.uint32))[docs[k][has]]
-        out["flush"].append(flush)
-        out["hash"].append(pack_sorted(hashes[span][has]))
-        out["check"].append(pack(checks[span][has]))
-        out["idx"].append(pack(here.astype(np.uint32)))
-        out["pos"].append(pack((place[span][has] & 0xFFFFFFFF).astype(np.uint32)))
-        out["later"].append(pack(later[span][has].astype(np.uint8)))
+    begin = 0
+    for end in ends if len(order) else ():
+        has, begin = order[begin:end], end
+        out["flush"].append(flush[blob[has[0]]])
+        out["hash"].append(pack_sorted(hashes[has]))
+        out["check"].append(pack(checks[has]))
+        out["idx"].append(pack(idx[has].astype(np.uint32)))
+        out["pos"].append(pack(pos[has]))
+        out["later"].append(pack(later[has].astype(np.uint8)))
     k = len(out["flush"])
     return pa.table([pa.array(out["flush"], pa.string()), *(pa.array(out[x], pa.binary()) for x in _OUT), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64()))], schema=_KEPT)
 
@@ -218,14 +225,17 @@ def _copies(table: pa.Table, idx: np.ndarray, pos: np.ndarray) -> tuple[np.ndarr
 
 
 def _opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, check, idx, pos and later of a flush's survivors, at all their places."""
-    rows = table.filter(table.column("hash").is_valid())
+    """Hash, check, idx, pos and later of a flush's survivors, at all their places; hashes and checks only if the table has them."""
+    rows = table.filter(table.column("idx").is_valid())
     if not rows.num_rows:
         return np.zeros(0, U), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     get = lambda c, kind: np.concatenate([unpack(b, kind) for b in rows.column(c).to_pylist()])
-    hashes = np.concatenate([unpack_sorted(b) for b in rows.column("hash").to_pylist()])
-    checks, idx, pos, later = get("check", np.uint32), get("idx", np.uint32).astype(np.int64), get("pos", np.uint32).astype(np.int64), get("later", np.uint8).astype(bool)
+    idx, pos, later = get("idx", np.uint32).astype(np.int64), get("pos", np.uint32).astype(np.int64), get("later", np.uint8).astype(bool)
     head, i, p, same = _copies(table, idx, pos)
+    if "hash" not in table.column_names:
+        hashes, checks = np.zeros(len(idx), U), np.zeros(len(idx), np.uint32)
+    else:
+        hashes, checks = np.concatenate([unpack_sorted(b) for b in rows.column("hash").to_pylist()]), get("check", np.uint32)
     return np.append(hashes, hashes[head]), np.append(checks, checks[head]), np.append(idx, i), np.append(pos, p), np.append(later, later[head] | ~same)
 
 
@@ -303,7 +313,7 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     every = base.withColumn("level", F.lit(min_words))
     for at, level in levels[1:]:
         every = every.unionByName(level.withColumn("level", F.lit(at)))
-    found = every.groupBy("flush").applyInArrow(trimmed(_spans(min_words)), _DOCS_SQL).dropDuplicates(["doc_id", "th"])
+    found = every.drop("hash", "check").groupBy("flush").applyInArrow(trimmed(_spans(min_words)), _DOCS_SQL).dropDuplicates(["doc_id", "th"])
     out = common.materialize(found, "repeats")
     common.discard(*[level for _, level in levels])
     return out
