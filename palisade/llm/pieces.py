@@ -1,17 +1,18 @@
-"""SentencePiece encoding and decoding for models of merge type (BPE), exact, by backtracking.
+"""SentencePiece encoding and decoding for models of merge type (BPE), exact: words by merging many at once, long ones by backtracking.
 
 A sequence of tokens is the encoding of a text just if every two neighbours are: if merging their joint text anew gives
-the two. So the encoder takes the longest piece at each place, found by one Aho-Corasick pass, that fits its
-predecessor, and falls back on shorter ones; a place from which nothing led on is marked in a bitfield and never tried
-again, as the encoding of what precedes it is unique. No merge crosses a place where a word ends and white space
-begins unless some piece does; where none does, words are encoded apart and kept in a cache of bounded size.
+the two. So for a long run the encoder takes the longest piece at each place, found by one Aho-Corasick pass, that
+fits its predecessor, and falls back on shorter ones; a place from which nothing led on is marked in a bitfield and never
+tried again, as the encoding of what precedes it is unique. No merge crosses a place where a word ends and white space
+begins unless some piece does; where none does, words are encoded apart and kept in a cache of bounded size. Short words
+that the cache lacks are collected and merged side by side in arrays, one merge of each word a step, the very steps of the
+plain algorithm.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm import common
 from palisade.llm.blobs import HELD, enter
-from palisade.llm.hashing import ranges
+from palisade.llm.hashing import U, ranges, starts_of
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -96,10 +97,95 @@ class Vocabulary:
         return out
 
 
+class Merges:
+    """Which two symbols merge into which, and how well: pieces under their numbers, then characters that are only parts of pieces."""
+
+    def __init__(self, score: dict[str, float], number: dict[str, int]) -> None:
+        symbol = dict(number)
+        after = max(number.values(), default=-1) + 1
+        for c in sorted({c for p in score if len(p) > 1 for c in p} - symbol.keys()):
+            symbol[c] = after
+            after += 1
+        self.symbols, self.none = list(symbol), after  # none: a symbol that merges with nothing
+        self.numbers = np.array(list(symbol.values()), np.int64)
+        chars = {ord(p): k for p, k in symbol.items() if len(p) == 1}
+        self.of_char = np.full(max(chars, default=0) + 2, -1, np.int64)
+        self.of_char[list(chars)] = list(chars.values())
+        levels = {s: k for k, s in enumerate(sorted({s for s in score.values() if s > _NEVER}), 1)}
+        self.rank = np.zeros(after + 2, np.int32)  # the last one is that of no merge, -1
+        self.rank[[number[p] for p in score]] = [levels.get(s, 0) for s in score.values()]
+        pairs = [(a, b, number[p]) for p in score for i in range(1, len(p)) if (a := symbol.get(p[:i])) is not None and (b := symbol.get(p[i:])) is not None]
+        left, right, whole = np.array(pairs, np.int64).reshape(-1, 3).T
+        keys = left * (after + 1) + right
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = U(64 - bits), (1 << bits) - 1
+        self.slots, self.wholes = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.slots[at] < 0)
+            taken = free[np.unique(at[free], return_index=True)[1]]
+            self.slots[at[taken]], self.wholes[at[taken]] = keys[taken], whole[taken]
+            keys, whole, at = (np.delete(x, taken) for x in (keys, whole, (at + 1) & self.mask))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(U) * U(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def into(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The symbols that neighbours merge into, -1 for none."""
+        keys = left * (self.none + 1) + right
+        at = self._slot(keys)
+        held = self.slots[at]
+        out = np.where(held == keys, self.wholes[at], -1)
+        more = np.flatnonzero((held != keys) & (held >= 0))
+        at = at[more]
+        while len(more):
+            at = (at + 1) & self.mask
+            held, wanted = self.slots[at], keys[more]
+            found = held == wanted
+            out[more[found]] = self.wholes[at[found]]
+            on = ~found & (held >= 0)
+            more, at = more[on], at[on]
+        return out
+
+    def merge(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of about one length, which start at ``starts``, merged as ``Encoder.merge`` does: their symbols one after the other, and how many each has."""
+        width = int(sizes.max()) + 2
+        column = np.arange(-1, width - 1)
+        inside = (column >= 0) & (column < sizes[:, None])
+        table = np.full(inside.shape, self.none)
+        table[inside] = symbols[ranges(starts, sizes)]
+        whole = np.full(inside.shape, -1, np.int64)
+        whole[:, :-1] = self.into(table[:, :-1].ravel(), table[:, 1:].ravel()).reshape(len(sizes), -1)
+        score = self.rank[whole]
+        base = np.arange(len(sizes)) * width
+        before, after = np.arange(table.size) - 1, np.arange(table.size) + 1
+        flat, wholes, scores = table.ravel(), whole.ravel(), score.ravel()
+        while True:
+            at = base + score.argmax(axis=1)  # the first of equals
+            at = at[scores[at] > 0]
+            if not len(at):
+                break
+            gone, left = after[at], before[at]
+            right = after[gone]
+            made = wholes[at]
+            flat[at], flat[gone], scores[gone] = made, -1, 0
+            after[at], before[right] = right, at
+            wholes[at] = new = self.into(made, flat[right])
+            scores[at] = self.rank[new]
+            wholes[left] = new = self.into(flat[left], made)
+            scores[left] = self.rank[new]
+        kept = (table >= 0) & (table < self.none)
+        return table[kept], kept.sum(axis=1)
+
+
+#: Characters up to which words are merged many at once, words of one table, and words that are prepared together.
+SHORT, TABLE_WORDS, BATCH_WORDS = 64, 2048, 1 << 15
+
+
 class Encoder(dict):
     """Encodes texts; as a dict it maps a word to its number in the cache of encoded words."""
 
-    def __init__(self, model: bytes, cached_words: int = 100_000, cached_chars: int = 1_500_000) -> None:
+    def __init__(self, model: bytes, cached_words: int = 150_000, cached_chars: int = 2_500_000) -> None:
         super().__init__()
         v = self.vocabulary = Vocabulary.parse(model)
         self.most_words, self.most_chars = cached_words, cached_chars
@@ -124,40 +210,74 @@ class Encoder(dict):
         self.high = np.zeros(len(v.pieces), bool)
         self.high[[i for b, i in self.byte.items() if b >= 128]] = True
         self.value = {i: b for b, i in self.byte.items()}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.old: dict[str, int] = {}
+        self.merges = Merges(self.score, self.number)
+        ids = [self.ids_of(p) for p in self.merges.symbols]
+        self.spelled = np.array([i for x in ids for i in x], np.int32)
+        self.spells = np.zeros((2, self.merges.none), np.int64)  # of each symbol: its first id in spelled, and how many it has
+        self.spells[1, self.merges.numbers] = [len(x) for x in ids]
+        self.spells[0, self.merges.numbers] = starts_of(self.spells[1, self.merges.numbers])
         self._renew()
 
     def _renew(self) -> None:
-        """Begin a generation of the cache; words of the last one are taken over as they are met."""
         self.clear()
-        self.flat = array("i")
-        self.begin = array("q", [0])
+        self.wanted: list[str] = []
         self.chars = 0
-        self.arrays: tuple[np.ndarray, np.ndarray] | None = None
+        self.flat, self.begin, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def turn(self) -> None:
-        """To be called between texts: the cache holds at most two generations of the allowed size, and what one call adds."""
+        """To be called between texts: the cache holds at most the allowed size, and what one call adds."""
         if len(self) > self.most_words or self.chars > self.most_chars:
-            self.old, self.old_flat, self.old_begin = dict(self), self.flat, self.begin
             self._renew()
 
     def __missing__(self, word: str) -> int:
-        k = len(self.begin) - 1
-        old = self.old.get(word)
-        if old is not None:
-            self.flat.extend(self.old_flat[self.old_begin[old] : self.old_begin[old + 1]])
-        else:
-            for piece in self.backtrack(word):
-                self.flat.extend(self.ids_of(piece))
-        self.begin.append(len(self.flat))
-        self[word] = k
-        self.chars += len(word)
-        self.arrays = None
+        self[word] = k = len(self)
+        self.wanted.append(word)
         return k
 
+    def _settle(self) -> None:
+        """Encode the words that have got a number only."""
+        wanted, self.wanted = self.wanted, []
+        flat, begin, sizes, total = [self.flat], [self.begin], [self.sizes], len(self.flat)
+        for low in range(0, len(wanted), BATCH_WORDS):
+            ids, counts, order = self.encode_words(wanted[low : low + BATCH_WORDS])
+            at = np.empty(len(order), np.int64)
+            at[order] = starts_of(counts) + total
+            size = np.empty(len(order), np.int64)
+            size[order] = counts
+            flat.append(ids)
+            begin.append(at)
+            sizes.append(size)
+            total += len(ids)
+        self.chars += sum(map(len, wanted))
+        self.flat, self.begin, self.sizes = np.concatenate(flat), np.concatenate(begin), np.concatenate(sizes)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of words one after the other, how many each has, and which words they are: short ones come by length."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        some = np.flatnonzero(lengths <= SHORT)
+        points = np.frombuffer("".join([words[i] for i in some.tolist()]).encode("utf-32-le"), np.uint32)
+        of_char = self.merges.of_char
+        symbols = of_char[np.minimum(points, len(of_char) - 1)]
+        starts = starts_of(lengths[some])
+        if len(some):
+            known = np.minimum.reduceat(symbols, starts) >= 0
+            some, starts = some[known], starts[known]
+        by_length = np.argsort(lengths[some], kind="stable")
+        some, starts = some[by_length], starts[by_length]
+        ids, counts = [], []
+        for low in range(0, len(some), TABLE_WORDS):
+            rows = slice(low, low + TABLE_WORDS)
+            made, parts = self.merges.merge(symbols, starts[rows], lengths[some[rows]])
+            spelt = self.spells[1, made]
+            ids.append(self.spelled[ranges(self.spells[0, made], spelt)])
+            counts.append(np.add.reduceat(spelt, starts_of(parts)))
+        rest = np.setdiff1d(np.arange(len(words)), some)
+        for i in rest.tolist():
+            own = [x for piece in self.backtrack(words[i]) for x in self.ids_of(piece)]
+            ids.append(np.array(own, np.int32))
+            counts.append(np.array([len(own)]))
+        return np.concatenate(ids), np.concatenate(counts), np.concatenate([some, rest])
+
     def ids_of(self, piece: str) -> list[int]:
         i = self.number.get(piece)
         if i is not None:
@@ -284,12 +404,10 @@ class Encoder(dict):
 
     def expand(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids that cache numbers stand for, and how many each has."""
-        if self.arrays is None:
-            begin = np.array(self.begin)
-            self.arrays = np.array(self.flat), begin[:-1], np.diff(begin)
-        flat, begin, sizes = self.arrays
-        counts = sizes[codes]
-        return flat[ranges(begin[codes], counts)], counts
+        if self.wanted:
+            self._settle()
+        counts = self.sizes[codes]
+        return self.flat[ranges(self.begin[codes], counts)], counts
 
     def encode(self, text: str) -> list[int]:
         self.turn()

@@ -63,6 +63,48 @@ def test_pieces_backtrack_equals_merging():
         assert e.backtrack(text) == e.merge(text)
 
 
+def merge_model(pieces_, bytes_=False):
+    """A model file of merge type with these pieces and scores."""
+    import struct
+
+    def field(number, data):
+        assert len(data) < 128
+        return bytes([number << 3 | 2, len(data)]) + data
+
+    out = field(1, field(1, b"<unk>") + bytes([3 << 3, pieces.UNKNOWN]))
+    for b in range(256 if bytes_ else 0):
+        out += field(1, field(1, b"<0x%02X>" % b) + bytes([3 << 3, pieces.BYTE]))
+    for piece, score in pieces_.items():
+        out += field(1, field(1, piece.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", score))
+    return out + field(2, bytes([3 << 3, 2]) + (bytes([0x98, 0x02, 1]) if bytes_ else b""))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_pieces_merged_together_equal_merging(seed):
+    """Random models: ties, scores in any order, characters that are no pieces, pieces across words, no pieces at all."""
+    rng = random.Random(seed)
+    alphabet = "ab🙂▁"
+    pieces_ = {"".join(rng.choice(alphabet) for _ in range(rng.randint(1, 5))): float(-rng.randint(0, 6)) for _ in range(rng.choice([0, 3, 30, 60]))}
+    e = pieces.Encoder(merge_model(pieces_, seed % 2 == 0), cached_words=200, cached_chars=3000)
+    for _ in range(20):
+        texts = ["".join(rng.choice("ab🙂 z日") for _ in range(rng.randint(0, rng.choice([9, 63, 64, 150])))) for _ in range(30)]
+        ids, counts = e.expand(np.concatenate([e.codes(t) for t in texts]))
+        want = [[i for p in e.merge(e.normal(t)) for i in e.ids_of(p)] for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and [e.encode(t) for t in texts] == want
+
+
+def test_pieces_short_words_are_not_encoded_one_by_one(monkeypatch):
+    import sentencepiece
+
+    e = pieces.Encoder(open(queries.MODEL, "rb").read())
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL)
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice(["th", "ea", "tion", "é", "ß", "i"]) for _ in range(rng.randint(1, 9))) for _ in range(20_000))
+    calls = []
+    monkeypatch.setattr(e, "backtrack", lambda word: calls.append(word))
+    assert e.encode(text) == library.encode(text) and not calls
+
+
 def test_pieces_query(spark):
     import sentencepiece
 
