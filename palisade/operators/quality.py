@@ -111,10 +111,11 @@ def embedding_similarity(df: DataFrame, vector: str, reference: Sequence[float],
     return df.where(predicates.unlike_vector(F.col(vector), reference, least))
 
 
-def embedding_consistency(a: DataFrame, b: DataFrame, key: str, vector: str, least: float) -> DataFrame:
-    """Keys whose vectors in two tables have a cosine below ``least``."""
+def embedding_consistency(a: DataFrame, b: DataFrame, key: str, vector: str, least: float, digits: int | None = None) -> DataFrame:
+    """Keys whose vectors in two tables have a cosine below ``least``, after rounding to ``digits`` if they are given."""
     joined = a.select(key, F.col(vector).alias("__a")).join(b.select(key, F.col(vector).alias("__b")), key)
-    return joined.select(key, cosine(F.col("__a"), F.col("__b")).alias("cosine")).where(F.col("cosine") < least)
+    value = cosine(F.col("__a"), F.col("__b"))
+    return joined.select(key, (value if digits is None else F.round(value, digits)).alias("cosine")).where(F.col("cosine") < least)
 
 
 def embedding_drift(before: DataFrame, after: DataFrame, vector: str) -> DataFrame:
