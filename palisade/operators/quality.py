@@ -204,10 +204,15 @@ def undocumented(df: DataFrame, documented: Sequence[str]) -> list[str]:
     return sorted(c for c in df.columns if c.lower() not in known)
 
 
-def measure(df: DataFrame, measures: Mapping[str, Column]) -> dict[str, object]:
-    """Named aggregates of a table in one pass, whatever the names."""
-    row = df.agg(*[column.alias(f"m{i}") for i, column in enumerate(measures.values())]).first() if measures else ()
-    return dict(zip(measures, row, strict=True))
+def measure(df: DataFrame, measures: Mapping[str, Column], unique: Sequence[str] = ()) -> dict[str, object]:
+    """Named aggregates of a table in one pass, whatever the names; of each column of ``unique`` the number of repeated keys.
+
+    All are one query, so that they run side by side and what a view shuffles for one serves the others.
+    """
+    asked = [df.agg(*[column.alias(f"m{i}") for i, column in enumerate(measures.values())])] if measures else []
+    asked += [duplicates(df, [f"`{c}`"]).agg(F.count("*").alias(f"u{i}")) for i, c in enumerate(unique)]
+    row = reduce(lambda a, b: a.crossJoin(b), asked).first() if asked else ()
+    return dict(zip([*measures, *[f"repeated {c}" for c in unique]], row, strict=True))
 
 
 def test_measures(tests: Mapping[str, Sequence[str]]) -> dict[str, Column]:
@@ -215,24 +220,28 @@ def test_measures(tests: Mapping[str, Sequence[str]]) -> dict[str, Column]:
     return {"rows": F.count("*")} | {f"null {c}": F.count_if(F.col(f"`{c}`").isNull()) for c, names in tests.items() if "not_null" in names}
 
 
-test_measures.__test__ = False
+def test_keys(tests: Mapping[str, Sequence[str]]) -> list[str]:
+    """The columns that ``run_tests`` tests for uniqueness."""
+    return [c for c, names in tests.items() if "unique" in names]
+
+
+test_measures.__test__ = test_keys.__test__ = False
 
 
 def run_tests(df: DataFrame, tests: Mapping[str, Sequence[str]], warn: Callable[[str], None] = lambda message: None, measured: Mapping[str, object] | None = None) -> int:
     """Run the named tests of each column in order and raise at the first that fails; returns the number of rows.
 
-    All null counts and the row count come from one pass, or from ``measured`` if they were made with others; each
-    uniqueness test is a job of its own. An unknown test is warned of and passes.
+    Null counts, repeated keys and the row count come from one query, or from ``measured`` if they were made with others.
+    An unknown test is warned of and passes.
     """
-    measured = measure(df, test_measures(tests)) if measured is None else measured
+    measured = measure(df, test_measures(tests), test_keys(tests)) if measured is None else measured
     for column, names in tests.items():
         for name in names:
             if name == "not_null":
                 if n := measured[f"null {column}"]:
                     raise DataTestError(f"Found {n} NULL values in {column}")
             elif name == "unique":
-                n = duplicates(df, [f"`{column}`"]).count()
-                if n:
+                if n := measured[f"repeated {column}"]:
                     raise DataTestError(f"Found {n} DUPLICATE values in {column}")
             else:
                 warn(f"unknown test {name!r} on {column}")

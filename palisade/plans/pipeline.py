@@ -137,7 +137,7 @@ class _Run:
 
     def _check(self, model: project.Model, built: DataFrame) -> None:
         self._contract(model, built)
-        keys = [c for c, names in model.tests.items() if "unique" in names]
+        keys = quality.test_keys(model.tests)
         bearing = [r for r in self.config.quality_rules if rules.bears_on(r, model.name, built.columns, keys)]
         context = rules.Context(lambda name: self.spark.table(name) if self.connector.exists(name) else None, keys)
         report = lambda rule, what: self.warn(f"{model.name}: rule {rule.get('name')!r} {what}")
@@ -148,6 +148,7 @@ class _Run:
             quality.test_measures(model.tests) | rules.row_measures(bearing, context, report)
             | {f"mean {c}": F.avg(F.col(f"`{c}`").cast("double")) for c in averaged}
             | {(c, p): F.count_if(F.col(f"`{c}`").rlike(p.regex)) for c, p in searched},
+            keys,
         )
         self._detect(model, [(c, p, measured[c, p]) for c, p in searched if measured[c, p]])
         try:

@@ -103,6 +103,21 @@ def test_data_tests(spark):
     assert quality.undocumented(df, ["ID"]) == ["v"]
 
 
+def test_measures_and_repeated_keys_are_one_query(spark, monkeypatch):
+    df = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (2, "x", "c")], "id int, v string, `odd.name` string")
+    firsts, first = [], type(df).first
+    monkeypatch.setattr(type(df), "first", lambda self: firsts.append(self) or first(self))
+    monkeypatch.setattr(type(df), "count", lambda self: pytest.fail("a job of its own"))
+    tests = {"id": ["not_null"], "odd.name": ["unique", "not_null"]}
+    assert quality.run_tests(df, tests) == 3 and len(firsts) == 1
+    assert quality.measure(df, quality.test_measures({}), ["id", "v", "odd.name"]) == {"rows": 3, "repeated id": 1, "repeated v": 1, "repeated odd.name": 0}
+    assert quality.measure(df, {}) == {}
+    grouped = df.groupBy("id").agg({"v": "max"})
+    assert quality.run_tests(grouped, {"id": ["unique"]}) == 2
+    firsts[-1].collect()
+    assert firsts[-1]._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 1
+
+
 def test_plans(spark):
     assert dag.layers({"a": [], "b": ["a"], "c": ["b"]}) == [["a"], ["b"], ["c"]]
     with pytest.raises(dag.CycleError):
